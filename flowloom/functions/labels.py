@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from flowloom.fixed_values import ATTACK, BENIGN, TAXONOMY
 
@@ -59,7 +60,7 @@ def mapped_label(label: Column | str, mapping: dict[str, str] | None = None) ->
     return branches
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC form; no built-in expression offers it."""
     return text.str.normalize("NFKC")

@@ -9,12 +9,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from flowloom.fixed_values import (
-    BENIGN,
     DESTINATION_IP,
     LABEL,
     LABEL_ORIGINAL,
     META_COLUMNS,
-    SOURCE_FILE,
     SOURCE_IP,
     TIMESTAMP,
     TRAIN_ATTACK_LABELS,
@@ -24,6 +22,7 @@ from flowloom.operators.artifacts import Artifacts, require_features
 from flowloom.operators.lookup import label_index
 from flowloom.operators.models import score_windows
 from flowloom.operators.ordering import Indexed, dense_index
+from flowloom.operators.sampling import cap_benign
 from flowloom.operators.windows import Geometry
 from flowloom.scratch import stage
 from flowloom.sources.writers import preprocessing_report
@@ -60,7 +59,7 @@ def build_training_table(
     df, dropped = columns.drop_designated(df, repeats=repeats)
     if TIMESTAMP in df.columns:
         # Deduplication compares the raw text, so the parsed value is added beside it.
-        df = df.withColumn("_ts", cleaning.to_timestamp(F.trim(TIMESTAMP))) if dict(df.dtypes)[TIMESTAMP] == "string" else df.withColumn("_ts", F.col(TIMESTAMP))
+        df = cleaning.parse_timestamps(df.withColumn("_ts", F.col(TIMESTAMP)), "_ts")
     roles = _checked_roles(df) | {"timestamp": "_ts" if "_ts" in df.columns else None}
     row_report = rows.row_clean_report(df, **roles)
     clean = rows.clean_rows(df, **roles)
@@ -170,8 +169,6 @@ def evaluate_across(
     Labels go to the training classes first, then the benign class may be
     capped, then the table is scored and compared with its own labels.
     """
-    from flowloom.operators.sampling import cap_benign
-
     df = columns.apply_aliases(columns.clean_column_names(raw))
     df = cleaning.to_binary(cleaning.normalize_labels(df)) if binary else cleaning.to_training_taxonomy(df, taxonomy)
     if benign_rows is not None:
@@ -181,8 +178,3 @@ def evaluate_across(
     matrix = evaluation.confusion(pairs, "true_idx", "pred_idx", sorted(label2idx.values()))
     return evaluation.classification_report(matrix)
 
-
-__all__ = [
-    "BENIGN", "SOURCE_FILE", "Scored", "TrainingTable", "build_training_table", "build_window_vectors",
-    "evaluate_across", "index_flows", "prepare_for_scoring", "score_table",
-]

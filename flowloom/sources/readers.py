@@ -37,15 +37,13 @@ def inspect_csv(spark: SparkSession, paths: str | Sequence[str], pattern: str =
         F.monotonically_increasing_id().alias("row"),
     )
     heads = lines.groupBy("file_path").agg(
-        F.min_by(F.encode("value", "ISO-8859-1"), F.struct("at", "row")).alias("latin"),
         F.min_by(F.col("value").cast("binary"), F.struct("at", "row")).alias("header"),
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
     )
-    rows = heads.select("file_path", "header", "utf8").collect()
-    found = [
-        FileHead(r["file_path"], bytes(r["header"]).decode("utf-8" if r["utf8"] else "latin-1").rstrip("\r").lstrip("﻿"), r["utf8"])
-        for r in rows
-    ]
+    found = []
+    for r in heads.collect():
+        text = bytes(r["header"]).decode("utf-8" if r["utf8"] else "latin-1")
+        found.append(FileHead(r["file_path"], text.rstrip("\r").removeprefix("\ufeff"), r["utf8"]))
     if not found:
         raise FileNotFoundError(f"no {pattern} under {paths}")
     return sorted(found, key=lambda f: os.path.basename(f.path))
