@@ -6,7 +6,9 @@ later grouping has ``block`` among its keys and reuses that partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+
+from flowloom.functions.values import named
 
 WINDOW_KEY = ["block", "window_id"]
 NODE_KEY = [*WINDOW_KEY, "node"]
@@ -22,7 +24,7 @@ def _endpoint_rows(edges: DataFrame, features: list[str]) -> DataFrame:
     none = {f: F.lit(None).cast("double") for f in features}
     target = F.struct(
         F.col("dst_node").alias("node"), F.lit(None).cast("int").alias("peer"),
-        *[F.col(f).cast("double").alias(f) for f in features],
+        *[named(f).cast("double").alias(f) for f in features],
     )
     source = F.struct(
         F.col("src_node").alias("node"), F.col("dst_node").alias("peer"), *[none[f].alias(f) for f in features]
@@ -30,8 +32,9 @@ def _endpoint_rows(edges: DataFrame, features: list[str]) -> DataFrame:
     return edges.select(*WINDOW_KEY, F.explode(F.array(target, source)).alias("_e")).select(*WINDOW_KEY, "_e.*")
 
 
-def _mean_or_zero(f: str) -> Column:
-    return F.coalesce(F.avg(f), F.lit(0.0))
+def _mean_or_zero(f: str, over: WindowSpec | None = None) -> Column:
+    mean = F.avg(named(f)) if over is None else F.avg(named(f)).over(over)
+    return F.coalesce(mean, F.lit(0.0))
 
 
 def node_means(edges: DataFrame, features: list[str]) -> DataFrame:
@@ -49,18 +52,18 @@ def propagate(edges: DataFrame, features: list[str]) -> DataFrame:
     """
     state = Window.partitionBy(*NODE_KEY)
     rows = _endpoint_rows(edges, features).select(
-        *NODE_KEY, "peer", *[_mean_or_zero(f).over(state).alias(f) for f in features]
+        *NODE_KEY, "peer", *[_mean_or_zero(f, state).alias(f) for f in features]
     )
-    own = F.struct("node", *[F.col(f).alias(f"s_{f}") for f in features],
+    own = F.struct("node", *[named(f).alias(f"s_{f}") for f in features],
                    *[F.lit(None).cast("double").alias(f"m_{f}") for f in features])
     message = F.struct(F.col("peer").alias("node"), *[F.lit(None).cast("double").alias(f"s_{f}") for f in features],
-                       *[F.col(f).alias(f"m_{f}") for f in features])
+                       *[named(f).alias(f"m_{f}") for f in features])
     sent = F.explode(F.when(F.col("peer").isNull(), F.array(own)).otherwise(F.array(own, message)))
     return (
         rows.select(*WINDOW_KEY, sent.alias("_e"))
         .select(*WINDOW_KEY, "_e.*")
         .groupBy(*NODE_KEY)
-        .agg(*[(F.max(f"s_{f}") + _mean_or_zero(f"m_{f}")).alias(f) for f in features])
+        .agg(*[(F.max(named(f"s_{f}")) + _mean_or_zero(f"m_{f}")).alias(f) for f in features])
     )
 
 
@@ -68,12 +71,17 @@ def readout(nodes: DataFrame, features: list[str]) -> DataFrame:
     """Mean over nodes per window; the node count is the largest edge endpoint plus one."""
     size = F.max("node") + 1
     return nodes.groupBy(*WINDOW_KEY).agg(
-        size.alias("n_nodes"), *[(F.sum(f) / size).alias(f) for f in features]
+        size.alias("n_nodes"), *[(F.sum(named(f)) / size).alias(f) for f in features]
     )
 
 
 def fuse(sequence: DataFrame, graph: DataFrame, features: list[str], out: str = "features") -> DataFrame:
-    """``(window_id, features)``: sequence means followed by graph means; zeros without a graph."""
-    graph = graph.select("window_id", *[F.col(f).alias(f"g_{f}") for f in features])
-    parts = [F.col(f) for f in features] + [F.coalesce(F.col(f"g_{f}"), F.lit(0.0)) for f in features]
-    return sequence.join(graph, "window_id", "left").select("window_id", F.array(*parts).alias(out))
+    """Replaces the features by one array: sequence means, then graph means; zeros without a graph.
+
+    Both sides are partitioned by block, so the join moves no rows where
+    ``spark.sql.requireAllClusterKeysForCoPartition`` is off.
+    """
+    graph = graph.select(*WINDOW_KEY, *[named(f).alias(f"g_{f}") for f in features])
+    parts = [named(f) for f in features] + [F.coalesce(named(f"g_{f}"), F.lit(0.0)) for f in features]
+    kept = [c for c in sequence.columns if c not in (*WINDOW_KEY, *features)]
+    return sequence.join(graph, WINDOW_KEY, "left").select("window_id", *kept, F.array(*parts).alias(out))

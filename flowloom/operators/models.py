@@ -19,6 +19,7 @@ from flowloom.fixed_values import K_SHOT, N_QUERY, N_WAY, SEED
 from flowloom.functions.ordering import random_key
 from flowloom.functions.vectors import argmax, euclidean, softmax
 from flowloom.operators.lookup import index_label, label_index
+from flowloom.scratch import stage
 
 
 def class_means(df: DataFrame, vector: str, label: str) -> DataFrame:
@@ -111,8 +112,12 @@ def fit_window_classifier(
     seed: int = SEED,
     **params,
 ) -> PipelineModel:
-    """Spark ML classifier on fused window vectors; ``kind`` is logistic, perceptron or forest."""
-    data = _vectors(windows, features).withColumn("_y", label_index(F.col(label), label2idx).cast("double"))
+    """Spark ML classifier on fused window vectors; ``kind`` is logistic, perceptron or forest.
+
+    Training passes over the data many times, so the vectors are written out first.
+    """
+    target = label_index(F.col(label), label2idx).cast("double").alias("_y")
+    data = _vectors(stage(windows.select(features, target), "training-vectors"), features)
     common = {"featuresCol": "_scaled", "labelCol": "_y"}
     if kind == "logistic":
         stage = LogisticRegression(**common, **({"maxIter": 30, "regParam": 1e-4} | params))

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowloom.fixed_values import BENIGN, GRAPH_SIZE, MAX_NODES, SEQ_LEN, WINDOW_STRIDE
+from flowloom.functions.values import named
 from flowloom.operators.lookup import join_counted
 from flowloom.operators.ordering import Indexed, dense_index, running_totals
 
@@ -127,9 +128,35 @@ def window_means(
     ix: Indexed, features: list[str], g: Geometry = Geometry(), cap: int | None = None
 ) -> DataFrame:
     """Mean of each feature over the sequence positions; missing positions count as zeros."""
-    sums = {f: F.sum(f) for f in features}
+    sums = {f: F.sum(named(f)) for f in features}
     return framed(ix, sums, g.seq_len, g, cap).select(
-        "block", "window_id", *[(F.coalesce(F.col(f), F.lit(0.0)) / g.seq_len).alias(f) for f in features]
+        "block", "window_id", *[(F.coalesce(named(f), F.lit(0.0)) / g.seq_len).alias(f) for f in features]
+    )
+
+
+def window_table(
+    ix: Indexed,
+    features: list[str],
+    label: str,
+    g: Geometry = Geometry(),
+    cap: int | None = None,
+    default: str = BENIGN,
+) -> DataFrame:
+    """``window_means`` with the centre label, both from one pass over the blocks."""
+    ahead = Window.partitionBy("block").orderBy(ix.index)
+    rows, size = in_blocks(ix, g)
+    i = F.col(ix.index)
+    frame = _frame(ix, g.seq_len)
+    return (
+        rows.select(
+            "block",
+            i.alias("_i"),
+            _window_id(i, ix, g, cap).alias("window_id"),
+            F.coalesce(F.lead(label, g.centre(ix.n)).over(ahead), F.lit(default)).alias("label"),
+            *[(F.coalesce(F.sum(named(f)).over(frame), F.lit(0.0)) / g.seq_len).alias(f) for f in features],
+        )
+        .filter(F.col("window_id").isNotNull() & (F.floor(F.col("_i") / size) == F.col("block")))
+        .drop("_i")
     )
 
 
@@ -140,7 +167,7 @@ def window_sequences(
 
     The matrix repeats each flow ``seq_len`` times; use it only where a model needs it.
     """
-    row = F.array(*[F.col(f).cast("float") for f in features])
+    row = F.array(*[named(f).cast("float") for f in features])
     zeros = F.array(*[F.lit(0.0).cast("float") for _ in features])
     seq = F.col("_seq")
     padding = F.array_repeat(zeros, F.greatest(F.lit(0), F.lit(g.seq_len) - F.size(seq)))

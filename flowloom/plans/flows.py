@@ -95,11 +95,9 @@ def build_window_vectors(
 ) -> DataFrame:
     """``(window_id, label, features)``: sequence means and two-hop graph read-out of each window."""
     names = list(feature_names)
-    sequence = windows.window_means(ix, names, g, cap)
+    sequence = windows.window_table(ix, names, label, g, cap)
     edges = graphs.by_block(windows.window_edges(ix, src, dst, names, g, cap))
-    graph = graphs.readout(graphs.propagate(edges, names), names)
-    labels = windows.window_labels(ix, label, g, cap)
-    return labels.join(graphs.fuse(sequence, graph, names), "window_id")
+    return graphs.fuse(sequence, graphs.readout(graphs.propagate(edges, names), names), names)
 
 
 def index_flows(df: DataFrame, tie_break: Sequence[str], timestamp: str = TIMESTAMP) -> Indexed:

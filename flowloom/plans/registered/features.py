@@ -61,7 +61,7 @@ _PAIRS = [(a, b) for i, a in enumerate(_ALL) for b in _ALL[i + 1:]]
     f"WITH {FLOWS_CTE}, v AS (SELECT * REPLACE (nullif(f_const, 1) AS f_const) FROM flows) "
     + " UNION ALL ".join(
         f"SELECT '{a}' AS a, '{b}' AS b, "
-        + ("cast(NULL AS double)" if "f_const" in (a, b) else f"round(corr({a}, {b}), 6)")
+        + ("max(cast(NULL AS double))" if "f_const" in (a, b) else f"round(corr({a}, {b}), 6)")
         + " AS corr FROM v"
         for a, b in _PAIRS
     )
@@ -98,12 +98,12 @@ def redundant_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     _FILLED_CTE + ", u AS (UNPIVOT (SELECT f_qty, f_price, f_const FROM filled) ON f_qty, f_price, f_const "
-    "INTO NAME feature VALUE v) SELECT feature, round(avg(v), 4) AS mean, "
-    "round(CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END, 4) AS std FROM u GROUP BY feature"
+    "INTO NAME feature VALUE v) SELECT feature, round(avg(v), 6) AS mean, "
+    "round(CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END, 6) AS std FROM u GROUP BY feature"
 )
 def scaler_statistics(spark: SparkSession, sf: str) -> DataFrame:
     means, stds = ft.fit_scaler(_filled(spark, sf), ["f_qty", "f_price", "f_const"])
-    rows = [(c, round(means[c], 4), round(stds[c], 4)) for c in means]
+    rows = [(c, round(means[c], 6), round(stds[c], 6)) for c in means]
     return spark.createDataFrame(rows, "feature string, mean double, std double")
 
 

@@ -1 +1,139 @@
-"""tbd"""
+"""Prototypes, few-shot episodes, window classifiers, prediction and model choice."""
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from flowloom.operators import models as m
+from flowloom.operators.artifacts import Artifacts
+from flowloom.operators.features import fit_features
+from flowloom.operators.lookup import label_map
+from flowloom.operators.ordering import dense_index
+from flowloom.plans import flows as jobs
+from flowloom.plans.registry import query
+from flowloom.plans.views import TIE, event_flows, flows, table
+from flowloom.scratch import stage
+
+_CLASSES = list(range(10))
+MEANS_CTE = (
+    "e AS (SELECT vec_id, label, unnest(range(64)) AS pos, cast(unnest(embedding) AS double) AS v FROM embeddings), "
+    "c AS (SELECT label, pos, avg(v) AS m FROM e GROUP BY label, pos), "
+    "d AS (SELECT e.vec_id, e.label, c.label AS cls, -sqrt(sum((v - m) * (v - m))) AS score "
+    "FROM e JOIN c USING (pos) GROUP BY e.vec_id, e.label, c.label)"
+)
+
+
+def scored_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors with their scores and predicted class; the prototypes come from the same table."""
+    df = table(spark, sf, "embeddings")
+    return m.Prototypes.fit(df, "embedding", "label", _CLASSES).predict(df, "embedding")
+
+
+@query(f"WITH {MEANS_CTE} SELECT label, cast(pos AS integer) AS pos, round(m, 6) AS mean FROM c")
+def class_prototypes(spark: SparkSession, sf: str) -> DataFrame:
+    means = m.class_means(table(spark, sf, "embeddings"), "embedding", "label")
+    return means.select("label", "pos", F.round("mean", 6).alias("mean"))
+
+
+@query(
+    f"WITH {MEANS_CTE} SELECT vec_id, label, arg_max(cls, score) AS pred, round(max(score), 6) AS score FROM d GROUP BY vec_id, label"
+)
+def nearest_prototype(spark: SparkSession, sf: str) -> DataFrame:
+    scored = scored_embeddings(spark, sf)
+    return scored.select("vec_id", "label", "pred", F.round(F.array_max("scores"), 6).alias("score"))
+
+
+@query(
+    f"WITH {MEANS_CTE}, x AS (SELECT vec_id, cls, exp(score) / sum(exp(score)) OVER (PARTITION BY vec_id) AS p FROM d) "
+    "SELECT vec_id, cls, round(p, 6) AS p FROM x"
+)
+def class_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    scored = m.add_prediction(scored_embeddings(spark, sf), "scores", label_map(map(str, _CLASSES)))
+    return scored.select("vec_id", F.posexplode("probs").alias("cls", "p")).withColumn("p", F.round("p", 6))
+
+
+@query(
+    "WITH ways AS (SELECT label FROM (SELECT DISTINCT label FROM embeddings) ORDER BY md5('42|class|' || label), label LIMIT 5), "
+    "r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id) AS rn "
+    "FROM embeddings WHERE label IN (SELECT label FROM ways)) "
+    "SELECT vec_id, label, CASE WHEN rn <= 5 THEN 'support' ELSE 'query' END AS role FROM r WHERE rn <= 20"
+)
+def few_shot_episode(spark: SparkSession, sf: str) -> DataFrame:
+    return m.few_shot_episode(table(spark, sf, "embeddings").select("vec_id", "label"), "label", ["vec_id"])
+
+
+@query(
+    "WITH h AS (SELECT o_orderstatus AS run, cast(o_orderkey % 50 AS integer) AS epoch, round(avg(o_totalprice), 4) AS val_acc "
+    "FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY val_acc DESC, epoch) AS rn FROM h) "
+    "SELECT run, epoch, val_acc FROM r WHERE rn = 1"
+)
+def best_epoch_per_run(spark: SparkSession, sf: str) -> DataFrame:
+    history = (
+        table(spark, sf, "orders")
+        .groupBy(F.col("o_orderstatus").alias("run"), (F.col("o_orderkey") % 50).cast("int").alias("epoch"))
+        .agg(F.round(F.avg("o_totalprice"), 4).alias("val_acc"))
+    )
+    return m.best_epoch(history, ["run"])
+
+
+def _event_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    ix = dense_index(event_flows(spark, sf), ["ts", "event_id"], name="events")
+    return stage(jobs.build_window_vectors(ix, ["value"], "src", "dst", "label"), "window-vectors")
+
+
+_EVENT_LABELS = label_map(["BENIGN", "click", "error", "purchase", "signup"])
+
+
+@query()
+def window_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Logistic regression on fused window vectors: predicted against true labels."""
+    vectors = _event_vectors(spark, sf)
+    model = m.fit_window_classifier(vectors, _EVENT_LABELS, maxIter=10)
+    scored = m.score_windows(vectors, model, _EVENT_LABELS)
+    return scored.groupBy("label", "pred_label").agg(F.count("*").alias("windows"))
+
+
+@query()
+def training_loss(spark: SparkSession, sf: str) -> DataFrame:
+    model = m.fit_window_classifier(_event_vectors(spark, sf), _EVENT_LABELS, maxIter=10)
+    return m.loss_history(spark, model)
+
+
+_FLOW_LABELS = label_map(["BENIGN", "Bot", "DDoS", "DoS Hulk", "PortScan"])
+_COLUMNS = {
+    "ts": "Timestamp", "src": "Source IP", "dst": "Destination IP", "label": "Label", "source_file": "SourceFile",
+    "f_qty": "Flow Bytes/s", "f_price": "Flow Packets/s",
+}
+_MODEL_FEATURES = ["Flow Bytes/s", "Flow Packets/s"]
+
+
+def _trained(spark: SparkSession, sf: str) -> tuple[DataFrame, Artifacts, object]:
+    raw = flows(spark, sf).select(*_COLUMNS, "ok", "ln", "pk", "sk").withColumnsRenamed(_COLUMNS)
+    art = fit_features(raw.select(*_MODEL_FEATURES), exact_medians=True)
+    ready = jobs.prepare_for_scoring(raw, art, ["ok", "ln", "pk", "sk"], "2024-01-01 00:00:00")
+    ix = jobs.index_flows(ready, ["ok", "ln", "pk", "sk", *_MODEL_FEATURES])
+    vectors = jobs.build_window_vectors(ix, _MODEL_FEATURES, "Source IP", "Destination IP", "Label")
+    return raw, art, m.fit_window_classifier(vectors, _FLOW_LABELS, maxIter=5)
+
+
+@query()
+def score_new_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A raw table through cleaning, windows and model to predicted label counts."""
+    raw, art, model = _trained(spark, sf)
+    scored = jobs.score_table(
+        raw, art, model, _MODEL_FEATURES, _FLOW_LABELS, [c for c in TIE if not c.startswith("f_")], "2024-01-01 00:00:00"
+    )
+    return scored.windows.groupBy("pred_label").agg(F.count("*").alias("windows"))
+
+
+@query()
+def cross_dataset_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The flow model evaluated on the event table, seen as another capture without endpoints."""
+    _, art, model = _trained(spark, sf)
+    other = table(spark, sf, "events").selectExpr(
+        "event_id", "ts AS Timestamp", "value AS `Flow Byts/s`", "'events.csv' AS SourceFile",
+        "CASE event_type WHEN 'view' THEN 'Benign' WHEN 'click' THEN 'DDOS attack-HOIC' "
+        "WHEN 'error' THEN 'DoS attacks-Hulk' ELSE 'Infilteration' END AS Label",
+    )
+    return jobs.evaluate_across(
+        other, art, model, _MODEL_FEATURES, _FLOW_LABELS, ["event_id"], "2024-01-01 00:00:00",
+        benign_rows=1500, key=["event_id"],
+    )

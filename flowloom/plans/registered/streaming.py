@@ -1 +1,61 @@
-"""tbd"""
+"""Incremental jobs run to completion; their results equal the batch ones."""
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from flowloom.operators.artifacts import Artifacts
+from flowloom.plans.registry import query
+from flowloom.plans.views import FLOWS_CTE, FLOWS, _select, table
+from flowloom.scratch import scratch_path
+from flowloom.streaming import incremental as inc
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    schema = table(spark, sf, name).schema
+    return inc.read_parquet_stream(spark, sf, schema, f"{name}.parquet")
+
+
+def _flow_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return _stream(spark, sf, "lineitem").selectExpr(*_select(FLOWS))
+
+
+@query(f"WITH {FLOWS_CTE} SELECT row_key, label, f_qty FROM flows WHERE label <> 'BENIGN'")
+def streamed_attacks(spark: SparkSession, sf: str) -> DataFrame:
+    out, checkpoint = scratch_path(spark, "attacks"), scratch_path(spark, "attacks-checkpoint")
+    stream = _flow_stream(spark, sf).select("row_key", "label", "f_qty")
+    inc.run(inc.materialize_attacks, stream, out, checkpoint, "label")
+    return spark.read.parquet(out)
+
+
+@query(f"WITH {FLOWS_CTE} SELECT label, count(*) AS count FROM flows GROUP BY label")
+def streamed_label_counts(spark: SparkSession, sf: str) -> DataFrame:
+    out, checkpoint = scratch_path(spark, "counts"), scratch_path(spark, "counts-checkpoint")
+    inc.run(inc.running_label_counts, _flow_stream(spark, sf).select("label"), out, checkpoint, "label")
+    return spark.read.parquet(out)
+
+
+@query(
+    f"WITH {FLOWS_CTE} SELECT round((f_qty - 25.5) / 14.25, 6) AS f_qty, round((coalesce(f_disc, 0.05) - 0.05) / 0.03, 6) AS f_disc, "
+    'label AS "Label", source_file AS "SourceFile" FROM flows'
+)
+def streamed_clean_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored medians and scaling applied chunk by chunk."""
+    art = Artifacts(
+        ["f_qty", "f_disc"], {"f_disc": 0.05}, {"f_qty": 25.5, "f_disc": 0.05}, {"f_qty": 14.25, "f_disc": 0.03}
+    )
+    out, checkpoint = scratch_path(spark, "chunks"), scratch_path(spark, "chunks-checkpoint")
+    stream = _flow_stream(spark, sf).selectExpr(
+        "cast(f_qty AS string) AS f_qty", "f_disc", "label AS Label", "source_file AS SourceFile"
+    )
+    inc.run(inc.clean_and_append, stream, art, out, checkpoint)
+    return spark.read.parquet(out).withColumns({c: F.round(c, 6) for c in ("f_qty", "f_disc")})
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def streamed_deduplication(spark: SparkSession, sf: str) -> DataFrame:
+    """Repeats of a user and event type are dropped within a horizon longer than the table's time span."""
+    out, checkpoint = scratch_path(spark, "dedup"), scratch_path(spark, "dedup-checkpoint")
+    stream = _stream(spark, sf, "events").select(
+        "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")
+    )
+    inc.run(inc.deduplicate, stream, ["user_id", "event_type"], "ts", "400 days", out, checkpoint)
+    return spark.read.parquet(out).select("user_id", "event_type")

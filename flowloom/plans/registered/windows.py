@@ -1 +1,220 @@
-"""tbd"""
+"""Dense index, sliding windows, window graphs and message passing."""
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from flowloom.operators import graphs as g, windows as w
+from flowloom.operators.lookup import label_index, label_map
+from flowloom.operators.ordering import Indexed, dense_index
+from flowloom.plans.flows import build_window_vectors
+from flowloom.plans.registry import query
+from flowloom.plans.views import EVENT_INDEX_CTE, INDEX_CTE, TIE, event_flows, flows
+
+_LABELS = label_map(["BENIGN", "DDoS", "DoS Hulk", "PortScan"])
+_SMALL = w.Geometry(seq_len=16, graph_size=32, stride=8, max_nodes=24)
+
+
+def _flow_index(spark: SparkSession, sf: str, *columns: str) -> Indexed:
+    wanted = dict.fromkeys(["ts", *TIE, *columns])
+    return dense_index(flows(spark, sf).select(*wanted), ["ts", *TIE], name="flows")
+
+
+def _event_index(spark: SparkSession, sf: str) -> Indexed:
+    return dense_index(event_flows(spark, sf), ["ts", "event_id"], name="events")
+
+
+def _frames(index_cte: str, geo: w.Geometry) -> str:
+    """Windows and their graph rows, one row per window and position."""
+    return (
+        f"WITH {index_cte}, tot AS (SELECT count(*) AS n FROM ix), "
+        f"win AS (SELECT i // {geo.stride} AS window_id, i AS start FROM ix, tot "
+        f"WHERE i % {geo.stride} = 0 AND i < greatest(1, n - {geo.seq_len + geo.graph_size})), "
+        "fr AS (SELECT window_id, p, x.* FROM win, "
+        f"(SELECT unnest(range({geo.graph_size})) AS p) JOIN ix x ON x.i = start + p)"
+    )
+
+
+def _edges(index_cte: str, geo: w.Geometry) -> str:
+    return _frames(index_cte, geo) + (
+        ", seen AS (SELECT window_id, src AS host, p AS o FROM fr UNION ALL "
+        f"SELECT window_id, dst, {geo.graph_size} + p FROM fr), "
+        "hosts AS (SELECT window_id, host, min(o) AS o FROM seen WHERE host IS NOT NULL GROUP BY window_id, host), "
+        "ranked AS (SELECT window_id, host, row_number() OVER (PARTITION BY window_id ORDER BY o) AS rn FROM hosts), "
+        f"nodes AS (SELECT window_id, host, rn - 1 AS node FROM ranked WHERE rn <= {geo.max_nodes}), "
+        "edges AS (SELECT fr.*, s.node AS src_node, d.node AS dst_node FROM fr "
+        "JOIN nodes s ON s.window_id = fr.window_id AND s.host = fr.src "
+        "JOIN nodes d ON d.window_id = fr.window_id AND d.host = fr.dst)"
+    )
+
+
+_DEFAULT = w.Geometry()
+
+
+@query(f"WITH {INDEX_CTE} SELECT i, ts, ok, ln, pk, sk, f_qty, f_price, label FROM ix")
+def dense_time_index(spark: SparkSession, sf: str) -> DataFrame:
+    return _flow_index(spark, sf, "label").df
+
+
+@query(
+    f"WITH {INDEX_CTE}, tot AS (SELECT count(*) AS n FROM ix), b AS (SELECT i // 8 AS window_id, "
+    "least(i + 16, n) AS e, least(i + 32, n) AS graph_end FROM ix, tot WHERE i % 8 = 0 AND i < greatest(1, n - 48)) "
+    "SELECT window_id, greatest(0, e - 16) AS start, e AS \"end\", graph_end FROM b"
+)
+def window_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return w.window_bounds(_flow_index(spark, sf), _SMALL)
+
+
+@query(
+    f"WITH {INDEX_CTE}, tot AS (SELECT count(*) AS n FROM ix), b AS (SELECT i AS window_id FROM ix, tot "
+    "WHERE i < greatest(1, n - 96)) SELECT window_id, label, cast(CASE label WHEN 'DDoS' THEN 1 WHEN 'DoS Hulk' THEN 2 "
+    "WHEN 'PortScan' THEN 3 ELSE 0 END AS integer) AS y FROM b JOIN ix ON i = window_id + 16"
+)
+def window_labels(spark: SparkSession, sf: str) -> DataFrame:
+    labels = w.window_labels(_flow_index(spark, sf, "label"), "label")
+    return labels.withColumn("y", label_index(F.col("label"), _LABELS))
+
+
+@query(
+    f"WITH {INDEX_CTE}, tot AS (SELECT count(*) AS n FROM ix), a AS (SELECT i, "
+    "avg(f_qty) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING) AS q, "
+    "avg(f_price) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING) AS p FROM ix) "
+    "SELECT i AS window_id, round(q, 6) AS f_qty, round(p, 8) AS f_price FROM a, tot WHERE i < greatest(1, n - 96)"
+)
+def window_means(spark: SparkSession, sf: str) -> DataFrame:
+    means = w.window_means(_flow_index(spark, sf), ["f_qty", "f_price"])
+    return means.select("window_id", F.round("f_qty", 6).alias("f_qty"), F.round("f_price", 8).alias("f_price"))
+
+
+@query(
+    f"WITH {INDEX_CTE}, tot AS (SELECT count(*) AS n FROM ix), win AS (SELECT i // 8 AS window_id, i AS start FROM ix, tot "
+    "WHERE i % 8 = 0 AND i < greatest(1, n - 48)) SELECT window_id, cast(p AS integer) AS pos, f_qty, f_tax FROM win, "
+    "(SELECT unnest(range(16)) AS p) JOIN ix ON i = start + p"
+)
+def window_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """Materialised sequences, one row per window and position."""
+    seq = w.window_sequences(_flow_index(spark, sf, "f_tax"), ["f_qty", "f_tax"], _SMALL)
+    rows = seq.select("window_id", F.posexplode("seq").alias("pos", "v"))
+    tax = F.round(F.col("v")[1].cast("double"), 4)
+    return rows.select("window_id", "pos", F.col("v")[0].cast("double").alias("f_qty"), tax.alias("f_tax"))
+
+
+@query(f"WITH {INDEX_CTE}, tot AS (SELECT count(*) AS n FROM ix) SELECT i AS window_id FROM ix, tot WHERE i < least(1000, greatest(1, n - 96))")
+def capped_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 1,000 windows: the cap is the feature of a quick evaluation."""
+    return w.window_bounds(_flow_index(spark, sf), cap=1000).select("window_id")
+
+
+@query(
+    _edges(EVENT_INDEX_CTE, _SMALL)
+    + " SELECT window_id, cast(node AS integer) AS node, host FROM nodes"
+)
+def window_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = w.window_nodes(_event_index(spark, sf), "src", "dst", _SMALL)
+    return nodes.select("window_id", F.posexplode("nodes").alias("node", "host"))
+
+
+@query(
+    _edges(EVENT_INDEX_CTE, _SMALL)
+    + " SELECT window_id, cast(row_number() OVER (PARTITION BY window_id ORDER BY i) - 1 AS integer) AS edge_pos, "
+    "cast(src_node AS integer) AS src_node, cast(dst_node AS integer) AS dst_node, i AS flow_idx, value FROM edges"
+)
+def window_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return w.window_edges(_event_index(spark, sf), "src", "dst", ["value"], _SMALL).drop("block")
+
+
+@query(
+    _edges(INDEX_CTE, _DEFAULT)
+    + " SELECT window_id, count(*) AS n_edges, cast(sum((src_node + 1) * (p + 1)) AS bigint) AS src_sum, "
+    "cast(sum((dst_node + 1) * (p + 1)) AS bigint) AS dst_sum FROM edges GROUP BY window_id"
+)
+def flow_window_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of every default window over all flows, as one fingerprint per window."""
+    edges = w.window_edges(_flow_index(spark, sf, "src", "dst"), "src", "dst")
+    p = F.col("flow_idx") - F.col("window_id") + 1
+    return edges.groupBy("window_id").agg(
+        F.count("*").alias("n_edges"),
+        F.sum((F.col("src_node") + 1) * p).alias("src_sum"),
+        F.sum((F.col("dst_node") + 1) * p).alias("dst_sum"),
+    )
+
+
+@query(
+    _edges(EVENT_INDEX_CTE, _SMALL)
+    + ", c AS (SELECT win.window_id, count(i) AS n_edges FROM win LEFT JOIN edges USING (window_id) GROUP BY win.window_id), "
+    "o AS (SELECT window_id, n_edges, cast(sum(n_edges) OVER (ORDER BY window_id) AS bigint) AS edge_end FROM c) "
+    "SELECT window_id, n_edges, edge_end - n_edges AS edge_start, edge_end FROM o"
+)
+def edge_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    ix = _event_index(spark, sf)
+    return w.edge_offsets(ix, w.window_edges(ix, "src", "dst", (), _SMALL), _SMALL)
+
+
+@query(
+    f"WITH {INDEX_CTE}, e AS (SELECT src AS endpoint, 0 AS side, i FROM ix UNION ALL SELECT dst, 1, i FROM ix), "
+    "f AS (SELECT endpoint, min((side, i)) AS o FROM e GROUP BY endpoint), "
+    "c AS (SELECT endpoint, row_number() OVER (ORDER BY o) - 1 AS code FROM f) "
+    "SELECT i, s.code AS src_code, d.code AS dst_code FROM ix JOIN c s ON s.endpoint = src JOIN c d ON d.endpoint = dst"
+)
+def endpoint_codes(spark: SparkSession, sf: str) -> DataFrame:
+    ix = w.encode_endpoints(_flow_index(spark, sf, "src", "dst"), "src", "dst")
+    return ix.df.select("i", "src_code", "dst_code")
+
+
+_STATE = (
+    ", ends AS (SELECT window_id, dst_node AS node, value AS v FROM edges UNION ALL "
+    "SELECT window_id, src_node, NULL FROM edges), "
+    "st AS (SELECT window_id, node, coalesce(avg(v), 0) AS v FROM ends GROUP BY window_id, node)"
+)
+_HOP = _STATE + (
+    ", msg AS (SELECT e.window_id, e.dst_node AS node, avg(st.v) AS m FROM edges e JOIN st "
+    "ON st.window_id = e.window_id AND st.node = e.src_node GROUP BY e.window_id, e.dst_node), "
+    "hop AS (SELECT st.window_id, st.node, st.v + coalesce(m, 0) AS v FROM st LEFT JOIN msg USING (window_id, node))"
+)
+
+
+def _event_edges(spark: SparkSession, sf: str, geo: w.Geometry) -> tuple[Indexed, DataFrame]:
+    ix = _event_index(spark, sf)
+    return ix, g.by_block(w.window_edges(ix, "src", "dst", ["value"], geo))
+
+
+@query(
+    _edges(EVENT_INDEX_CTE, _SMALL) + _STATE
+    + " SELECT window_id, cast(node AS integer) AS node, round(v, 9) AS value FROM st"
+)
+def node_means(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = g.node_means(_event_edges(spark, sf, _SMALL)[1], ["value"])
+    return nodes.select("window_id", "node", F.round("value", 9).alias("value"))
+
+
+@query(
+    _edges(EVENT_INDEX_CTE, _SMALL) + _HOP
+    + " SELECT window_id, cast(node AS integer) AS node, round(v, 9) AS value FROM hop"
+)
+def propagated_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = g.propagate(_event_edges(spark, sf, _SMALL)[1], ["value"])
+    return nodes.select("window_id", "node", F.round("value", 9).alias("value"))
+
+
+@query(
+    _edges(EVENT_INDEX_CTE, _DEFAULT) + _HOP
+    + " SELECT window_id, cast(max(node) + 1 AS integer) AS n_nodes, round(sum(v) / (max(node) + 1), 9) AS value "
+    "FROM hop GROUP BY window_id"
+)
+def graph_readout(spark: SparkSession, sf: str) -> DataFrame:
+    out = g.readout(g.propagate(_event_edges(spark, sf, _DEFAULT)[1], ["value"]), ["value"])
+    return out.select("window_id", "n_nodes", F.round("value", 9).alias("value"))
+
+
+@query(
+    _edges(EVENT_INDEX_CTE, _DEFAULT) + _HOP
+    + ", r AS (SELECT window_id, sum(v) / (max(node) + 1) AS v FROM hop GROUP BY window_id), "
+    "s AS (SELECT i AS window_id, avg(value) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING) AS m FROM ix), "
+    "l AS (SELECT i - 16 AS window_id, label FROM ix) "
+    "SELECT win.window_id, label, round(m, 9) AS sequence_mean, round(coalesce(v, 0), 9) AS graph_mean "
+    "FROM win JOIN s USING (window_id) JOIN l USING (window_id) LEFT JOIN r USING (window_id)"
+)
+def fused_window_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = build_window_vectors(_event_index(spark, sf), ["value"], "src", "dst", "label")
+    return vectors.select(
+        "window_id", "label",
+        F.round(F.col("features")[0], 9).alias("sequence_mean"), F.round(F.col("features")[1], 9).alias("graph_mean"),
+    )

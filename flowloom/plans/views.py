@@ -63,7 +63,7 @@ EVENTS = {
     "event_id": "event_id",
     "ts": "ts",
     "src": "concat('10.1.0.', cast(user_id as string))",
-    "dst": "event_type",
+    "dst": "concat('10.1.0.', cast(event_id % 40 as string))",
     "label": "CASE WHEN event_type='view' THEN 'BENIGN' ELSE event_type END",
     "value": "value",
 }
