@@ -10,11 +10,16 @@ def argmax(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
+def _with(value: Column, extra: Column, use) -> Column:
+    """``use(value, extra)`` with both computed once, not once per array element."""
+    bound = F.array(F.struct(value.alias("value"), extra.alias("extra")))
+    return F.transform(bound, lambda b: use(b["value"], b["extra"]))[0]
+
+
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda s: F.exp(s - top))
+    powers = _with(scores, F.array_max(scores), lambda s, top: F.transform(s, lambda x: F.exp(x - top)))
     total = F.aggregate(powers, F.lit(0.0), lambda acc, p: acc + p)
-    return F.transform(powers, lambda p: p / total)
+    return _with(powers, total, lambda p, t: F.transform(p, lambda x: x / t))
 
 
 def euclidean(a: Column, b: Column) -> Column:

@@ -122,9 +122,12 @@ def top_confusions(matrix: DataFrame, k: int = 5) -> DataFrame:
 
 
 def one_vs_rest(df: DataFrame, true: str, scores: str, classes: Sequence) -> DataFrame:
-    """``(class, score, pos, neg)`` counts per distinct score of each class."""
+    """``(class, score, pos, neg)`` counts per distinct score of each class.
+
+    The outer explode keeps Spark from deriving a filter that would compute the scores twice.
+    """
     entries = F.arrays_zip(_array(classes).alias("class"), F.col(scores).alias("score"))
-    long = df.select(F.col(true).alias("_t"), F.explode(entries).alias("_e")).select(
+    long = df.select(F.col(true).alias("_t"), F.explode_outer(entries).alias("_e")).select(
         "_t", F.col("_e.class").alias("class"), F.col("_e.score").alias("score")
     )
     hit = F.col("_t") == F.col("class")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -54,10 +55,8 @@ class Prototypes:
 
     def scores(self, vector: Column) -> Column:
         """Minus the euclidean distance to each centroid, in class order."""
-        query = F.transform(vector, lambda x: x.cast("double"))
-        return F.array(
-            *[-euclidean(query, F.array(*[F.lit(float(x)) for x in centre])) for centre in self.centres]
-        )
+        centres = F.from_json(F.lit(json.dumps(self.centres)), "array<array<double>>")
+        return F.transform(centres, lambda centre: -euclidean(vector, centre))
 
     def predict(self, df: DataFrame, vector: str, out: str = "pred", scores: str = "scores") -> DataFrame:
         """Adds the scores and the class of the largest one."""
@@ -120,17 +119,17 @@ def fit_window_classifier(
     data = _vectors(stage(windows.select(features, target), "training-vectors"), features)
     common = {"featuresCol": "_scaled", "labelCol": "_y"}
     if kind == "logistic":
-        stage = LogisticRegression(**common, **({"maxIter": 30, "regParam": 1e-4} | params))
+        learner = LogisticRegression(**common, **({"maxIter": 30, "regParam": 1e-4} | params))
     elif kind == "forest":
-        stage = RandomForestClassifier(**common, seed=seed, **({"numTrees": 20, "maxDepth": 6} | params))
+        learner = RandomForestClassifier(**common, seed=seed, **({"numTrees": 20, "maxDepth": 6} | params))
     elif kind == "perceptron":
         width = len(windows.select(features).first()[0])
         layers = params.pop("layers", [width, 128, len(label2idx)])
-        stage = MultilayerPerceptronClassifier(**common, layers=layers, seed=seed, **({"maxIter": 30} | params))
+        learner = MultilayerPerceptronClassifier(**common, layers=layers, seed=seed, **({"maxIter": 30} | params))
     else:
         raise ValueError(kind)
     scaler = StandardScaler(inputCol="_x", outputCol="_scaled", withMean=True, withStd=True)
-    return Pipeline(stages=[scaler, stage]).fit(data)
+    return Pipeline(stages=[scaler, learner]).fit(data)
 
 
 def _vectors(windows: DataFrame, features: str) -> DataFrame:

@@ -47,7 +47,7 @@ def nearest_prototype(spark: SparkSession, sf: str) -> DataFrame:
 )
 def class_probabilities(spark: SparkSession, sf: str) -> DataFrame:
     scored = m.add_prediction(scored_embeddings(spark, sf), "scores", label_map(map(str, _CLASSES)))
-    return scored.select("vec_id", F.posexplode("probs").alias("cls", "p")).withColumn("p", F.round("p", 6))
+    return scored.select("vec_id", F.posexplode_outer("probs").alias("cls", "p")).withColumn("p", F.round("p", 6))
 
 
 @query(

@@ -1,6 +1,6 @@
 """Dense index, sliding windows, window graphs and message passing."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowloom.operators import graphs as g, windows as w
 from flowloom.operators.lookup import label_index, label_map
@@ -48,6 +48,18 @@ def _edges(index_cte: str, geo: w.Geometry) -> str:
 
 _DEFAULT = w.Geometry()
 
+# Means over 2, 4, ... 64 values end exactly between two roundings; the nudge
+# settles such ties the same way whatever the order of summation.
+NUDGE = 3.1e-11
+
+
+def _settled(name: str) -> Column:
+    return F.round(F.col(name) + NUDGE, 9).alias(name)
+
+
+def _settled_sql(x: str) -> str:
+    return f"round({x} + {NUDGE}, 9)"
+
 
 @query(f"WITH {INDEX_CTE} SELECT i, ts, ok, ln, pk, sk, f_qty, f_price, label FROM ix")
 def dense_time_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,30 +190,30 @@ def _event_edges(spark: SparkSession, sf: str, geo: w.Geometry) -> tuple[Indexed
 
 @query(
     _edges(EVENT_INDEX_CTE, _SMALL) + _STATE
-    + " SELECT window_id, cast(node AS integer) AS node, round(v, 9) AS value FROM st"
+    + f" SELECT window_id, cast(node AS integer) AS node, {_settled_sql('v')} AS value FROM st"
 )
 def node_means(spark: SparkSession, sf: str) -> DataFrame:
     nodes = g.node_means(_event_edges(spark, sf, _SMALL)[1], ["value"])
-    return nodes.select("window_id", "node", F.round("value", 9).alias("value"))
+    return nodes.select("window_id", "node", _settled("value"))
 
 
 @query(
     _edges(EVENT_INDEX_CTE, _SMALL) + _HOP
-    + " SELECT window_id, cast(node AS integer) AS node, round(v, 9) AS value FROM hop"
+    + f" SELECT window_id, cast(node AS integer) AS node, {_settled_sql('v')} AS value FROM hop"
 )
 def propagated_nodes(spark: SparkSession, sf: str) -> DataFrame:
     nodes = g.propagate(_event_edges(spark, sf, _SMALL)[1], ["value"])
-    return nodes.select("window_id", "node", F.round("value", 9).alias("value"))
+    return nodes.select("window_id", "node", _settled("value"))
 
 
 @query(
     _edges(EVENT_INDEX_CTE, _DEFAULT) + _HOP
-    + " SELECT window_id, cast(max(node) + 1 AS integer) AS n_nodes, round(sum(v) / (max(node) + 1), 9) AS value "
+    + f" SELECT window_id, cast(max(node) + 1 AS integer) AS n_nodes, {_settled_sql('sum(v) / (max(node) + 1)')} AS value "
     "FROM hop GROUP BY window_id"
 )
 def graph_readout(spark: SparkSession, sf: str) -> DataFrame:
     out = g.readout(g.propagate(_event_edges(spark, sf, _DEFAULT)[1], ["value"]), ["value"])
-    return out.select("window_id", "n_nodes", F.round("value", 9).alias("value"))
+    return out.select("window_id", "n_nodes", _settled("value"))
 
 
 @query(
@@ -209,12 +221,13 @@ def graph_readout(spark: SparkSession, sf: str) -> DataFrame:
     + ", r AS (SELECT window_id, sum(v) / (max(node) + 1) AS v FROM hop GROUP BY window_id), "
     "s AS (SELECT i AS window_id, avg(value) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING) AS m FROM ix), "
     "l AS (SELECT i - 16 AS window_id, label FROM ix) "
-    "SELECT win.window_id, label, round(m, 9) AS sequence_mean, round(coalesce(v, 0), 9) AS graph_mean "
+    f"SELECT win.window_id, label, {_settled_sql('m')} AS sequence_mean, {_settled_sql('coalesce(v, 0)')} AS graph_mean "
     "FROM win JOIN s USING (window_id) JOIN l USING (window_id) LEFT JOIN r USING (window_id)"
 )
 def fused_window_vectors(spark: SparkSession, sf: str) -> DataFrame:
     vectors = build_window_vectors(_event_index(spark, sf), ["value"], "src", "dst", "label")
-    return vectors.select(
+    parts = vectors.select(
         "window_id", "label",
-        F.round(F.col("features")[0], 9).alias("sequence_mean"), F.round(F.col("features")[1], 9).alias("graph_mean"),
+        F.col("features")[0].alias("sequence_mean"), F.col("features")[1].alias("graph_mean"),
     )
+    return parts.select("window_id", "label", _settled("sequence_mean"), _settled("graph_mean"))
