@@ -21,7 +21,7 @@ from flowloom.functions.labels import binary_label, canonical_label, mapped_labe
 from flowloom.functions.values import finite, named, pseudo_endpoints, to_number, to_timestamp
 from flowloom.operators.artifacts import numeric_columns
 from flowloom.operators.lookup import join_counted
-from flowloom.operators.ordering import dense_index, running_totals
+from flowloom.operators.ordering import dense_index
 from flowloom.operators.quantiles import approx_quantiles, exact_quantiles
 
 # Wide tables take the sketch, narrow ones the exact median.
@@ -36,17 +36,14 @@ def normalize_labels(df: DataFrame, label: str = LABEL) -> DataFrame:
     ASCII text is its own NFKC form and never leaves the JVM; only the distinct
     labels with other characters visit Python, and come back by a join.
     """
-    odd = (
-        df.select(F.col(label).alias("_raw"))
-        .filter(F.col("_raw").rlike(_NON_ASCII))
-        .distinct()
-        .withColumn("_nfkc", nfkc("_raw"))
-    )
-    composed = F.coalesce("_nfkc", F.col(label))
-    return (
-        df.join(odd, F.col(label) == F.col("_raw"), "left")
-        .withColumn(label, canonical_label(composed))
-        .drop("_raw", "_nfkc")
+    odd = df.select(F.col(label).alias("_raw")).filter(F.col("_raw").rlike(_NON_ASCII)).distinct()
+    n_odd = odd.count()
+    if n_odd == 0:
+        return df.withColumn(label, canonical_label(label))
+    composed = odd.select(F.col("_raw").alias(label), nfkc("_raw").alias("_nfkc"))
+    joined = join_counted(df, composed, n_odd, label)
+    return joined.withColumn(label, canonical_label(F.coalesce("_nfkc", label))).select(
+        *[named(c) for c in df.columns]
     )
 
 
@@ -139,11 +136,14 @@ def has_usable_endpoints(df: DataFrame, src: str = SOURCE_IP, dst: str = DESTINA
 
 
 def row_index_per_file(df: DataFrame, order_by: Sequence[str], file: str = SOURCE_FILE) -> DataFrame:
-    """Adds ``row_index``, 0-based within each file in ``order_by`` order."""
-    counted = running_totals(
-        df.withColumn("_one", F.lit(1).cast("long")), list(order_by), {"_one": "_rank"}, restart_by=file, name="file-rows"
-    )
-    return counted.withColumn("row_index", F.col("_rank") - 1).drop("_one", "_rank")
+    """Adds ``row_index``, 0-based within each file in ``order_by`` order.
+
+    A file's rows are neighbours in the global index, so its first position is all that is needed.
+    """
+    ix = dense_index(df, [file, *order_by], index="_i", name="file-rows")
+    starts = ix.df.groupBy(file).agg(F.min("_i").alias("_first"))
+    placed = join_counted(ix.df, starts, starts.count(), file)
+    return placed.select(*[named(c) for c in df.columns], (F.col("_i") - F.col("_first")).alias("row_index"))
 
 
 def assign_endpoints(

@@ -26,7 +26,7 @@ def confusion(
     counts = pairs.groupBy(*by, F.col(true).alias("true"), F.col(pred).alias("pred")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    frame = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    frame = counts.select(*by).distinct() if by else df.sparkSession.range(1).select()
     grid = (
         frame.select(*by, F.explode(_array(classes)).alias("true"))
         .select(*by, "true", F.explode(_array(classes)).alias("pred"))
@@ -136,11 +136,6 @@ def one_vs_rest(df: DataFrame, true: str, scores: str, classes: Sequence) -> Dat
     )
 
 
-def _class_totals(counts: DataFrame) -> DataFrame:
-    """Positives and negatives per class: one row per class of the class list."""
-    return counts.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-
-
 def roc_curve(df: DataFrame, true: str, scores: str, classes: Sequence, drop_intermediate: bool = True) -> DataFrame:
     """``(class, threshold, fpr, tpr)`` by falling threshold, from the origin (null threshold).
 
@@ -151,14 +146,14 @@ def roc_curve(df: DataFrame, true: str, scores: str, classes: Sequence, drop_int
     counts = one_vs_rest(df, true, scores, classes)
     order = [F.col("score").desc()]
     sums = running_totals(counts, order, {"pos": "tp", "neg": "fp"}, restart_by="class", name="roc")
+    # The last running sums of a class are its totals: one row per class of the list.
+    totals = sums.groupBy("class").agg(F.max("tp").alias("P"), F.max("fp").alias("N"))
     if drop_intermediate:
-        # The step after a score is the step before it seen from the other end:
-        # attach each score's successor counts by ranking backwards.
         sums = _with_next_step(sums)
         bend = (F.col("next_pos").isNull() | (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
                 | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
         sums = sums.filter(bend)
-    points = sums.join(F.broadcast(_class_totals(counts)), "class").select(
+    points = sums.join(F.broadcast(totals), "class").select(
         "class",
         F.col("score").cast("double").alias("threshold"),
         (F.col("fp") / F.nullif(F.col("N"), F.lit(0))).alias("fpr"),

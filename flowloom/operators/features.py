@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import batched, combinations
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -28,12 +29,6 @@ from flowloom.operators.columns import ensure_features, keep_columns
 PAIRS_PER_JOB = 300
 
 
-def sample_stds(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    """Sample standard deviation of every column in one pass."""
-    row = df.agg(*[F.stddev_samp(named(c)).alias(f"s{k}") for k, c in enumerate(columns)]).first()
-    return {c: row[f"s{k}"] for k, c in enumerate(columns)}
-
-
 def near_zero_variance(stds: dict[str, float | None], threshold: float = STD_THRESHOLD) -> dict[str, str]:
     """Columns to drop for lack of variation, with the reason."""
     return {c: VARIANCE_REASON for c, s in stds.items() if s is None or s <= threshold}
@@ -47,14 +42,25 @@ def correlation(a: Column, b: Column) -> Column:
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(a, b, corr)`` for each pair of columns, nulls left out pair by pair."""
-    jobs = []
-    for pairs in batched(combinations(columns, 2), PAIRS_PER_JOB):
-        cells = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(named(a), named(b)).alias("corr"))
-            for a, b in pairs
-        ]
-        jobs.append(df.agg(F.array(*cells).alias("cells")).select(F.inline("cells")))
+    """``(a, b, corr)`` for each pair of columns, nulls left out pair by pair.
+
+    Columns without nulls need no masking, so their deviations are computed once for all pairs.
+    """
+    nulls = df.agg(*[F.count_if(named(c).isNull()).alias(f"n{k}") for k, c in enumerate(columns)]).first()
+    complete = {c for k, c in enumerate(columns) if nulls[f"n{k}"] == 0}
+
+    def cell(a: str, b: str) -> Column:
+        x, y = named(a), named(b)
+        if {a, b} <= complete:
+            value = F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+        else:
+            value = correlation(x, y)
+        return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value.alias("corr"))
+
+    jobs = [
+        df.agg(F.array(*[cell(a, b) for a, b in pairs]).alias("cells")).select(F.inline("cells"))
+        for pairs in batched(combinations(columns, 2), PAIRS_PER_JOB)
+    ]
     out = jobs[0]
     for more in jobs[1:]:
         out = out.unionByName(more)
@@ -95,15 +101,35 @@ def redundant_features(
     return dropped
 
 
-def fit_scaler(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, float], dict[str, float]]:
-    """Mean and population standard deviation in one pass; a zero deviation scales by 1."""
+@dataclass(frozen=True)
+class Moments:
+    mean: float | None
+    std_samp: float | None
+    std_pop: float | None
+
+
+def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Moments]:
+    """Mean and both standard deviations of every column in one pass."""
     row = df.agg(
-        *[F.avg(named(c)).alias(f"m{k}") for k, c in enumerate(columns)],
-        *[F.stddev_pop(named(c)).alias(f"s{k}") for k, c in enumerate(columns)],
+        *[
+            F.struct(
+                F.avg(named(c)).alias("mean"),
+                F.stddev_samp(named(c)).alias("std_samp"),
+                F.stddev_pop(named(c)).alias("std_pop"),
+            ).alias(f"m{k}")
+            for k, c in enumerate(columns)
+        ]
     ).first()
-    means = {c: row[f"m{k}"] or 0.0 for k, c in enumerate(columns)}
-    stds = {c: row[f"s{k}"] or 1.0 for k, c in enumerate(columns)}
-    return means, stds
+    return {c: Moments(**row[f"m{k}"].asDict()) for k, c in enumerate(columns)}
+
+
+def scaler_of(stats: dict[str, Moments]) -> tuple[dict[str, float], dict[str, float]]:
+    """Means and population standard deviations; a zero deviation scales by 1."""
+    return {c: m.mean or 0.0 for c, m in stats.items()}, {c: m.std_pop or 1.0 for c, m in stats.items()}
+
+
+def fit_scaler(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, float], dict[str, float]]:
+    return scaler_of(moments(df, columns))
 
 
 def scale(df: DataFrame, art: Artifacts) -> DataFrame:
@@ -121,15 +147,16 @@ def fit_features(
     columns = numeric_columns(df, tuple(exclude))
     medians = fit_medians(df, columns, exact_medians)
     filled = impute(df.select(*[named(c) for c in columns]), medians)
+    stats = moments(filled, columns)
     dropped: dict[str, str] = {}
     if select:
-        stds = sample_stds(filled, columns)
+        stds = {c: m.std_samp for c, m in stats.items()}
         dropped = near_zero_variance(stds)
         kept = [c for c in columns if c not in dropped]
         if len(kept) > 1:
             dropped |= redundant_features(kept, correlation_matrix(filled, kept), stds)
     features = [c for c in columns if c not in dropped]
-    means, deviations = fit_scaler(filled, features)
+    means, deviations = scaler_of({c: stats[c] for c in features})
     return Artifacts(features, medians, means, deviations, dropped)
 
 

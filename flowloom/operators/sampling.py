@@ -30,7 +30,7 @@ from flowloom.fixed_values import (
 from flowloom.functions.labels import is_benign, label_key, label_key_text
 from flowloom.functions.ordering import hash_share, random_key
 from flowloom.functions.values import named
-from flowloom.operators.lookup import lookup_literal
+from flowloom.operators.lookup import join_counted, lookup_literal
 from flowloom.operators.ordering import dense_index
 
 # Leading hex digits of the random key that form a bucket: 65,536 buckets.
@@ -150,7 +150,7 @@ def draw_with_replacement(df: DataFrame, rows: int, key: Sequence[str], seed: in
         return ix.df.withColumnRenamed("_i", "draw")
     digits = F.conv(F.substring(random_key(seed, F.lit("draw"), F.col("draw")), 1, 15), 16, 10).cast("long")
     draws = df.sparkSession.range(rows).withColumnRenamed("id", "draw").withColumn("_i", F.pmod(digits, F.lit(ix.n)))
-    return draws.join(ix.df, "_i").drop("_i")
+    return join_counted(ix.df, draws, rows, "_i", "inner").drop("_i")
 
 
 def shuffle(df: DataFrame, key: Sequence[str], seed: int = SEED) -> DataFrame:

@@ -108,60 +108,44 @@ def framed(
     g: Geometry = Geometry(),
     cap: int | None = None,
     size: int | None = None,
+    label: str | None = None,
+    default: str = BENIGN,
 ) -> DataFrame:
-    """``(block, window_id, ...)`` with aggregates over ``length`` flows from each window start."""
+    """``(block, window_id, ...)`` with aggregates over ``length`` flows from each window start.
+
+    With ``label`` the centre flow's label comes from the same pass over the blocks.
+    """
     rows, size = in_blocks(ix, g, size)
     i = F.col(ix.index)
+    ahead = Window.partitionBy("block").orderBy(ix.index)
+    frame = ahead.rowsBetween(0, length - 1)
+    out = {name: c.over(frame) for name, c in columns.items()}
+    if label:
+        out["label"] = F.coalesce(F.lead(label, g.centre(ix.n)).over(ahead), F.lit(default))
     return (
         rows.select(
             "block",
             i.alias("_i"),
             _window_id(i, ix, g, cap).alias("window_id"),
-            *[c.over(_frame(ix, length)).alias(name) for name, c in columns.items()],
+            *[c.alias(name) for name, c in out.items()],
         )
-        .filter((F.col("window_id").isNotNull()) & (F.floor(F.col("_i") / size) == F.col("block")))
+        .filter(F.col("window_id").isNotNull() & (F.floor(F.col("_i") / size) == F.col("block")))
         .drop("_i")
     )
 
 
 def window_means(
-    ix: Indexed, features: list[str], g: Geometry = Geometry(), cap: int | None = None
+    ix: Indexed, features: list[str], g: Geometry = Geometry(), cap: int | None = None, label: str | None = None
 ) -> DataFrame:
     """Mean of each feature over the sequence positions; missing positions count as zeros."""
     sums = {f: F.sum(named(f)) for f in features}
-    return framed(ix, sums, g.seq_len, g, cap).select(
-        "block", "window_id", *[(F.coalesce(named(f), F.lit(0.0)) / g.seq_len).alias(f) for f in features]
-    )
-
-
-def window_table(
-    ix: Indexed,
-    features: list[str],
-    label: str,
-    g: Geometry = Geometry(),
-    cap: int | None = None,
-    default: str = BENIGN,
-) -> DataFrame:
-    """``window_means`` with the centre label, both from one pass over the blocks."""
-    ahead = Window.partitionBy("block").orderBy(ix.index)
-    rows, size = in_blocks(ix, g)
-    i = F.col(ix.index)
-    frame = _frame(ix, g.seq_len)
-    return (
-        rows.select(
-            "block",
-            i.alias("_i"),
-            _window_id(i, ix, g, cap).alias("window_id"),
-            F.coalesce(F.lead(label, g.centre(ix.n)).over(ahead), F.lit(default)).alias("label"),
-            *[(F.coalesce(F.sum(named(f)).over(frame), F.lit(0.0)) / g.seq_len).alias(f) for f in features],
-        )
-        .filter(F.col("window_id").isNotNull() & (F.floor(F.col("_i") / size) == F.col("block")))
-        .drop("_i")
+    return framed(ix, sums, g.seq_len, g, cap, label=label).withColumns(
+        {f: F.coalesce(named(f), F.lit(0.0)) / g.seq_len for f in features}
     )
 
 
 def window_sequences(
-    ix: Indexed, features: list[str], g: Geometry = Geometry(), cap: int | None = None
+    ix: Indexed, features: list[str], g: Geometry = Geometry(), cap: int | None = None, label: str | None = None
 ) -> DataFrame:
     """``(window_id, seq)``: the float matrix of each window, zero rows first when flows are too few.
 
@@ -169,10 +153,10 @@ def window_sequences(
     """
     row = F.array(*[named(f).cast("float") for f in features])
     zeros = F.array(*[F.lit(0.0).cast("float") for _ in features])
-    seq = F.col("_seq")
+    seq = F.col("seq")
     padding = F.array_repeat(zeros, F.greatest(F.lit(0), F.lit(g.seq_len) - F.size(seq)))
-    return framed(ix, {"_seq": F.collect_list(row)}, g.seq_len, g, cap).select(
-        "block", "window_id", F.concat(padding, seq).alias("seq")
+    return framed(ix, {"seq": F.collect_list(row)}, g.seq_len, g, cap, label=label).withColumn(
+        "seq", F.concat(padding, seq)
     )
 
 

@@ -95,7 +95,7 @@ def build_window_vectors(
 ) -> DataFrame:
     """``(window_id, label, features)``: sequence means and two-hop graph read-out of each window."""
     names = list(feature_names)
-    sequence = windows.window_table(ix, names, label, g, cap)
+    sequence = windows.window_means(ix, names, g, cap, label)
     edges = graphs.by_block(windows.window_edges(ix, src, dst, names, g, cap))
     return graphs.fuse(sequence, graphs.readout(graphs.propagate(edges, names), names), names)
 

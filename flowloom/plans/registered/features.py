@@ -47,7 +47,7 @@ def label_profile(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT feature, round(sd, 4) AS std, sd <= 1e-8 AS dropped FROM s"
 )
 def near_zero_variance(spark: SparkSession, sf: str) -> DataFrame:
-    stds = ft.sample_stds(_filled(spark, sf), _ALL)
+    stds = {c: m.std_samp for c, m in ft.moments(_filled(spark, sf), _ALL).items()}
     gone = ft.near_zero_variance(stds)
     return spark.createDataFrame(
         [(c, round(s, 4), c in gone) for c, s in stds.items()], "feature string, std double, dropped boolean"
@@ -92,7 +92,8 @@ def correlation_matrix(spark: SparkSession, sf: str) -> DataFrame:
 def redundant_features(spark: SparkSession, sf: str) -> DataFrame:
     names = [c for c in _ALL if c != "f_const"]
     df = _filled(spark, sf)
-    gone = ft.redundant_features(names, ft.correlation_matrix(df, names), ft.sample_stds(df, names))
+    stds = {c: m.std_samp for c, m in ft.moments(df, names).items()}
+    gone = ft.redundant_features(names, ft.correlation_matrix(df, names), stds)
     return spark.createDataFrame([(c, c in gone) for c in names], "feature string, dropped boolean")
 
 

@@ -39,10 +39,8 @@ def write_window_store(
     if store_exists(spark, path) and not force:
         return False
     features = list(features)
-    labels = window_labels(ix, label, g, cap).withColumn("y", label_index(F.col("label"), label2idx))
-    windows = labels
-    if sequences:
-        windows = window_sequences(ix, features, g, cap).join(labels, "window_id")
+    windows = window_sequences(ix, features, g, cap, label) if sequences else window_labels(ix, label, g, cap)
+    windows = windows.withColumn("y", label_index(F.col("label"), label2idx))
     windows.write.mode("overwrite").parquet(f"{path}/windows")
     window_edges(ix, src, dst, features, g, cap).write.mode("overwrite").parquet(f"{path}/window_edges")
     meta = {
