@@ -71,6 +71,9 @@ def last_admitted(
 
 def take_first(df: DataFrame, group: str, quotas: Mapping, levels: Sequence[Column], order: Column) -> DataFrame:
     """The first ``quota`` rows of each listed group; other groups and short groups stay whole."""
+    empty = [g for g, q in quotas.items() if q <= 0]
+    if empty:
+        df = df.filter(~F.coalesce(F.col(group).isin(empty), F.lit(False)))
     last = last_admitted(df, group, quotas, levels, order)
     return (
         df.join(F.broadcast(last), group, "left")

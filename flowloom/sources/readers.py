@@ -89,10 +89,13 @@ def read_flow_csv(
 
 
 def _scan(spark: SparkSession, files: list[str], names: list[str], encoding: str, with_position: bool) -> DataFrame:
+    # Whole lines are parsed even when few columns are wanted: a pruned parser does not see surplus fields.
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
     df = (
         spark.read.schema(schema)
-        .options(header=True, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+        .options(
+            header=True, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False
+        )
         .csv([f.replace("%20", " ") for f in files])
     )
     unquoted = F.regexp_replace(CORRUPT, '"[^"]*"', "")
