@@ -99,17 +99,19 @@ def frequency_codes(df: DataFrame, column: str):
     return dense_index(counts, [F.col("n").desc(), F.col("value").asc()], index="code", name="frequency-codes")
 
 
-def encode_by_frequency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace text columns by their frequency-ordered codes."""
+def encode_by_frequency(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
+    """Replace text columns by their frequency-ordered codes; also the number of values of each."""
+    sizes = {}
     for c in columns:
         codes = frequency_codes(df, c)
+        sizes[c] = codes.n
         lookup = codes.df.select(F.col("value").alias("_value"), F.col("code").cast("int").alias("_code"))
         df = (
             join_counted(df.withColumn("_value", F.coalesce(named(c), F.lit(MISSING))), lookup, codes.n, "_value")
             .withColumn(c, F.col("_code"))
             .drop("_value", "_code")
         )
-    return df
+    return df, sizes
 
 
 def endpoint_report(df: DataFrame, by: Sequence[str] = (), src: str = SOURCE_IP, dst: str = DESTINATION_IP) -> DataFrame:

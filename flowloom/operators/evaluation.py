@@ -242,12 +242,12 @@ def metrics_document(df: DataFrame, true: str, pred: str, classes: Sequence, by:
                 F.map_from_entries(F.array_sort(F.collect_list(F.struct(text, "true_count")))).alias("class_dist_true"),
                 F.map_from_entries(F.array_sort(F.collect_list(F.struct(text, "pred_count")))).alias("class_dist_pred")),
     ]
-    # Every part has one row per group; without groups a constant key joins them.
-    if not keys:
-        keys = ["_one"]
-        parts = [p.withColumn("_one", F.lit(1)) for p in parts]
+    # Every part has one row per group.
     out = parts[0]
     for part in parts[1:]:
-        out = out.join(part, keys)
+        if keys:
+            out = out.join(part, keys)
+        else:
+            out = out.withColumns({c: part.select(c).scalar() for c in part.columns})
     fields = [c for c in out.columns if c not in keys and c != "_cells"]
     return out.select(*by, F.to_json(F.struct(*fields)).alias("metrics"))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowloom.fixed_values import BENIGN, UNKNOWN_LABEL
+from flowloom.operators.ordering import dense_index
 
 # Rows up to which a lookup table is sent to every executor.
 BROADCAST_ROWS = 1_000_000
@@ -46,9 +47,11 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def label_index_table(df: DataFrame, label: str) -> DataFrame:
-    """``(label, idx)`` over the labels present; the distinct labels are few."""
-    found = F.sort_array(F.collect_set(label))
-    return df.agg(found.alias("labels")).select(F.posexplode("labels").alias("idx", "label")).select("label", "idx")
+    """``(label, idx)`` over the labels present, in sorted order."""
+    labels = df.select(label).dropna().distinct()
+    return dense_index(labels, [label], index="idx", name="labels").df.select(
+        F.col(label).alias("label"), F.col("idx").cast("int").alias("idx")
+    )
 
 
 def compare_on(left: DataFrame, right: DataFrame | None, key: str, suffixes: tuple[str, str]) -> DataFrame:

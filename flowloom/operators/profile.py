@@ -149,3 +149,24 @@ def describe(df: DataFrame, numeric: Sequence[str] | None = None, text: Sequence
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
+
+
+def profile_document(df: DataFrame, label: str = LABEL, top: int = 20) -> DataFrame:
+    """The profile as one JSON text: shape, columns, duplicates, missing values, what else is available."""
+    numeric = numeric_columns(df)
+    missing = missing_counts(df)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("missing_count")).alias("k"), "column")))
+    worst = missing.limit(top).agg(
+        F.transform(ranked, lambda w: F.struct(w["column"].alias("column"), (-w["k"]).alias("missing_count")))
+    )
+    document = shape(df).select(
+        F.struct("rows", "cols").alias("shape"),
+        F.array(*[F.lit(c) for c in df.columns]).alias("columns"),
+        duplicate_count(df).scalar().alias("duplicate_rows"),
+        missing.agg(F.count_if(F.col("missing_count") > 0)).scalar().alias("num_missing_columns"),
+        worst.scalar().alias("top_missing_columns"),
+        F.lit(label in df.columns).alias("label_distribution_available"),
+        F.struct(F.lit(len(numeric)).alias("rows"), F.lit(len(numeric)).alias("cols")).alias("correlation_shape"),
+        F.lit(len(numeric) if label in df.columns else 0).alias("feature_importance_rows"),
+    )
+    return document.select(F.to_json(F.struct("*")).alias("profile"))

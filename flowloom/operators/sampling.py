@@ -106,8 +106,12 @@ def cap_benign(
 
 def sample_rows(df: DataFrame, rows: int, key: Sequence[str], seed: int = SEED) -> DataFrame:
     """Exactly ``rows`` random rows, or all of them when there are fewer."""
+    if rows <= 0:
+        return df.limit(0)
     levels, order = _random_order(seed, key)
-    return take_first(df.withColumn("_all", F.lit(0)), "_all", {0: rows}, levels, order).drop("_all")
+    last = last_admitted(df.withColumn("_all", F.lit(0)), "_all", {0: rows}, levels, order)
+    limit = last.select("last").scalar()
+    return df.filter(limit.isNull() | (order <= limit))
 
 
 def first_of_each(

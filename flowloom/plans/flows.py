@@ -48,11 +48,13 @@ def build_training_table(
     keep: Sequence[str] | None = TRAIN_ATTACK_LABELS,
     binary: bool = False,
     exact_medians: bool | None = None,
+    text_features: Sequence[str] = (),
 ) -> TrainingTable:
     """Raw flows to the scaled training table.
 
     ``keep`` are the attack classes to train on; with ``binary`` every attack
     is one class and no column is dropped by variance or correlation.
+    ``text_features`` are encoded by frequency instead of read as numbers.
     """
     df = columns.clean_column_names(raw)
     df = cleaning.normalize_labels(columns.apply_aliases(df))
@@ -66,7 +68,6 @@ def build_training_table(
     if "_ts" in clean.columns:
         clean = clean.withColumn(TIMESTAMP, F.col("_ts")).drop("_ts")
     low, other = rows.dropped_class_counts(clean), rows.other_class_counts(rows.drop_classes(clean), keep or ())
-    encoded = {}
     if binary:
         typed = cleaning.to_binary(clean)
         low, other = low.limit(0), other.limit(0)
@@ -77,7 +78,8 @@ def build_training_table(
         else:
             other = other.limit(0)
     meta = (*META_COLUMNS, LABEL_ORIGINAL)
-    coerced = stage(cleaning.coerce_numbers(typed, meta), "coerced-flows")
+    numbers, encoded = cleaning.encode_by_frequency(cleaning.coerce_numbers(typed, meta, text_features), text_features)
+    coerced = stage(numbers, "coerced-flows")
     art = features.fit_features(coerced, exact_medians, select=not binary, exclude=meta)
     art.dropped = dropped | art.dropped
     scaled = features.align(coerced, art, meta=[c for c in meta if c in coerced.columns])

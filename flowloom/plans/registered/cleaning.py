@@ -83,7 +83,7 @@ def apply_stored_medians(spark: SparkSession, sf: str) -> DataFrame:
     "FROM flows GROUP BY dst) SELECT row_key, cast(code AS integer) AS dst FROM flows JOIN freq USING (dst)"
 )
 def frequency_codes(spark: SparkSession, sf: str) -> DataFrame:
-    return c.encode_by_frequency(flows(spark, sf).select("row_key", "dst"), ["dst"])
+    return c.encode_by_frequency(flows(spark, sf).select("row_key", "dst"), ["dst"])[0]
 
 
 @query(

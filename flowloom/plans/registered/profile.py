@@ -129,19 +129,15 @@ def numeric_profile_by_label(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    f"WITH {RAW_CTE} SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM raw)) AS duplicate_rows, "
+    "cast((count(row_key) < count(*))::int + (count(qty_raw) < count(*))::int + (count(label_raw) < count(*))::int "
+    "+ (count(ts_raw) < count(*))::int + (count(src_raw) < count(*))::int + (count(dst_raw) < count(*))::int "
+    "+ (count(file) < count(*))::int AS bigint) AS num_missing_columns FROM raw"
+)
 def profile_document(spark: SparkSession, sf: str) -> DataFrame:
-    """Shape, duplicates, missing values, label distribution and schema as one JSON text."""
-    df = flows(spark, sf).select("label", "src", "dst", "f_qty", "f_disc")
-    rows = F.collect_list
-    parts = [
-        p.shape(df).agg(F.first(F.struct("rows", "cols")).alias("shape")),
-        p.duplicate_count(df).agg(F.first("duplicate_rows").alias("duplicate_rows")),
-        p.missing_counts(df, 20).agg(rows(F.struct("column", "missing_count")).alias("top_missing_columns")),
-        p.label_distribution(df, "label").agg(rows(F.struct("label", "count")).alias("label_distribution")),
-        p.schema_profile(df).agg(rows(F.struct("ord", "column", "type", "non_null")).alias("columns")),
-    ]
-    out = parts[0].withColumn("_one", F.lit(1))
-    for part in parts[1:]:
-        out = out.join(part.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one").select(F.to_json(F.struct("*")).alias("profile"))
+    """The JSON profile, read back."""
+    doc = p.profile_document(raw_flows(spark, sf), "label_raw")
+    d = F.from_json("profile", "struct<shape:struct<rows:bigint>,duplicate_rows:bigint,num_missing_columns:bigint>")
+    return doc.select(d["shape"]["rows"].alias("rows"), d["duplicate_rows"].alias("duplicate_rows"),
+                      d["num_missing_columns"].alias("num_missing_columns"))

@@ -121,7 +121,7 @@ def deduplicate_rows(spark: SparkSession, sf: str) -> DataFrame:
 def deduplicate_per_file(spark: SparkSession, sf: str) -> DataFrame:
     unique = flows(spark, sf).select("source_file", "label", "f_qty").dropDuplicates()
     left = unique.groupBy("source_file").agg(F.count("*").alias("left_in_file"))
-    return unique.join(F.broadcast(left), "source_file")
+    return unique.join(left, "source_file")
 
 
 @query("SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL")

@@ -121,8 +121,8 @@ def test_exact_quantiles_ranked_over_partitions(spark, monkeypatch):
 
 def test_frequency_codes_with_missing(spark):
     df = spark.createDataFrame([(x,) for x in ["b", "a", "b", None, "c", "a", "b"]], "x string")
-    got = sorted(r["x"] for r in cleaning.encode_by_frequency(df, ["x"]).collect())
-    assert got == [0, 0, 0, 1, 1, 2, 3]
+    coded, sizes = cleaning.encode_by_frequency(df, ["x"])
+    assert sorted(r["x"] for r in coded.collect()) == [0, 0, 0, 1, 1, 2, 3] and sizes == {"x": 4}
 
 
 def test_meta_by_substring():
