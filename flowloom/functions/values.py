@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -28,9 +29,23 @@ def to_number(text: Column) -> Column:
     return finite(F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double")))
 
 
+def _shape(pattern: str) -> str:
+    """Regular expression of texts that can match a timestamp pattern."""
+    fields = {1: "[0-9]{1,2}"}
+    runs = re.findall(r"([A-Za-z])(\1*)|([^A-Za-z]+)", pattern)
+    return "^" + "".join(
+        re.escape(literal) if literal else fields.get(1 + len(more), f"[0-9]{{{1 + len(more)}}}")
+        for _, more, literal in runs
+    ) + "$"
+
+
 def to_timestamp(text: Column, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Column:
-    """First format that parses, else null."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    """First format that parses, else null.
+
+    A failed parse is far dearer than a pattern match, so each format is tried only on texts of its shape.
+    """
+    tries = [F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats]
+    return F.coalesce(*tries).cast("timestamp_ntz")
 
 
 def is_filled(text: Column) -> Column:
