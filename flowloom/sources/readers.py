@@ -100,9 +100,12 @@ def _scan(spark: SparkSession, files: list[str], names: list[str], encoding: str
     )
     unquoted = F.regexp_replace(CORRUPT, '"[^"]*"', "")
     fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
+    # Spark refuses a scan of the corrupt-record column alone, as a bare count would make it;
+    # the always-true second test reads a data column too.
+    reads_data = F.coalesce(F.length(F.col(f"`{names[0]}`")), F.lit(0)) >= 0
     extra = {
         SOURCE_FILE: F.col("_metadata.file_name"),
-        "_too_long": F.coalesce(fields > len(names), F.lit(False)),
+        "_too_long": F.coalesce((fields > len(names)) & reads_data, F.lit(False)),
     }
     if with_position:
         extra |= {
