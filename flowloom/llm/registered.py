@@ -7,7 +7,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import bpe, pieces
+from flowloom.llm import bpe, pieces, quality, sharding
 from flowloom.plans.registry import Query, Run
 
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,18 @@ def tokenizer_file(name: str) -> str:
     return os.path.join(os.path.dirname(find_spec("public_tokenizers").origin), name)
 
 
+@query()
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled into 16 shards."""
+    return sharding.sharding_digest(documents(spark, sf_dir))
+
+
+@query()
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of all documents."""
+    return quality.quality_digest(documents(spark, sf_dir))
+
+
 @query()
 def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece lengths of all documents."""
