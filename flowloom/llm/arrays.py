@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))

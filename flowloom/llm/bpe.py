@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from flowloom.llm.arrays import TABLE, Substrings, binary_rows, gather, text_groups
 
 #: Fragments that a task remembers before it starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 #: Last two bytes of the white-space characters beyond ASCII.
 WIDE_SPACES = [(0xC2, 0x85), (0xC2, 0xA0), (0x9A, 0x80), *((0x80, x) for x in range(0x80, 0x8B)),
                (0x80, 0xA8), (0x80, 0xA9), (0x80, 0xAF), (0x81, 0x9F)]
@@ -146,20 +146,29 @@ class Codec:
         return gather(self.flat, self.starts[ids], self.sizes[ids]), done[bounds]
 
 
-def _encoded(codec: Codec, data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+def _packed(codec: Codec, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
     ids, bounds = codec.encode(data, offsets)
-    return binary_rows(ids.astype("<u4"), bounds * 4).cast(pa.binary())
+    return [binary_rows(ids.astype("<u4"), bounds * 4).cast(pa.binary())]
 
 
-def _decoded(codec: Codec, data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    out, bounds = codec.decode(np.frombuffer(data.tobytes(), "<u4"), offsets // 4)
+def _texts(codec: Codec, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    out, at = codec.decode(ids, bounds)
     raw = out.tobytes()
-    return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])], pa.string())
+    return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])], pa.string())
 
 
-def _with_column(df: DataFrame, spec: str, source: str, name: str, kind: T.DataType, convert) -> DataFrame:
-    if name in df.columns:
-        raise ValueError(f"there is a column {name} already")
+def _unpacked(codec: Codec, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    return [_texts(codec, np.frombuffer(data.tobytes(), "<u4"), offsets // 4)]
+
+
+def _both(codec: Codec, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    ids, bounds = codec.encode(data, offsets)
+    return [binary_rows(ids.astype("<u4"), bounds * 4).cast(pa.binary()), _texts(codec, ids, bounds)]
+
+
+def _with_columns(df: DataFrame, spec: str, source: str, new: dict[str, T.DataType], convert) -> DataFrame:
+    if clash := set(new) & set(df.columns):
+        raise ValueError(f"there are columns {sorted(clash)} already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
@@ -167,9 +176,9 @@ def _with_column(df: DataFrame, spec: str, source: str, name: str, kind: T.DataT
             codec = codec or Codec(spec)
             for first, end, data, offsets in text_groups(batch.column(batch.schema.names.index(source))):
                 part = batch.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([*part.columns, convert(codec, data, offsets)], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, *convert(codec, data, offsets)], names=[*part.schema.names, *new])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in new.items())]))
 
 
 def read_spec(path: str) -> str:
@@ -180,18 +189,22 @@ def read_spec(path: str) -> str:
 
 def encode_column(df: DataFrame, spec: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """Add ``ids``: the text's ids as packed little-endian unsigned 32-bit integers. Null and empty texts give no bytes."""
-    return _with_column(df, spec, text, ids, T.BinaryType(), _encoded)
+    return _with_columns(df, spec, text, {ids: T.BinaryType()}, _packed)
 
 
 def decode_column(df: DataFrame, spec: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """Add ``text``: what the packed ids stand for; bytes that are no UTF-8 become U+FFFD. Null ids give an empty text."""
-    return _with_column(df, spec, ids, text, T.StringType(), _decoded)
+    return _with_columns(df, spec, ids, {text: T.StringType()}, _unpacked)
+
+
+def encode_and_decode(df: DataFrame, spec: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """Both columns in one pass over the rows."""
+    return _with_columns(df, spec, text, {ids: T.BinaryType(), decoded: T.StringType()}, _both)
 
 
 def coding_digest(documents: DataFrame, spec: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    coded = decode_column(encode_column(documents.select("doc_id", "text"), spec).select("doc_id", "token_ids"), spec)
-    return coded.select(
+    return encode_and_decode(documents.select("doc_id", "text"), spec).select(
         "doc_id",
         F.expr("octet_length(token_ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
