@@ -81,7 +81,7 @@ class Substrings:
         """Hashes of all windows of one size, by start."""
         n = max(0, len(self.sums) - size)
         raw = (self.sums[size:] - self.sums[:n]) * _power(_INVERSE, len(self.sums))[:n]
-        return mix(raw + _U(size) * _U(0xD6E8FEB86659FD93))
+        return mix(raw + _U(size * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

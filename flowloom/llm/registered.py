@@ -7,7 +7,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import bpe, pieces, quality, sharding
+from flowloom.llm import bpe, chunks, containment, jaccard, lines, pieces, quality, sharding, suffixes
 from flowloom.plans.registry import Query, Run
 
 QUERIES: dict[str, Query] = {}
@@ -38,12 +38,42 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding_digest(documents(spark, sf_dir))
 
 
+@query()
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 200-byte strings that start at two places."""
+    return suffixes.removal_digest(documents(spark, sf_dir))
+
+
+@query()
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in all documents."""
+    return containment.containment_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query()
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents that are linked by their 3-word shingles."""
+    return jaccard.component_digest(documents(spark, sf_dir))
+
+
 @query()
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of all documents."""
     return quality.quality_digest(documents(spark, sf_dir))
 
 
+@query()
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without chunks that stood earlier."""
+    return chunks.chunk_digest(documents(spark, sf_dir))
+
+
+@query()
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without runs of lines that stood earlier."""
+    return lines.line_digest(documents(spark, sf_dir))
+
+
 @query()
 def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece lengths of all documents."""

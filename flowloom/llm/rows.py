@@ -23,8 +23,12 @@ def free_name(df: DataFrame, name: str) -> str:
 def identified(df: DataFrame, uid: str) -> DataFrame:
     """Add ``uid``, a number that every later reading of the rows gives again.
 
-    Scans of files number their rows alike each time; any other input is first written to the shared folder.
+    Scans of files number their rows alike each time, once the least number of scan tasks is fixed (by default it follows the
+    executors that are alive); any other input is first written to the shared folder.
     """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     try:
         df.select("_metadata.file_path").schema  # noqa: B018  (only plain file scans have it)
     except AnalysisException:
