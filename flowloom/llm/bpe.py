@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.llm.arrays import TABLE, Substrings, binary_rows, gather, text_groups
+from flowloom.llm.rows import free_name
 
 #: Fragments that a task remembers before it starts anew.
 REMEMBERED = 1 << 18
@@ -167,8 +168,7 @@ def _both(codec: Codec, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]
 
 
 def _with_columns(df: DataFrame, spec: str, source: str, new: dict[str, T.DataType], convert) -> DataFrame:
-    if clash := set(new) & set(df.columns):
-        raise ValueError(f"there are columns {sorted(clash)} already")
+    new = {free_name(df, name): kind for name, kind in new.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None

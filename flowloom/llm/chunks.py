@@ -6,7 +6,7 @@ digest the first stays (order: id with nulls first, row, position), the others g
 of ``passage`` bytes or more; shorter runs are common phrases.
 
 Chunk cuts are moved forward to the start of a UTF-8 character, so what is left is text again. Null texts stay null.
-A repeated row loses all its chunks if it has ``passage`` bytes. Further columns are kept.
+A repeated row loses all its chunks if it has ``passage`` bytes. Further columns are kept; a new column whose name is taken gets underscores in front.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.llm.arrays import TABLE, Substrings, text_groups
 from flowloom.llm.repeats import join_hot
@@ -70,9 +71,7 @@ def _chunks(data: np.ndarray, offsets: np.ndarray, shape: tuple[int, int, int])
 
 def dedup_chunks(df: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, most: int = MOST, bits: int = BITS, passage: int = PASSAGE) -> DataFrame:
     """Every row with the remaining bytes as its text, and ``n_chunks``, ``n_bytes``, ``n_removed`` (bytes) and ``n_spans``."""
-    new = ["n_bytes", "n_chunks", "n_removed", "n_spans"]
-    if clash := set(new) & set(df.columns):
-        raise ValueError(f"there are columns {sorted(clash)} already")
+    new = [free_name(df, name) for name in ("n_bytes", "n_chunks", "n_removed", "n_spans")]
     uid, found, shape = free_name(df, "uid"), free_name(df, "found"), (least, most, bits)
     rows = identified(df, uid)
 
@@ -119,7 +118,7 @@ def dedup_chunks(df: DataFrame, id: str = "doc_id", text: str = "text", least: i
                 extra = [pa.array(x, pa.int64()) for x in (np.diff(offsets), np.diff(at), lost, spans)]
                 yield pa.RecordBatch.from_arrays([*part, *extra], names=[*columns, *new])
 
-    schema = df.schema
+    schema = T.StructType([*df.schema.fields])
     for name in new:
         schema = schema.add(name, "long")
     return joined.mapInArrow(cut, schema)

@@ -14,7 +14,7 @@ are all verified afterwards, so no link is lost.
 
 Hashes have 64 bits and equal hashes count as equal n-grams and equal sets. A document without words links with nothing;
 one with fewer words than n has its whole sequence as its one n-gram. Null texts have no words. Repeated rows,
-null ids and columns of any name are kept.
+null ids and columns of any name are kept; a new column whose name is taken gets underscores in front.
 """
 
 from __future__ import annotations
@@ -213,8 +213,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def with_components(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, num: int = 9, den: int = 10, names: tuple[str, str] = ("n_shingles", "component_id")) -> DataFrame:
     """Add the set size and the smallest id reachable by links, the row's own included (null if all ids of the group are null)."""
-    if clash := set(names) & set(df.columns):
-        raise ValueError(f"there are columns {sorted(clash)} already")
+    names = tuple(free_name(df, name) for name in names)
     uid = free_name(df, "uid")
     rows = identified(df, uid)
     groups = linked_groups(rows, text, size, num, den, uid).select(F.col("uid").alias(uid), F.col("n").alias(names[0]), F.coalesce("root", "node").alias("_group"))
@@ -226,6 +225,17 @@ def with_components(df: DataFrame, id: str = "doc_id", text: str = "text", size:
     return rows.join(found, uid).select(*df.columns, *names)
 
 
+def keep_one_each(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """Of every group of linked rows, the one of the smallest id (nulls first, then the first row); rows without words stay."""
+    uid = free_name(df, "uid")
+    rows = identified(df, uid)
+    groups = linked_groups(rows, text, size, num, den, uid).select("uid", F.coalesce("root", "node").alias("group"))
+    groups = stage(rows.select(F.col(uid).alias("uid"), F.col(id).alias("id")).join(groups, "uid"), "groups")
+    first = groups.where("group is not null").groupBy("group").agg(F.min(F.struct("id", "uid")).alias("first")).select("first.uid")
+    kept = first.union(groups.where("group is null").select("uid")).withColumnRenamed("uid", uid)
+    return rows.join(kept, uid, "left_semi").select(*df.columns)
+
+
 def component_digest(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: 3-word shingles, similarity 0.9."""
     rows = identified(documents.select("doc_id", "text"), "uid")

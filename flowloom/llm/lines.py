@@ -7,7 +7,7 @@ A line is deleted if it is part of a run that also starts at an earlier place, o
 id (nulls first), row and line. The first one stays.
 
 Lines without words are never deleted. Null texts stay null, empty ones empty. The later of two repeated rows
-loses its lines if there are ``run`` or more. Further columns are kept.
+loses its lines if there are ``run`` or more. Further columns are kept; a new column whose name is taken gets underscores in front.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.llm.arrays import text_groups, word_hashes, words
 from flowloom.llm.repeats import covered, repeated_windows, runs
@@ -65,8 +66,7 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", run: int
     if run < 2:
         raise ValueError("a run has two lines at least")
     new = ["n_lines", "n_removed", "n_runs"] if counts else []
-    if clash := set(new) & set(df.columns):
-        raise ValueError(f"there are columns {sorted(clash)} already")
+    new = [free_name(df, name) for name in new]
     uid, found = free_name(df, "uid"), free_name(df, "found")
     rows = identified(df, uid)
     hits = repeated_windows(rows, uid, F.col(id), text, _hashes, run, 1, earlier=True)
@@ -89,7 +89,7 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", run: int
                 extra = [pa.array(x, pa.int64()) for x in (np.diff(bounds), lost, runs(gone, bounds))] if counts else []
                 yield pa.RecordBatch.from_arrays([*part, *extra], names=[*columns, *new])
 
-    schema = df.schema
+    schema = T.StructType([*df.schema.fields])
     for name in new:
         schema = schema.add(name, "long")
     return joined.mapInArrow(cut, schema)

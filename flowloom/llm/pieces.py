@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from flowloom.llm.arrays import text_groups, word_hashes, words
+from flowloom.llm.rows import free_name
 
 MARKER = "▁"
 UNKNOWN = -1
@@ -117,8 +118,7 @@ def piece_counts(df: DataFrame, pieces: list[str], text: str = "text", names: tu
 
     ``pieces`` is a vocabulary (tens of thousands of strings); it travels with the tasks.
     """
-    if clash := set(names) & set(df.columns):
-        raise ValueError(f"there are columns {sorted(clash)} already")
+    names = tuple(free_name(df, name) for name in names)
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

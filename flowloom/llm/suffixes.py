@@ -5,7 +5,7 @@ around an anchor, and by the rank pair at offset 0 and half the length; what is
 Sampling loses nothing (see ``repeats``). Hashes have 64 bits; equal hashes count as equal strings.
 
 Null and empty texts have no bytes. A repeated row repeats the row's whole text, so both go if it is long enough. Rows of
-empty tables give none; further columns are kept.
+empty tables give none; further columns are kept, and a new column whose name is taken gets underscores in front.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.llm.arrays import TABLE, text_groups
 from flowloom.llm.repeats import covered, repeated_windows, runs
@@ -31,8 +32,7 @@ def _bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def removed_bytes(df: DataFrame, text: str = "text", size: int = 200) -> DataFrame:
     """Add ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_bytes`` (what is left, as bytes) to every row."""
     new = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_bytes": "binary"}
-    if clash := set(new) & set(df.columns):
-        raise ValueError(f"there are columns {sorted(clash)} already")
+    new = {free_name(df, name): kind for name, kind in new.items()}
     uid, found = free_name(df, "uid"), free_name(df, "found")
     rows = identified(df, uid)
     hits = repeated_windows(rows, uid, F.lit(None), text, _bytes, size, min(GRAM, max(1, size // 2)), earlier=False)
@@ -49,7 +49,7 @@ def removed_bytes(df: DataFrame, text: str = "text", size: int = 200) -> DataFra
                 part = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *counts, pa.array(left, pa.binary())], names=[*columns, *new])
 
-    schema = df.schema
+    schema = T.StructType([*df.schema.fields])
     for name, kind in new.items():
         schema = schema.add(name, kind)
     return joined.mapInArrow(cut, schema)
