@@ -7,7 +7,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import bpe, chunks, containment, jaccard, lines, pieces, quality, sharding, suffixes
+from flowloom.llm import bpe, chunks, containment, jaccard, lines, pieces, ppm, quality, sharding, suffixes
 from flowloom.plans.registry import Query, Run
 
 QUERIES: dict[str, Query] = {}
@@ -56,6 +56,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_digest(documents(spark, sf_dir))
 
 
+@query()
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents by a byte-context model and by word counts."""
+    return ppm.scored(documents(spark, sf_dir))
+
+
 @query()
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of all documents."""
