@@ -59,7 +59,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
     key = int(base)
-    if len(_powers.get(key, ())) < n:
+    if key not in _powers or len(_powers[key]) < n:
         steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
         _powers[key] = np.multiply.accumulate(steps)
