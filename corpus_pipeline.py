@@ -52,7 +52,7 @@ STAGES = [
     ("benchmark_decontamination", benchmark_decontamination),
     ("bpe_coding", bpe_coding),
 ]
-#: Expectation-maximisation and BPE are beyond SQL; tests compare every stage with a plain calculation.
+#: Expectation-maximisation and BPE are beyond SQL; tests compare the operators of the stages with plain calculations.
 ORACLE_SQL = None
 
 
