@@ -2,14 +2,16 @@
 
 Of every window the smallest k-gram hash is chosen (the leftmost of ties), so equal windows choose the same anchor at the same
 offset. Windows of one anchor form a span. Round one ranks spans: equal spans repeat as a whole. Only anchors found with
-several different spans go on, one representative each, to window level, where the rank pair of both halves decides.
-Hot anchors and spans never meet in one task: counts are pre-aggregated, and keys with over a thousandth of all rows
+several different spans go on, one representative each, to window level, where the rank pair of both halves decides. An
+anchor's spans travel as rows of ranks to one task if they are ``LARGE_GROUP`` at most; those of larger groups are dealt out
+by window rank, with the same result. Hot anchors and spans never meet in one task: counts are pre-aggregated, and keys with over a thousandth of all rows
 (a thousand keys at most) are joined by broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from flowloom.scratch import stage
 _U = np.uint64
 #: A key with more than this share of all rows is hot; so there are HOT_KEYS of them at most.
 HOT_KEYS = 1000
+#: Different spans of one anchor (of some hundred ranks each at most) that one task takes at once.
+LARGE_GROUP = 4096
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
@@ -53,6 +57,47 @@ def spans(values: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tuple
     return doc, low - bounds[doc], n, grams[pos].view(np.int64), name.view(np.int64)
 
 
+def _found_in_groups(batches: Iterator[pa.RecordBatch], earlier: bool) -> Iterator[pa.RecordBatch]:
+    """Runs (uid, low, n) of repeated windows, from spans (uid, o, low, copies, h, ranks) sorted by anchor."""
+    names = ["uid", "low", "n"]
+    waiting: pa.Table | None = None
+
+    def searched(group: pa.Table) -> pa.RecordBatch:
+        group = group.combine_chunks()
+        uid, o, low, copies = (group.column(k).to_numpy() for k in range(4))
+        lists = group.column(5).combine_chunks()
+        n = lists.value_lengths().to_numpy().astype(np.int64)
+        rank = lists.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(n)), n)
+        p = low[owner] + np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+        order = np.lexsort((p, uid[owner], o[owner], rank)) if earlier else np.argsort(rank)
+        same = rank[order[1:]] == rank[order[:-1]]
+        hit = np.zeros(len(rank), bool)
+        hit[order[1:]] = same
+        if not earlier:
+            hit[order[:-1]] |= same
+            hit &= copies[owner] == 1
+        begin = hit.copy()
+        begin[1:] &= ~hit[:-1] | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(begin)
+        length = np.bincount(np.cumsum(begin)[hit] - 1, minlength=len(at))
+        return pa.RecordBatch.from_arrays([pa.array(uid[owner[at]]), pa.array(p[at].astype(np.int32)), pa.array(length.astype(np.int32))], names=names)
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([waiting, rows]) if waiting is not None else rows
+        h = rows.column(4).to_numpy()
+        changes = np.flatnonzero(h[1:] != h[:-1])
+        done = int(changes[-1]) + 1 if len(changes) else 0  # the last anchor may go on
+        if done:
+            yield searched(rows.slice(0, done))
+        waiting = rows.slice(done)
+    if waiting is not None:
+        yield searched(waiting)
+
+
 def repeated_windows(df: DataFrame, uid: str, order: Column, text: str, symbols: Symbols, size: int, gram: int, earlier: bool) -> DataFrame:
     """(uid, found): runs of window starts whose window also stands elsewhere, or with ``earlier`` at an earlier place.
 
@@ -71,40 +116,49 @@ def repeated_windows(df: DataFrame, uid: str, order: Column, text: str, symbols:
 
     half = size // 2
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, orders, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             for first, end, data, offsets in text_groups(batch.column(2)):
                 values, bounds = symbols(data, offsets)
                 part = lists.slice(first, end - first)
-                low, n, copies = (part.flatten().field(k).to_numpy().astype(np.int64) for k in range(3))
+                fields = part.flatten()
+                low, n = (fields.field(k).to_numpy().astype(np.int64) for k in (0, 1))
                 owner = np.repeat(np.arange(end - first), part.value_lengths().to_numpy())
-                before = np.cumsum(n) - n
-                p = np.repeat(low - before, n) + np.arange(int(n.sum()))
-                row, sub = np.repeat(owner, n), Substrings(values)
-                at = p + bounds[row]
-                left, right = sub(at, at + half).view(np.int64), sub(at + half, at + size).view(np.int64)
-                columns = [ids[first + row], orders[first + row], p.astype(np.int32), np.repeat(copies, n), left, right]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "o", "p", "copies", "r1", "r2"])
+                edges = np.concatenate([[0], np.cumsum(n)])
+                at = np.repeat(low + bounds[owner] - edges[:-1], n) + np.arange(edges[-1])
+                sub = Substrings(values)
+                pair = mix(sub(at, at + half) * _U(0x9FB21C651E98DF25) + sub(at + half, at + size))
+                columns = [pa.array(x) for x in (ids[first + owner], orders[first + owner])] + [fields.field(k) for k in (0, 2, 3, 4)]
+                columns.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(pair.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, names=["uid", "o", "low", "copies", "h", "large", "ranks"])
 
     texts = df.select(F.col(uid).alias("uid"), F.coalesce(order.cast("long"), F.lit(-(1 << 63))).alias("o"), F.col(text).alias("text"))
     every = stage(texts.mapInArrow(anchors, "uid long, o long, low int, n int, h long, s long"), "anchors")
     total = every.count()
     place = F.struct("o", "uid", "low")
     names = stage(every.groupBy("h", "s").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.min("n").alias("n")), "spans")
-    mixed = names.groupBy("h").agg(F.count("*").alias("shapes")).where("shapes > 1")
+    mixed = stage(names.groupBy("h").agg(F.count("*").alias("shapes")).where("shapes > 1"), "mixed")
     open_spans = join_hot(names, mixed, ["h"], "shapes", max(total, 1))
-    wanted = open_spans.groupBy(F.col("first.uid").alias("uid")).agg(F.collect_list(F.struct(F.col("first.low").alias("low"), "n", "copies")).alias("spans"))
-    windows = stage(texts.join(wanted, "uid").select("uid", "o", "text", "spans").mapInArrow(pairs, "uid long, o long, p int, copies long, r1 long, r2 long"), "pairs")
-    ranked = windows.groupBy("r1", "r2").agg(F.count("*").alias("m"), F.min(F.struct("o", "uid", "p")).alias("least")).where("m > 1")
-    ranked = stage(ranked, "ranked")
-    hits = join_hot(windows if earlier else windows.where("copies = 1"), ranked, ["r1", "r2"], "m", max(total, 1))
-    if earlier:
-        hits = hits.where("struct(o, uid, p) > least")
+    span = F.struct(F.col("first.low").alias("low"), "n", "copies", "h", (F.col("shapes") > LARGE_GROUP).alias("large"))
+    wanted = open_spans.groupBy(F.col("first.uid").alias("uid")).agg(F.collect_list(span).alias("spans"))
+    ranked = texts.join(wanted, "uid").select("uid", "o", "text", "spans").mapInArrow(ranks, "uid long, o long, low int, copies long, h long, large boolean, ranks array<long>")
+    has_large = not mixed.where(F.col("shapes") > LARGE_GROUP).isEmpty()
+    if has_large:
+        ranked = stage(ranked, "ranked")
+    in_groups = ranked.where("not large").drop("large").repartition("h").sortWithinPartitions("h")
+    found = in_groups.mapInArrow(partial(_found_in_groups, earlier=earlier), "uid long, low int, n int")
+    if has_large:
+        windows = ranked.where("large").select("uid", "o", "low", "copies", F.posexplode("ranks").alias("k", "r")).select("uid", "o", (F.col("low") + F.col("k")).alias("p"), "copies", "r")
+        shared = stage(windows.groupBy("r").agg(F.count("*").alias("m"), F.min(F.struct("o", "uid", "p")).alias("least")).where("m > 1"), "shared")
+        hits = join_hot(windows if earlier else windows.where("copies = 1"), shared, ["r"], "m", max(total, 1))
+        if earlier:
+            hits = hits.where("struct(o, uid, p) > least")
+        found = found.union(hits.select("uid", "p", F.lit(1)))
     whole = join_hot(every.drop("n"), names.where("copies > 1"), ["h", "s"], "copies", max(total, 1))
     if earlier:
         whole = whole.where("struct(o, uid, low) > first")
-    found = whole.select("uid", "low", "n").union(hits.select("uid", "p", F.lit(1)))
+    found = found.union(whole.select("uid", "low", "n"))
     return found.groupBy("uid").agg(F.collect_list(F.struct("low", "n")).alias("found"))
 
 
