@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +30,15 @@ from flowloom.scratch import stage
 ORDER = 4
 END = 255  # a byte that UTF-8 never has
 #: Bytes of text after which a block is full; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+#: Bytes that are scored at once.
+SCORED_BYTES = 4 << 20
 #: Every symbol that the uniform context gives: 255 byte values and the end.
 SYMBOLS = 256
 FOLDS, HELD_OUT = 7, 2
 GRAM, WORD = 0, 1
+#: Contexts that are worked on at once.
+CONTEXTS = 1024
 
 
 def held_out(id: Column) -> Column:
@@ -63,6 +68,12 @@ def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return (word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)).view(np.int64), bounds
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order of appearance, and which of them each key is."""
+    coded = pa.array(keys).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
 NAMES = ["block", "doc_id", "held", "text", "kind", "key", "n"]
 
 
@@ -77,7 +88,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind in (GRAM, WORD):
             mine = [p for p in parts if p[0] == kind]
             if mine:
-                keys, which = np.unique(np.concatenate([p[1] for p in mine]), return_inverse=True)
+                keys, which = distinct(np.concatenate([p[1] for p in mine]))
                 n = np.bincount(which, np.concatenate([p[2] for p in mine]), len(keys)).astype(np.int64)
                 m, nothing = len(keys), lambda t, m=len(keys): pa.nulls(m, t)
                 yield pa.RecordBatch.from_arrays(
@@ -93,9 +104,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(np.full(m, block)), *part.columns, pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=NAMES
             )
             for kind, (keys, at) in ((GRAM, grams(data, offsets)), (WORD, word_keys(data, offsets))):
-                distinct, which = np.unique(keys, return_inverse=True)
-                trained = np.bincount(which, np.repeat(~held[first:end].astype(bool), np.diff(at)), len(distinct))
-                parts.append((kind, distinct, trained))
+                known, which = distinct(keys)
+                trained = np.bincount(which, np.repeat(~held[first:end].astype(bool), np.diff(at)), len(known))
+                parts.append((kind, known, trained))
             size += len(data)
             if size >= BLOCK_BYTES:
                 yield from full()
@@ -109,26 +120,25 @@ def _followers(counts: DataFrame, order: int) -> DataFrame:
     return cut.groupBy(F.shiftright("k", 8).alias(f"c{order}")).agg(F.collect_list(F.struct(F.col("k").bitwiseAND(F.lit(255)).cast("int").alias("s"), "n")).alias(f"f{order}"))
 
 
-def log_probabilities(wanted: np.ndarray, chain: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log10 probability of the wanted symbols, given (symbols, counts) of each context from the longest down."""
-    out, escape = np.zeros(len(wanted)), 0.0
-    free, todo = np.ones(SYMBOLS, bool), np.ones(len(wanted), bool)
-    for symbols, counts in chain:
-        seen = free[symbols]
-        symbols, counts = symbols[seen], counts[seen]
-        if len(symbols) == 0:
-            continue
-        full = np.zeros(SYMBOLS)
-        full[symbols] = counts
-        total = counts.sum() + (len(symbols) if free.sum() > len(symbols) else 0)  # nothing left to escape to
-        here = todo & (full[wanted] > 0)
-        out[here] = escape + np.log10(full[wanted[here]] / total)
-        todo &= ~here
-        free[symbols] = False
-        if not todo.any():
-            return out
-        escape += np.log10(len(symbols) / total)
-    out[todo] = escape - np.log10(free.sum())
+def log_probabilities(wanted: np.ndarray, chain: list[np.ndarray]) -> np.ndarray:
+    """log10 probabilities, one row per context and one column per symbol, of the ``wanted`` ones (0 elsewhere).
+
+    ``chain`` has the counts of every symbol after each row's contexts, from the longest context down.
+    """
+    out, escape = np.zeros(wanted.shape), np.zeros(len(wanted))
+    free, todo = np.ones(wanted.shape, bool), wanted.copy()
+    for counts in chain:
+        seen = free & (counts > 0)
+        n = seen.sum(1)
+        total = np.where(seen, counts, 0).sum(1)
+        total = np.where(n > 0, total + np.where(free.sum(1) > n, n, 0), 1)  # full rows have nothing left to escape to
+        row, symbol = np.nonzero(todo & seen)
+        out[row, symbol] = escape[row] + np.log10(counts[row, symbol] / total[row])
+        todo &= ~seen
+        free &= ~seen
+        escape += np.log10(np.where(n > 0, n, 1) / np.where(n > 0, total, 1))
+    row, symbol = np.nonzero(todo)
+    out[row, symbol] = escape[row] - np.log10(free.sum(1)[row])
     return out
 
 
@@ -137,29 +147,36 @@ def _gram_scores(counts: DataFrame) -> DataFrame:
     wanted = counts.groupBy(F.shiftright("key", 8).alias("context")).agg(
         F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("s"), "n")).alias("f4")
     )
-    low = [{r[0]: (np.array([x[0] for x in r[1]]), np.array([x[1] for x in r[1]], float)) for r in _followers(counts, k).collect()} for k in (1, 0)]
+    low1, low0 = np.zeros((256, SYMBOLS)), np.zeros(SYMBOLS)
+    for context, followers in _followers(counts, 1).collect():
+        for symbol, n in followers:
+            low1[context, symbol] = n
+            low0[symbol] += n
     for k in (3, 2):
         wanted = wanted.withColumn(f"c{k}", F.col("context").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(_followers(counts, k), f"c{k}", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nothing = (np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
-            contexts = batch.column(0).to_numpy()
-            lists = []
-            for k in (1, 2, 3):
-                column = batch.column(k)
-                ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
-                flat = column.flatten()
-                lists.append((ends, flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(float)))
-            keys, values = [], []
-            for i, context in enumerate(contexts.tolist()):
-                chain = [(s[e[i] : e[i + 1]], n[e[i] : e[i + 1]]) for e, s, n in lists]
-                asked, known = chain[0]
-                chain[0] = asked[known > 0], known[known > 0]
-                chain += [low[0].get(context & 255, nothing), low[1].get(0, nothing)]
-                keys.append(asked | context << 8)
-                values.append(log_probabilities(asked, chain))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(np.concatenate([np.zeros(0), *values]))], names=["key", "value"])
+            for first in range(0, batch.num_rows, CONTEXTS):
+                yield scores(batch.slice(first, CONTEXTS))
+
+    def scores(batch: pa.RecordBatch) -> pa.RecordBatch:
+        contexts = batch.column(0).to_numpy()
+        shape = len(contexts), SYMBOLS
+        chain = []
+        for k in (1, 2, 3):
+            column = batch.column(k)
+            row = np.repeat(np.arange(len(contexts)), column.value_lengths().fill_null(0).to_numpy())
+            symbols, n = (column.flatten().field(i).to_numpy().astype(np.int64) for i in (0, 1))
+            chain.append(np.zeros(shape))
+            chain[-1][row, symbols] = n
+            if k == 1:
+                asked = np.zeros(shape, bool)
+                asked[row, symbols] = True
+        chain += [low1[contexts & 255], np.broadcast_to(low0, shape)]
+        found = log_probabilities(asked, chain)
+        row, symbols = np.nonzero(asked)
+        return pa.RecordBatch.from_arrays([pa.array(symbols | contexts[row] << 8), pa.array(found[row, symbols])], names=["key", "value"])
 
     return wanted.select("context", "f4", "f3", "f2").mapInArrow(run, "key long, value double")
 
@@ -184,15 +201,19 @@ def scored(documents: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         kinds, keys, found = (answer.column(k).to_numpy() for k in (1, 2, 3))
         tables = []
         for kind in (GRAM, WORD):
-            order = np.argsort(keys[kinds == kind])
-            tables.append((keys[kinds == kind][order], found[kinds == kind][order]))
+            tables.append((pa.array(keys[kinds == kind]), found[kinds == kind]))
+
+        def looked_up(kind: int, keys: np.ndarray) -> np.ndarray:
+            table, values = tables[kind]
+            return values[pc.index_in(pa.array(keys), value_set=table).to_numpy()] if len(keys) else np.zeros(0)
+
         out = []
         for batch in mine.combine_chunks().to_batches():
-            for first, stop, data, offsets in text_groups(batch.column(3)):
+            for first, stop, data, offsets in text_groups(batch.column(3), SCORED_BYTES):
                 codes, at = grams(data, offsets)
-                logs = np.concatenate([[0.0], tables[GRAM][1][np.searchsorted(tables[GRAM][0], codes)]])
+                logs = np.concatenate([[0.0], looked_up(GRAM, codes)])
                 hashes, bounds = word_keys(data, offsets)
-                c = tables[WORD][1][np.searchsorted(tables[WORD][0], hashes)] if len(hashes) else np.zeros(0)
+                c = looked_up(WORD, hashes)
                 sums = lambda x, b: np.array([x[i:j].sum() for i, j in zip(b[:-1], b[1:])])
                 n = np.diff(bounds) + 1
                 columns = [
