@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.arrays import text_groups, word_hashes, words
+from flowloom.llm.rows import identified
 from flowloom.scratch import stage
 
 ORDER = 4
@@ -32,7 +33,7 @@ END = 255  # a byte that UTF-8 never has
 #: Bytes of text after which a block is full; a longer text is a block of its own.
 BLOCK_BYTES = 32 << 20
 #: Bytes that are scored at once.
-SCORED_BYTES = 4 << 20
+SCORED_BYTES = 1 << 20
 #: Every symbol that the uniform context gives: 255 byte values and the end.
 SYMBOLS = 256
 FOLDS, HELD_OUT = 7, 2
@@ -74,44 +75,53 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
-NAMES = ["block", "doc_id", "held", "text", "kind", "key", "n"]
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """The block of every row (uid, doc_id, held, text). It follows from the partition's rows alone, so every reading agrees."""
+    start, done = None, 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        start = batch.column(0)[0].as_py() if start is None else start
+        sizes = pc.fill_null(pc.binary_length(batch.column(3)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = done + np.cumsum(sizes) - sizes
+        done += int(sizes.sum())
+        yield start + before // BLOCK_BYTES, batch
+
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every document with its block."""
+    for blocks, batch in _in_blocks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(blocks), *batch.columns[1:]], names=["block", "doc_id", "held", "text"])
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every document with its block, and the block's distinct strings and words with their training counts."""
-    import uuid
 
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every block's distinct strings and words with their training counts."""
     parts: list[tuple[int, np.ndarray, np.ndarray]] = []
-    block, size = uuid.uuid4().int & (1 << 62) - 1, 0
 
-    def full() -> Iterator[pa.RecordBatch]:
+    def full(block: int) -> Iterator[pa.RecordBatch]:
         for kind in (GRAM, WORD):
             mine = [p for p in parts if p[0] == kind]
             if mine:
                 keys, which = distinct(np.concatenate([p[1] for p in mine]))
                 n = np.bincount(which, np.concatenate([p[2] for p in mine]), len(keys)).astype(np.int64)
-                m, nothing = len(keys), lambda t, m=len(keys): pa.nulls(m, t)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, block)), nothing(pa.int64()), nothing(pa.bool_()), nothing(pa.string()), pa.array(np.full(m, kind, np.int32)), pa.array(keys), pa.array(n)], names=NAMES
-                )
-
-    for batch in batches:
-        held = batch.column(1).to_numpy(zero_copy_only=False)
-        for first, end, data, offsets in text_groups(batch.column(2)):
-            part = batch.slice(first, end - first)
-            m = end - first
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, block)), *part.columns, pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=NAMES
-            )
-            for kind, (keys, at) in ((GRAM, grams(data, offsets)), (WORD, word_keys(data, offsets))):
-                known, which = distinct(keys)
-                trained = np.bincount(which, np.repeat(~held[first:end].astype(bool), np.diff(at)), len(known))
-                parts.append((kind, known, trained))
-            size += len(data)
-            if size >= BLOCK_BYTES:
-                yield from full()
-                parts, block, size = [], uuid.uuid4().int & (1 << 62) - 1, 0
-    yield from full()
+                columns = [np.full(len(keys), block), np.full(len(keys), kind, np.int32), keys, n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "kind", "key", "n"])
+
+    block = None
+    for blocks, batch in _in_blocks(batches):
+        begins = np.flatnonzero(np.diff(blocks, prepend=blocks[0] - 1))
+        for begin, stop in zip(begins.tolist(), [*begins[1:].tolist(), len(blocks)]):
+            if block is not None and blocks[begin] != block:
+                yield from full(block)
+                parts.clear()
+            block, part = int(blocks[begin]), batch.slice(begin, stop - begin)
+            held = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for first, end, data, offsets in text_groups(part.column(3)):
+                for kind, (keys, at) in ((GRAM, grams(data, offsets)), (WORD, word_keys(data, offsets))):
+                    known, which = distinct(keys)
+                    parts.append((kind, known, np.bincount(which, np.repeat(~held[first:end], np.diff(at)), len(known))))
+    if block is not None:
+        yield from full(block)
 
 
 def _followers(counts: DataFrame, order: int) -> DataFrame:
@@ -184,10 +194,11 @@ def _gram_scores(counts: DataFrame) -> DataFrame:
 def scored(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     rows = documents.select(F.col(id).cast("long").alias("doc_id"), held_out(F.col(id)).alias("held"), F.col(text).cast("string").alias("text"))
-    dealt = stage(rows.mapInArrow(_blocks, "block long, doc_id long, held boolean, text string, kind int, key long, n long"), "blocks")
-    asked, docs = dealt.where("kind is not null").select("block", "kind", "key", "n"), dealt.where("kind is null").select("block", "doc_id", "held", "text")
+    rows = identified(rows, "uid").select("uid", "doc_id", "held", "text")
+    docs = rows.mapInArrow(_dealt, "block long, doc_id long, held boolean, text string")
+    asked = stage(rows.mapInArrow(_asked, "block long, kind int, key long, n long"), "asked")
     counts = stage(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    train_docs = docs.where("not held").count()
+    train_docs = rows.where("not held").count()
     seen = counts.where(f"kind = {WORD} and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, distinct = seen[0] + train_docs, seen[1] + (train_docs > 0)
     values = _gram_scores(counts.where(f"kind = {GRAM}").select("key", "n")).select(F.lit(GRAM).alias("kind"), "key", "value")
