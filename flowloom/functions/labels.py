@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 from flowloom.fixed_values import ATTACK, BENIGN, TAXONOMY
+from flowloom.functions.values import stripped
 
 # The no-break blank and six dash forms, mapped one to one;
 # the stray accented letter and the zero-width blank, removed.
@@ -41,7 +42,7 @@ def label_keys(labels) -> list[str]:
 def is_benign(label: Column | str) -> Column:
     """Benign test used where only blanks and casing vary."""
     c = F.col(label) if isinstance(label, str) else label
-    return F.upper(F.trim(c)) == BENIGN
+    return F.upper(stripped(c)) == BENIGN
 
 
 def binary_label(label: Column | str) -> Column:

@@ -48,8 +48,13 @@ def to_timestamp(text: Column, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Co
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def is_filled(text: Column) -> Column:
-    return F.coalesce(F.trim(text.cast("string")) != "", F.lit(False))
+    return F.coalesce(stripped(text.cast("string")) != "", F.lit(False))
 
 
 def _ipv4(word: Column) -> Column:

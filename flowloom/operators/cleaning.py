@@ -18,7 +18,7 @@ from flowloom.fixed_values import (
     TIMESTAMP_FORMATS,
 )
 from flowloom.functions.labels import binary_label, canonical_label, mapped_label, nfkc
-from flowloom.functions.values import finite, named, pseudo_endpoints, to_number, to_timestamp
+from flowloom.functions.values import finite, named, pseudo_endpoints, stripped, to_number, to_timestamp
 from flowloom.operators.artifacts import numeric_columns
 from flowloom.operators.lookup import join_counted
 from flowloom.operators.ordering import dense_index
@@ -164,7 +164,7 @@ def assign_endpoints(
 
 def to_binary(df: DataFrame, label: str = LABEL, original: str = LABEL_ORIGINAL) -> DataFrame:
     """Two classes; the old label stays in ``original``."""
-    return df.withColumn(original, F.trim(label)).withColumn(label, binary_label(label))
+    return df.withColumn(original, stripped(label)).withColumn(label, binary_label(label))
 
 
 def to_training_taxonomy(df: DataFrame, mapping: Mapping[str, str] | None = None, label: str = LABEL) -> DataFrame:

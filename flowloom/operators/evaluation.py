@@ -37,8 +37,13 @@ def confusion(
     )
 
 
+def _right(true: str, pred: str) -> Column:
+    return F.coalesce((F.col(true) == F.col(pred)).cast("double"), F.lit(0.0))
+
+
 def accuracy(df: DataFrame, true: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(F.avg((F.col(true) == F.col(pred)).cast("double")).alias("accuracy"))
+    """Share of rows with a truth that are predicted right; a missing prediction is wrong."""
+    return df.groupBy(*by).agg(F.avg(F.when(F.col(true).isNotNull(), _right(true, pred))).alias("accuracy"))
 
 
 def per_class(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -184,9 +189,9 @@ def roc_auc(df: DataFrame, true: str, scores: str, classes: Sequence) -> DataFra
     """``(class, auc)``; ties count half; null for a class without positives or negatives."""
     counts = one_vs_rest(df, true, scores, classes)
     below = running_totals(counts, ["score"], {"neg": "neg_upto"}, restart_by="class", name="auc")
-    won = F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2)
+    won = F.col("pos").cast("double") * (F.col("neg_upto") - F.col("neg") / 2)
     return below.groupBy("class").agg(
-        (F.sum(won) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc")
+        (F.sum(won) / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0))).alias("auc")
     )
 
 
@@ -208,7 +213,7 @@ def unseen_class_report(
         F.count_if(new).alias("n_zero_day"),
         F.count_if(new & flagged).alias("zero_day_detected"),
         ratio(F.count_if(new & flagged), F.count_if(new)).alias("zero_day_detection_rate"),
-        F.avg(F.when(~new, (F.col(true) == F.col(pred)).cast("double"))).alias("known_accuracy"),
+        F.avg(F.when(~new, _right(true, pred))).alias("known_accuracy"),
     )
 
 

@@ -142,9 +142,9 @@ def stratified_sample(
     key: Sequence[str],
     label: str = LABEL,
     seed: int = SEED,
-    max_classes: int = 5,
+    max_classes: int | None = None,
 ) -> DataFrame:
-    """``rows // classes`` random rows of each of the first ``max_classes`` classes, no row twice."""
+    """``rows // classes`` random rows of each of the classes (the first ``max_classes`` if given), no row twice."""
     quota = max(1, rows // max(1, len(classes)))
     chosen = list(classes)[:max_classes]
     return cap_classes(df.filter(F.col(label).isin(chosen)), dict.fromkeys(chosen, quota), key, label, seed)

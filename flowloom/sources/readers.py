@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import csv
 import os
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -88,6 +90,11 @@ def read_flow_csv(
     return out.drop("_too_long"), repeats
 
 
+def _as_pattern(uri: str) -> str:
+    """The path pattern that matches the file of a ``_metadata.file_path`` alone."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(uri))
+
+
 def _scan(spark: SparkSession, files: list[str], names: list[str], encoding: str, with_position: bool) -> DataFrame:
     # Whole lines are parsed even when few columns are wanted: a pruned parser does not see surplus fields.
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
@@ -96,7 +103,7 @@ def _scan(spark: SparkSession, files: list[str], names: list[str], encoding: str
         .options(
             header=True, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False
         )
-        .csv([f.replace("%20", " ") for f in files])
+        .csv([_as_pattern(f) for f in files])
     )
     unquoted = F.regexp_replace(CORRUPT, '"[^"]*"', "")
     fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
