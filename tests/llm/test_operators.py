@@ -5,7 +5,7 @@ import random
 import plain
 import pytest
 
-from flowloom.llm import bpe, chunks, containment, jaccard, lines, pieces, ppm, quality, sharding, suffixes
+from flowloom.llm import bpe, chunks, containment, jaccard, lines, pieces, ppm, quality, repeats, sharding, suffixes
 from flowloom.llm.registered import tokenizer_file
 
 random.seed(7)
@@ -52,6 +52,12 @@ def test_line_dedup(docs):
     assert rows(lines.line_digest(docs)) == sorted(plain.cut_lines(DOCS, 2))
 
 
+def test_large_anchor_groups_give_the_same(docs, monkeypatch):
+    monkeypatch.setattr(repeats, "LARGE_GROUP", 2)
+    assert rows(suffixes.removal_digest(docs)) == sorted(plain.cut_bytes(DOCS, 200))
+    assert rows(lines.line_digest(docs)) == sorted(plain.cut_lines(DOCS, 2))
+
+
 def test_jaccard_components(docs):
     assert rows(jaccard.component_digest(docs)) == sorted(plain.components(DOCS, 3, 9, 10))
 
