@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of lines that stood earlier; those left without any line go. ``n_chars`` follows the text."""
+    """Documents without runs of lines, long lines and one-line texts that stood earlier; those left without any line go. ``n_chars`` follows the text."""
     out = lines.dedup_lines(docs)
     n_lines, n_removed, _ = out.columns[-3:]
     kept = out.where((F.col(n_removed) == 0) | (F.col(n_removed) < F.col(n_lines)))

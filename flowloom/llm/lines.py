@@ -1,4 +1,4 @@
-"""Line deduplication by winnowing over line hashes (operator 8): later repeats of runs of lines go.
+"""Line deduplication by winnowing over line hashes (operator 8): later repeats of runs of lines and of long lines go.
 
 A document is the sequence of its lines that have a word, each without the white space around it. Of every ``run`` lines
 in a row the smallest line hash is the fingerprint, so every repeated run has a fingerprint in common with its repeat.
@@ -6,13 +6,17 @@ Fingerprint positions are joined, and matches are extended both ways over the li
 A line is deleted if it is part of a run that also starts at an earlier place, overlaps included; places are ordered by
 id (nulls first), row and line. The first one stays.
 
+With ``alone``, a line of so many words is deleted by itself if it also stands at an earlier place, and so is the only line of a
+document, however short, if it also is the only line of an earlier one. Both are joined by their hash with the first place of it.
+
 Lines without words are never deleted. Null texts stay null, empty ones empty. The later of two repeated rows
-loses its lines if there are ``run`` or more. Further columns are kept; a new column whose name is taken gets underscores in front.
+loses all its lines; without ``alone``, if there are ``run`` or more. Further columns are kept; a new column whose name is taken gets underscores in front.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +30,12 @@ from flowloom.llm.rows import free_name, identified
 
 #: Consecutive lines that make a repeat.
 RUN = 2
+#: Words of a line that is a repeat by itself.
+ALONE = 50
 
 
-def line_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last byte (after it) of the lines with words, without white space around, and document bounds."""
+def line_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte (after it) of the lines with words, without white space around, document bounds, and words of each line."""
     starts, ends, _ = words(data, offsets)
     breaks = np.union1d(np.flatnonzero(data == 10) + 1, offsets)
     line = np.searchsorted(breaks, starts, "right")
@@ -38,14 +44,18 @@ def line_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     last = np.ones(len(starts), bool)
     last[:-1] = new[1:]
     low = starts[new]
-    return low, ends[last], np.searchsorted(low, offsets)
+    return low, ends[last], np.searchsorted(low, offsets), np.diff(np.append(np.flatnonzero(new), len(starts)))
 
 
-def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low, high, bounds = line_places(data, offsets)
-    if len(low) == 0:
-        return np.zeros(0, np.uint64), bounds
-    return word_hashes(data, low, high, lower=False), bounds
+def _hashes(data: np.ndarray, offsets: np.ndarray, alone: int | None) -> tuple[np.ndarray, ...]:
+    low, high, bounds, n_words = line_places(data, offsets)
+    values = word_hashes(data, low, high, lower=False) if len(low) else np.zeros(0, np.uint64)
+    if alone is None:
+        return values, bounds
+    by_itself = n_words >= alone
+    by_itself[bounds[:-1][np.diff(bounds) == 1]] = True
+    at = np.flatnonzero(by_itself)
+    return values, bounds, at, np.ones(len(at), np.int64)
 
 
 def _remaining(raw: bytes, low: np.ndarray, gone: np.ndarray) -> str:
@@ -61,7 +71,7 @@ def _remaining(raw: bytes, low: np.ndarray, gone: np.ndarray) -> str:
     return b"\n".join(kept).decode()
 
 
-def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN, counts: bool = True) -> DataFrame:
+def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN, counts: bool = True, alone: int | None = ALONE) -> DataFrame:
     """Every row with the remaining lines as its text; with ``counts``, also ``n_lines``, ``n_removed`` and ``n_runs``."""
     if run < 2:
         raise ValueError("a run has two lines at least")
@@ -69,7 +79,7 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", run: int
     new = [free_name(df, name) for name in new]
     uid, found = free_name(df, "uid"), free_name(df, "found")
     rows = identified(df, uid)
-    hits = repeated_windows(rows, uid, F.col(id), text, _hashes, run, 1, earlier=True)
+    hits = repeated_windows(rows, uid, F.col(id), text, partial(_hashes, alone=alone), run, 1, earlier=True)
     joined = rows.join(hits.select(F.col("uid").alias(uid), F.col("found").alias(found)), uid, "left").select(*df.columns, found)
     columns, width, where = df.columns, len(df.columns), df.columns.index(text)
 
@@ -77,7 +87,7 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", run: int
         for batch in batches:
             valid = batch.column(where).is_valid().to_pylist()
             for first, end, data, offsets in text_groups(batch.column(where)):
-                low, _, bounds = line_places(data, offsets)
+                low, _, bounds, _ = line_places(data, offsets)
                 gone = covered(batch.column(width).slice(first, end - first), bounds, run)
                 left = [
                     _remaining(data[a:b].tobytes(), low[x:y] - a, gone[x:y]) if v else None
@@ -95,7 +105,7 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", run: int
     return joined.mapInArrow(cut, schema)
 
 
-def line_digest(documents: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_runs and the digest of the remaining text of every document."""
-    rows = dedup_lines(documents.select("doc_id", "text"))
+def line_digest(documents: DataFrame, alone: int | None = None) -> DataFrame:
+    """doc_id, n_lines, n_removed, n_runs and the digest of the remaining text of every document; only runs go without ``alone``."""
+    rows = dedup_lines(documents.select("doc_id", "text"), alone=alone)
     return rows.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))

@@ -76,8 +76,8 @@ def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without runs of lines that stood earlier."""
-    return lines.line_digest(documents(spark, sf_dir))
+    """All documents without runs of lines, long lines and one-line texts that stood earlier."""
+    return lines.line_digest(documents(spark, sf_dir), lines.ALONE)
 
 
 @query()

@@ -26,7 +26,8 @@ _U = np.uint64
 HOT_KEYS = 1000
 #: Different spans of one anchor (of some hundred ranks each at most) that one task takes at once.
 LARGE_GROUP = 4096
-Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: Symbol values and the sequences' bounds in them; also, if wanted, start and length of the pieces that count by themselves.
+Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
 
 
 def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
@@ -57,6 +58,13 @@ def spans(values: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tuple
     return doc, low - bounds[doc], n, grams[pos].view(np.int64), name.view(np.int64)
 
 
+def lone_spans(values: np.ndarray, bounds: np.ndarray, size: int, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pieces shorter than a window as spans of their own; ``n`` is such that ``covered`` marks just the piece."""
+    doc = np.searchsorted(bounds, start, "right") - 1
+    name = mix(Substrings(values)(start, start + length) ^ _U(0xA0761D6478BD642F)).view(np.int64)
+    return doc, start - bounds[doc], length - size + 1, name, np.zeros(len(start), np.int64)
+
+
 def _found_in_groups(batches: Iterator[pa.RecordBatch], earlier: bool) -> Iterator[pa.RecordBatch]:
     """Runs (uid, low, n) of repeated windows, from spans (uid, o, low, copies, h, ranks) sorted by anchor."""
     names = ["uid", "low", "n"]
@@ -102,14 +110,18 @@ def repeated_windows(df: DataFrame, uid: str, order: Column, text: str, symbols:
     """(uid, found): runs of window starts whose window also stands elsewhere, or with ``earlier`` at an earlier place.
 
     Places are ordered by ``order`` (nulls first), then ``uid``, then position. ``uid`` must be repeatable. Sequences
-    shorter than ``size`` have no windows. ``found`` holds at most one entry per symbol of the text.
+    shorter than ``size`` have no windows. Pieces that ``symbols`` names beside them are found if the same piece is named
+    elsewhere, by the same rule. ``found`` holds at most one entry per symbol and piece of the text.
     """
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, orders = (batch.column(k).to_numpy() for k in (0, 1))
             for first, end, data, offsets in text_groups(batch.column(2)):
-                doc, low, n, h, s = spans(*symbols(data, offsets), size, gram)
+                values, bounds, *lone = symbols(data, offsets)
+                doc, low, n, h, s = spans(values, bounds, size, gram)
+                if lone:
+                    doc, low, n, h, s = map(np.concatenate, zip((doc, low, n, h, s), lone_spans(values, bounds, size, *lone)))
                 doc = doc + first
                 columns = [ids[doc], orders[doc], low.astype(np.int32), n.astype(np.int32), h, s]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "o", "low", "n", "h", "s"])
@@ -120,7 +132,7 @@ def repeated_windows(df: DataFrame, uid: str, order: Column, text: str, symbols:
         for batch in batches:
             ids, orders, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             for first, end, data, offsets in text_groups(batch.column(2)):
-                values, bounds = symbols(data, offsets)
+                values, bounds = symbols(data, offsets)[:2]
                 part = lists.slice(first, end - first)
                 fields = part.flatten()
                 low, n = (fields.field(k).to_numpy().astype(np.int64) for k in (0, 1))
