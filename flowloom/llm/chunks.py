@@ -1,17 +1,21 @@
-"""Substring deduplication by content-defined chunking (operator 7).
-
-A gear hash rolls over the bytes; a chunk ends where its top bits are zero, so chunks depend on the last 32 bytes
-only and find their places again after an insertion. Chunks have ``least`` to ``most`` bytes. Of chunks with equal
-digest the first stays (order: id with nulls first, row, position), the others go, if they stand in a run of repeated chunks
-of ``passage`` bytes or more; shorter runs are common phrases.
-
-Chunk cuts are moved forward to the start of a UTF-8 character, so what is left is text again. Null texts stay null.
-A repeated row loses all its chunks if it has ``passage`` bytes. Further columns are kept; a new column whose name is taken gets underscores in front.
+"""Substring deduplication by content-defined cuts (operator 7).
+
+A hash rolls over ``GRAM`` bytes; of every ``passage`` bytes the smallest hash is the cut (see ``repeats``). So every passage of
+that size has a cut that depends on its own bytes only, and finds it again wherever it stands, shifted or not. The passages
+that share a cut are a chunk. Chunks with equal digests repeat as a whole; of different chunks at equal cuts the passages are
+compared one by one, so a repeat is followed to its true ends, whatever stands around it. The first one stays (order: id with
+nulls first, row, position); every later passage of ``passage`` bytes goes, overlaps included. 51 words have 101 bytes at least,
+so with 100 bytes no passage of over 50 words is missed. A document of fewer bytes is one chunk, and goes if an earlier document
+is the same; shorter repeats inside documents are common phrases.
+
+A character of UTF-8 goes only if all its bytes do, so what is left is text again. Null texts stay null.
+A repeated row loses its whole text. Further columns are kept; a new column whose name is taken gets underscores in front.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,78 +23,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.arrays import TABLE, Substrings, text_groups
-from flowloom.llm.repeats import join_hot
+from flowloom.llm.arrays import TABLE, text_groups
+from flowloom.llm.repeats import covered, repeated_windows, runs, spans
 from flowloom.llm.rows import free_name, identified
-from flowloom.scratch import stage
 
-GEAR = (TABLE >> np.uint64(32)).astype(np.uint32)
-LEAST, MOST, BITS, PASSAGE = 16, 256, 5, 100
+PASSAGE, GRAM = 100, 32
+
+
+def _bytes(data: np.ndarray, offsets: np.ndarray, passage: int) -> tuple[np.ndarray, ...]:
+    """Byte values, bounds, and the documents shorter than a passage."""
+    sizes = np.diff(offsets)
+    short = (sizes > 0) & (sizes < passage)
+    return TABLE[data], offsets, offsets[:-1][short], sizes[short]
 
 
-def gear_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The gear hash after every byte, from the last 32 bytes of the document."""
-    inside = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    h = GEAR[data].copy()
-    for step in (1, 2, 4, 8, 16):
-        add = np.zeros_like(h)
-        add[step:] = h[:-step] << np.uint32(step)
-        h = h + np.where(inside >= step, add, np.uint32(0))
-    return h
+def _chunk_counts(data: np.ndarray, offsets: np.ndarray, passage: int, gram: int) -> np.ndarray:
+    sizes = np.diff(offsets)
+    doc = spans(TABLE[data], offsets, passage, gram)[0]
+    return np.bincount(doc, minlength=len(sizes)) + ((sizes > 0) & (sizes < passage))
 
 
-def chunk_bounds(data: np.ndarray, offsets: np.ndarray, least: int, most: int, bits: int) -> np.ndarray:
-    """Starts of all chunks of the concatenated documents, and the end."""
+def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone`` without the characters of which some byte stays."""
     if len(data) == 0:
-        return np.zeros(1, np.int64)
-    cut = np.flatnonzero(gear_hashes(data, offsets) >> np.uint32(32 - bits) == 0) + 1
-    follow = (data & 0xC0) == 0x80
-    begins = np.flatnonzero(~follow)  # a cut moves on to the next character
-    begins = np.append(begins, len(data))
-    cut = np.unique(np.append(begins[np.searchsorted(begins, cut)], offsets))
-    ends = set(offsets.tolist())
-    out, at = [0], 0
-    for c in cut.tolist():
-        while c - at > most:
-            at += most
-            while follow[at]:
-                at -= 1
-            out.append(at)
-        if c > at and (c - at >= least or c in ends):
-            out.append(c)
-            at = c
-    return np.array(out, np.int64)
-
-
-def _chunks(data: np.ndarray, offsets: np.ndarray, shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chunk bounds, chunk digests, and each document's bounds in them."""
-    bounds = chunk_bounds(data, offsets, *shape)
-    digests = Substrings(TABLE[data])(bounds[:-1], bounds[1:]).view(np.int64) if len(data) else np.zeros(0, np.int64)
-    return bounds, digests, np.searchsorted(bounds[:-1] if len(data) else bounds[:0], offsets)
-
-
-def dedup_chunks(df: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, most: int = MOST, bits: int = BITS, passage: int = PASSAGE) -> DataFrame:
-    """Every row with the remaining bytes as its text, and ``n_chunks``, ``n_bytes``, ``n_removed`` (bytes) and ``n_spans``."""
+        return gone
+    begins = np.flatnonzero((data & 0xC0) != 0x80)
+    return np.repeat(np.logical_and.reduceat(gone, begins), np.diff(np.append(begins, len(data))))
+
+
+def dedup_chunks(df: DataFrame, id: str = "doc_id", text: str = "text", passage: int = PASSAGE) -> DataFrame:
+    """Every row with the remaining bytes as its text, and ``n_bytes``, ``n_chunks``, ``n_removed`` (bytes) and ``n_spans``."""
     new = [free_name(df, name) for name in ("n_bytes", "n_chunks", "n_removed", "n_spans")]
-    uid, found, shape = free_name(df, "uid"), free_name(df, "found"), (least, most, bits)
+    uid, found, gram = free_name(df, "uid"), free_name(df, "found"), min(GRAM, max(1, passage // 2))
     rows = identified(df, uid)
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, orders = (batch.column(k).to_numpy() for k in (0, 1))
-            for first, end, data, offsets in text_groups(batch.column(2)):
-                _, hashes, at = _chunks(data, offsets, shape)
-                row = np.repeat(np.arange(first, end), np.diff(at))
-                number = np.arange(len(hashes)) - np.repeat(at[:-1], np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(orders[row]), pa.array(number.astype(np.int32)), pa.array(hashes)], names=["uid", "o", "k", "digest"])
-
-    texts = rows.select(F.col(uid).alias("uid"), F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("o"), F.col(text).alias("text"))
-    every = stage(texts.mapInArrow(digests, "uid long, o long, k int, digest long"), "chunks")
-    total = every.count()
-    known = every.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("o", "uid", "k")).alias("least")).where("copies > 1")
-    known = stage(known, "repeated")
-    later = join_hot(every, known, ["digest"], "copies", max(total, 1)).where("struct(o, uid, k) > least")
-    hits = later.groupBy("uid").agg(F.collect_list("k").alias("found"))  # at most the document's own chunks
+    hits = repeated_windows(rows, uid, F.col(id), text, partial(_bytes, passage=passage), passage, gram, earlier=True)
     joined = rows.join(hits.select(F.col("uid").alias(uid), F.col("found").alias(found)), uid, "left").select(*df.columns, found)
     columns, width, where = df.columns, len(df.columns), df.columns.index(text)
 
@@ -98,25 +64,13 @@ def dedup_chunks(df: DataFrame, id: str = "doc_id", text: str = "text", least: i
         for batch in batches:
             valid = batch.column(where).is_valid().to_pylist()
             for first, end, data, offsets in text_groups(batch.column(where)):
-                bounds, _, at = _chunks(data, offsets, shape)
-                part, lists = batch.slice(first, end - first).columns[:width], batch.column(width).slice(first, end - first)
-                gone = np.zeros(len(bounds) - 1, bool)
-                gone[lists.flatten().to_numpy().astype(np.int64) + np.repeat(at[:-1], lists.value_lengths().fill_null(0).to_numpy())] = True
-                starts = gone.copy()
-                starts[1:] &= ~gone[:-1]
-                begin = at[:-1][np.diff(at) > 0]
-                starts[begin] = gone[begin]
-                run = np.cumsum(starts) - 1  # the run of a repeated chunk
-                length = np.bincount(run[gone], np.diff(bounds)[gone], minlength=max(1, int(starts.sum())))
-                gone &= length[np.maximum(run, 0)] >= passage
-                starts &= gone
-                dead = np.repeat(gone, np.diff(bounds))
-                left = [data[a:b][~dead[a:b]].tobytes().decode() if v else None for a, b, v in zip(offsets[:-1], offsets[1:], valid[first:end])]
+                part = batch.slice(first, end - first).columns[:width]
+                gone = _whole_characters(data, covered(batch.column(width).slice(first, end - first), offsets, passage))
+                left = [data[a:b][~gone[a:b]].tobytes().decode() if v else None for a, b, v in zip(offsets[:-1], offsets[1:], valid[first:end])]
                 part[where] = pa.array(left, part[where].type)
-                lost = np.diff(np.concatenate([[0], np.cumsum(dead)])[offsets])
-                spans = np.diff(np.concatenate([[0], np.cumsum(starts)])[at])
-                extra = [pa.array(x, pa.int64()) for x in (np.diff(offsets), np.diff(at), lost, spans)]
-                yield pa.RecordBatch.from_arrays([*part, *extra], names=[*columns, *new])
+                lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[offsets])
+                counts = (np.diff(offsets), _chunk_counts(data, offsets, passage, gram), lost, runs(gone, offsets))
+                yield pa.RecordBatch.from_arrays([*part, *[pa.array(x, pa.int64()) for x in counts]], names=[*columns, *new])
 
     schema = T.StructType([*df.schema.fields])
     for name in new:

@@ -70,7 +70,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without chunks that stood earlier."""
+    """All documents without passages that stood earlier."""
     return chunks.chunk_digest(documents(spark, sf_dir))
 
 

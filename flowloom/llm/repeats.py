@@ -1,4 +1,4 @@
-"""Windows of fixed size that also stand elsewhere, over sequences of 64-bit symbols (shared by operators 2 and 8).
+"""Windows of fixed size that also stand elsewhere, over sequences of 64-bit symbols (shared by operators 2, 7 and 8).
 
 Of every window the smallest k-gram hash is chosen (the leftmost of ties), so equal windows choose the same anchor at the same
 offset. Windows of one anchor form a span. Round one ranks spans: equal spans repeat as a whole. Only anchors found with

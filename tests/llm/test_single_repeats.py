@@ -5,7 +5,7 @@ import random
 import plain
 import pytest
 
-from flowloom.llm import lines
+from flowloom.llm import chunks, lines
 
 random.seed(11)
 
@@ -60,3 +60,39 @@ def test_single_long_lines_and_one_line_copies_go(spark, order):
         removed = {i: n for i, _, n, _, _ in want}
         assert [removed[i] for i in range(12)] == [0, 1, 1, 1, 1, 1, 0, 1, 0, 0, 0, 0]
         assert sum(removed[i] for i, t in docs if t == "hot") == 19
+
+
+def cut_passages(docs, size):
+    """Bytes of strings of ``size`` bytes and of whole shorter texts that stood earlier go, but for parts of characters."""
+    seen, out = set(), []
+    for i, text in docs:
+        t = (text or "").encode()
+        gone = [False] * len(t)
+        for p in range(max(1, len(t) - size + 1)):
+            key = t[p : p + size] if len(t) >= size else ("whole", t)
+            if key in seen:
+                gone[p : p + size] = [True] * len(t[p : p + size])
+            seen.add(key)
+        at, kept = 0, []
+        for c in text or "":
+            n = len(c.encode())
+            kept += [] if all(gone[at : at + n]) else [c]
+            at += n
+        out.append((i, None if text is None else "".join(kept), len(t), len(t) - len("".join(kept).encode())))
+    return out
+
+
+def test_no_passage_of_51_words_is_missed(spark):
+    docs, passages = [], {}
+    for n in range(120):
+        shared = prose(51, 1) if n % 2 else " ".join(random.choices("abcdé", k=51))
+        docs.append((2 * n, f"{prose(n % 37)} {shared} {prose(20)}"))
+        docs.append((2 * n + 1, f"{prose(3 + n % 23)}{'xyz'[: n % 4]} {shared}\n{prose(15)}"))
+        passages[2 * n + 1] = len(shared.encode())
+    docs += [(1000 + k, t) for k, t in enumerate(["a short text"] * 30 + ["other", "", "", None, "é" * 60, "è" * 60, "é" * 49, "é" * 49])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.text, r.n_bytes, r.n_removed) for r in chunks.dedup_chunks(df).collect())
+    assert got == sorted(cut_passages(docs, chunks.PASSAGE))
+    removed = {g[0]: g[3] for g in got}
+    assert all(removed[i] >= size for i, size in passages.items())
+    assert [removed[1000 + k] for k in range(31)] == [0] + [12] * 29 + [0]
