@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowloom.fixed_values import BENIGN, GRAPH_SIZE, MAX_NODES, SEQ_LEN, WINDOW_STRIDE
+from flowloom.fixed_values import BENIGN, GRAPH_SIZE, SEQ_LEN, WINDOW_STRIDE
 from flowloom.functions.values import named
 from flowloom.operators.lookup import join_counted
 from flowloom.operators.ordering import Indexed, dense_index, running_totals
@@ -25,10 +25,12 @@ MIN_BLOCK, MAX_BLOCK = 1024, 16384
 
 @dataclass(frozen=True)
 class Geometry:
+    """Sizes of a window; all its hosts are nodes (``2 * graph_size`` at most), or the first ``max_nodes`` if given."""
+
     seq_len: int = SEQ_LEN
     graph_size: int = GRAPH_SIZE
     stride: int = WINDOW_STRIDE
-    max_nodes: int = MAX_NODES
+    max_nodes: int | None = None
 
     def count(self, n: int, cap: int | None = None) -> int:
         """Number of windows over ``n`` flows, at most the first ``cap``."""
@@ -163,11 +165,13 @@ def window_sequences(
 def window_nodes(
     ix: Indexed, src: str, dst: str, g: Geometry = Geometry(), cap: int | None = None, size: int | None = None
 ) -> DataFrame:
-    """``(window_id, nodes)``: hosts in first-seen order, sources before destinations, capped."""
+    """``(window_id, nodes)``: hosts in first-seen order, sources before destinations."""
     lists = {"_s": F.collect_list(src), "_d": F.collect_list(dst)}
     hosts = F.array_distinct(F.concat("_s", "_d"))
+    if g.max_nodes is not None:
+        hosts = F.slice(hosts, 1, g.max_nodes)
     return framed(ix, lists, g.graph_size, g, cap, size).select(
-        "block", "window_id", F.slice(hosts, 1, g.max_nodes).alias("nodes")
+        "block", "window_id", hosts.alias("nodes")
     )
 
 
@@ -206,7 +210,9 @@ def _block_edges(
         else:
             ids = _first_seen_ids(frames.transpose(1, 0, 2).reshape(n, -1)).reshape(n, 2, -1)
             source, target = ids[:, 0], ids[:, 1]
-        kept = (source >= 0) & (source < g.max_nodes) & (target >= 0) & (target < g.max_nodes)
+        kept = (source >= 0) & (target >= 0)
+        if g.max_nodes is not None:
+            kept &= (source < g.max_nodes) & (target < g.max_nodes)
         w, p = np.nonzero(kept)
         flow = starts[w] + p
         return pd.DataFrame(
@@ -236,8 +242,8 @@ def window_edges(
 ) -> DataFrame:
     """``(block, window_id, edge_pos, src_node, dst_node, flow_idx, *carry)``, one row per edge.
 
-    Node ids follow ``window_nodes``; flows with a missing endpoint or one
-    beyond the node cap give no edge. ``node_order="interleaved"`` numbers the
+    Node ids follow ``window_nodes``; flows with a missing endpoint, or one
+    beyond a given ``max_nodes``, give no edge. ``node_order="interleaved"`` numbers the
     hosts flow by flow instead. Numbering 2 x 64 endpoints per window by array
     expressions costs a linear search per endpoint (38 s for 599,904 windows);
     sorting the block's windows as one Arrow matrix took 4 to 7 s. A block is

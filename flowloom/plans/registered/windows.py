@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from flowloom.fixed_values import MAX_NODES
 from flowloom.operators import graphs as g, windows as w
 from flowloom.operators.lookup import label_index, label_map
 from flowloom.operators.ordering import Indexed, dense_index
@@ -46,7 +47,8 @@ def _edges(index_cte: str, geo: w.Geometry) -> str:
     )
 
 
-_DEFAULT = w.Geometry()
+# The SQL numbers at most so many hosts of a window; only these queries keep the cap.
+_DEFAULT = w.Geometry(max_nodes=MAX_NODES)
 
 # Means over 2, 4, ... 64 values end exactly between two roundings; the nudge
 # settles such ties the same way whatever the order of summation.
@@ -140,7 +142,7 @@ def window_edges(spark: SparkSession, sf: str) -> DataFrame:
 )
 def flow_window_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Edges of every default window over all flows, as one fingerprint per window."""
-    edges = w.window_edges(_flow_index(spark, sf, "src", "dst"), "src", "dst")
+    edges = w.window_edges(_flow_index(spark, sf, "src", "dst"), "src", "dst", g=_DEFAULT)
     p = F.col("flow_idx") - F.col("window_id") + 1
     return edges.groupBy("window_id").agg(
         F.count("*").alias("n_edges"),
@@ -225,7 +227,7 @@ def graph_readout(spark: SparkSession, sf: str) -> DataFrame:
     "FROM win JOIN s USING (window_id) JOIN l USING (window_id) LEFT JOIN r USING (window_id)"
 )
 def fused_window_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = build_window_vectors(_event_index(spark, sf), ["value"], "src", "dst", "label")
+    vectors = build_window_vectors(_event_index(spark, sf), ["value"], "src", "dst", "label", _DEFAULT)
     parts = vectors.select(
         "window_id", "label",
         F.col("features")[0].alias("sequence_mean"), F.col("features")[1].alias("graph_mean"),
