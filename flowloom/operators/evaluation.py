@@ -1,4 +1,8 @@
-"""Evaluation of (true, predicted) pairs and of class scores."""
+"""Evaluation of (true, predicted) pairs and of class scores.
+
+A truth or prediction that is missing or not in the class list is ``other``, null in confusion tables. Such pairs are never
+right; they count in the support, recall, precision, accuracy and weighted means. Macro means are over the listed classes.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,8 @@ from flowloom.fixed_values import BENIGN, UNSEEN
 from flowloom.functions.vectors import ratio
 from flowloom.operators.ordering import running_totals
 
+OTHER = "other"
+
 
 def _array(classes: Sequence) -> Column:
     return F.array(*[F.lit(c) for c in classes])
@@ -18,12 +24,12 @@ def _array(classes: Sequence) -> Column:
 def confusion(
     df: DataFrame, true: str, pred: str, classes: Sequence, by: Sequence[str] = ()
 ) -> DataFrame:
-    """``(*by, true, pred, count)`` for every pair of the given classes, zero cells kept.
+    """``(*by, true, pred, count)`` for every pair of the given classes, zero cells kept, and for pairs with null (other) that occur.
 
     Rows collapse to their pair first; the grid of the class list is added to the few counts.
     """
-    pairs = df.filter(F.col(true).isin(list(classes)) & F.col(pred).isin(list(classes)))
-    counts = pairs.groupBy(*by, F.col(true).alias("true"), F.col(pred).alias("pred")).agg(
+    sides = [F.when(F.col(c).isin(list(classes)), F.col(c)).alias(name) for c, name in ((true, "true"), (pred, "pred"))]
+    counts = df.groupBy(*by, *sides).agg(
         F.count(F.lit(1)).alias("n")
     )
     frame = counts.select(*by).distinct() if by else df.sparkSession.range(1).select()
@@ -47,7 +53,7 @@ def accuracy(df: DataFrame, true: str, pred: str, by: Sequence[str] = ()) -> Dat
 
 
 def per_class(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(*by, class, precision, recall, f1, support)`` from a confusion table; 0 for 0/0."""
+    """``(*by, class, precision, recall, f1, support)`` from a confusion table; 0 for 0/0. Class null is other."""
     cell = F.col("count")
     sides = matrix.select(
         *by,
@@ -71,15 +77,19 @@ def per_class(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _listed_mean(name: str) -> Column:
+    return F.avg(F.when(F.col("class").isNotNull(), F.col(name)))
+
+
 def macro(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Unweighted means over all classes."""
-    return scores.groupBy(*by).agg(*[F.avg(m).alias(f"{m}_macro") for m in ("precision", "recall", "f1")])
+    """Unweighted means over all listed classes."""
+    return scores.groupBy(*by).agg(*[_listed_mean(m).alias(f"{m}_macro") for m in ("precision", "recall", "f1")])
 
 
 def classification_report(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per-class rows, then ``accuracy``, ``macro avg`` and ``weighted avg``."""
     scores = per_class(matrix, by)
-    rows = scores.select(*by, F.col("class").cast("string").alias("row"), "precision", "recall", "f1", "support")
+    rows = scores.select(*by, F.coalesce(F.col("class").cast("string"), F.lit(OTHER)).alias("row"), "precision", "recall", "f1", "support")
     total = F.sum("support")
     hit = ratio(F.sum(F.when(F.col("true") == F.col("pred"), F.col("count")).otherwise(0)), F.sum("count"))
     overall = matrix.groupBy(*by).agg(hit.alias("f1"), F.sum("count").alias("support")).select(
@@ -88,7 +98,7 @@ def classification_report(matrix: DataFrame, by: Sequence[str] = ()) -> DataFram
     )
     metrics = ("precision", "recall", "f1")
     averages = scores.groupBy(*by).agg(
-        F.struct(*[F.avg(m).alias(m) for m in metrics]).alias("a"),
+        F.struct(*[_listed_mean(m).alias(m) for m in metrics]).alias("a"),
         F.struct(*[ratio(F.sum(F.col(m) * F.col("support")), total).alias(m) for m in metrics]).alias("w"),
         total.alias("support"),
     )
@@ -122,7 +132,7 @@ def class_distributions(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def top_confusions(matrix: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` most frequent wrong pairs."""
-    wrong = matrix.filter((F.col("true") != F.col("pred")) & (F.col("count") > 0))
+    wrong = matrix.filter(~F.col("true").eqNullSafe(F.col("pred")) & (F.col("count") > 0))
     return wrong.orderBy(F.desc("count"), "true", "pred").limit(k)
 
 
@@ -222,7 +232,10 @@ def metrics_document(df: DataFrame, true: str, pred: str, classes: Sequence, by:
     matrix = confusion(df, true, pred, classes, by)
     scores = per_class(matrix, by)
     dists = class_distributions(matrix, by)
-    text = F.col("class").cast("string")
+    other = OTHER
+    while other in map(str, classes):
+        other = f"_{other}"
+    text = F.coalesce(F.col("class").cast("string"), F.lit(other))
     keys = list(by)
 
     def grouped(source: DataFrame, *aggs: Column) -> DataFrame:
@@ -230,7 +243,7 @@ def metrics_document(df: DataFrame, true: str, pred: str, classes: Sequence, by:
 
     pairs = F.array_sort(
         F.filter(
-            F.collect_list(F.when((F.col("true") != F.col("pred")) & (F.col("count") > 0),
+            F.collect_list(F.when(~F.col("true").eqNullSafe(F.col("pred")) & (F.col("count") > 0),
                                   F.struct((-F.col("count")).alias("k"), "true", "pred", "count"))),
             lambda x: x.isNotNull(),
         )
@@ -255,4 +268,4 @@ def metrics_document(df: DataFrame, true: str, pred: str, classes: Sequence, by:
         else:
             out = out.withColumns({c: part.select(c).scalar() for c in part.columns})
     fields = [c for c in out.columns if c not in keys and c != "_cells"]
-    return out.select(*by, F.to_json(F.struct(*fields)).alias("metrics"))
+    return out.select(*by, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("metrics"))
