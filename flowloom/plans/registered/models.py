@@ -135,5 +135,4 @@ def cross_dataset_report(spark: SparkSession, sf: str) -> DataFrame:
     )
     return jobs.evaluate_across(
         other, art, model, _MODEL_FEATURES, _FLOW_LABELS, ["event_id"], "2024-01-01 00:00:00",
-        benign_rows=1500, key=["event_id"],
     )
