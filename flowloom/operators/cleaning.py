@@ -24,8 +24,6 @@ from flowloom.operators.lookup import join_counted
 from flowloom.operators.ordering import dense_index
 from flowloom.operators.quantiles import approx_quantiles, exact_quantiles
 
-# Wide tables take the sketch, narrow ones the exact median.
-EXACT_COLUMNS = 8
 MISSING = "__MISSING__"
 _NON_ASCII = r"[^\x00-\x7F]"
 
@@ -77,13 +75,11 @@ def parse_timestamps(
 def fit_medians(
     df: DataFrame, columns: Sequence[str] | None = None, exact: bool | None = None
 ) -> dict[str, float]:
-    """Median per numeric column, 0.0 for a column without values."""
+    """Median per numeric column, 0.0 for a column without values; a sketch only with ``exact=False``."""
     columns = list(columns if columns is not None else numeric_columns(df))
     if not columns:
         return {}
-    if exact is None:
-        exact = len(columns) <= EXACT_COLUMNS
-    medians = (exact_quantiles if exact else approx_quantiles)(df, columns)
+    medians = (approx_quantiles if exact is False else exact_quantiles)(df, columns)
     return {c: float(medians[c, 0.5]) if medians[c, 0.5] is not None else 0.0 for c in columns}
 
 

@@ -61,35 +61,30 @@ def _resolve(
         return {}
     items = list(brackets)
 
-    def zone(column: Column, low, high) -> Column:
-        if low is None:
-            return F.lit(0)
-        return F.when(column < low, -1).when(column > high, 1).otherwise(0)
+    def inside(column: Column, low, high) -> Column:
+        return column.isNotNull() if low is None else column.between(low, high)
 
-    entries = []
-    for k, item in enumerate(items):
-        value = named(item[0]).cast("double")
-        z = zone(value, *brackets[item])
-        entries.append(
-            F.when(
-                value.isNotNull() & (z <= 0),
-                F.struct(F.lit(k).alias("item"), z.alias("zone"), F.when(z == 0, value).alias("value")),
-            )
-        )
+    values = [named(c).cast("double") for c, _ in items]
+    below = [F.lit(0) if brackets[item][0] is None else F.count_if(v < brackets[item][0]) for v, item in zip(values, items)]
+    below = list(df.agg(*[b.alias(f"n{k}") for k, b in enumerate(below)]).first())
+    entries = [
+        F.when(inside(v, *brackets[item]), F.struct(F.lit(k).alias("item"), v.alias("value")))
+        for k, (v, item) in enumerate(zip(values, items))
+    ]
     counts = (
         df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        .groupBy("e.item", "e.zone", "e.value")
+        .groupBy("e.item", "e.value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # The below-bracket row of an item sorts first, so running counts are global ranks.
+    # With the rows below an item's bracket added, running counts are global ranks.
     largest = max(sizes[c] for c, _ in items)
-    keys = [F.col("zone").asc(), F.col("value").asc_nulls_first()]
+    keys = [F.col("value").asc()]
     if largest * 4 / accuracy <= LOCAL_RANK_ROWS:
         w = Window.partitionBy("item").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
         ranked = counts.withColumn("upto", F.sum("n").over(w))
     else:
         ranked = running_totals(counts, keys, {"n": "upto"}, restart_by="item", name="quantile-ranks")
-    inside = F.col("zone") == 0
+    ranked = ranked.withColumn("upto", F.col("upto") + F.element_at(F.array(*[F.lit(n) for n in below]), F.col("item") + 1))
     positions = [(sizes[c] - 1) * p for c, p in items]
     low = F.element_at(F.array(*[F.lit(int(x)) for x in positions]), F.col("item") + 1)
     high = F.element_at(F.array(*[F.lit(int(-(-x // 1))) for x in positions]), F.col("item") + 1)
@@ -97,8 +92,8 @@ def _resolve(
     rows = (
         ranked.groupBy("item")
         .agg(
-            F.min(F.when(inside & (F.col("upto") > low) & (before <= low), F.col("value"))).alias("lo"),
-            F.min(F.when(inside & (F.col("upto") > high) & (before <= high), F.col("value"))).alias("hi"),
+            F.min(F.when((F.col("upto") > low) & (before <= low), F.col("value"))).alias("lo"),
+            F.min(F.when((F.col("upto") > high) & (before <= high), F.col("value"))).alias("hi"),
         )
         .collect()  # one row per column and probability
     )
