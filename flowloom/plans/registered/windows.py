@@ -2,7 +2,6 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowloom.fixed_values import MAX_NODES
 from flowloom.operators import graphs as g, windows as w
 from flowloom.operators.lookup import label_index, label_map
 from flowloom.operators.ordering import Indexed, dense_index
@@ -11,7 +10,7 @@ from flowloom.plans.registry import query
 from flowloom.plans.views import EVENT_INDEX_CTE, INDEX_CTE, TIE, event_flows, flows
 
 _LABELS = label_map(["BENIGN", "DDoS", "DoS Hulk", "PortScan"])
-_SMALL = w.Geometry(seq_len=16, graph_size=32, stride=8, max_nodes=24)
+_SMALL = w.Geometry(seq_len=16, graph_size=32, stride=8)
 
 
 def _flow_index(spark: SparkSession, sf: str, *columns: str) -> Indexed:
@@ -40,15 +39,14 @@ def _edges(index_cte: str, geo: w.Geometry) -> str:
         f"SELECT window_id, dst, {geo.graph_size} + p FROM fr), "
         "hosts AS (SELECT window_id, host, min(o) AS o FROM seen WHERE host IS NOT NULL GROUP BY window_id, host), "
         "ranked AS (SELECT window_id, host, row_number() OVER (PARTITION BY window_id ORDER BY o) AS rn FROM hosts), "
-        f"nodes AS (SELECT window_id, host, rn - 1 AS node FROM ranked WHERE rn <= {geo.max_nodes}), "
+        "nodes AS (SELECT window_id, host, rn - 1 AS node FROM ranked), "
         "edges AS (SELECT fr.*, s.node AS src_node, d.node AS dst_node FROM fr "
         "JOIN nodes s ON s.window_id = fr.window_id AND s.host = fr.src "
         "JOIN nodes d ON d.window_id = fr.window_id AND d.host = fr.dst)"
     )
 
 
-# The SQL numbers at most so many hosts of a window; only these queries keep the cap.
-_DEFAULT = w.Geometry(max_nodes=MAX_NODES)
+_DEFAULT = w.Geometry()
 
 # Means over 2, 4, ... 64 values end exactly between two roundings; the nudge
 # settles such ties the same way whatever the order of summation.

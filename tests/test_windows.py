@@ -104,9 +104,13 @@ def test_interleaved_order_and_cap(spark):
 def test_hub_keeps_sources_first(spark):
     rows = [(0, k, f"s{k}", f"d{k}", "BENIGN", 1.0) for k in range(200)]
     ix = index(spark, rows)
-    nodes = w.window_nodes(ix, "src", "dst").filter("window_id = 0").first()["nodes"]
+    capped = w.Geometry(max_nodes=64)
+    nodes = w.window_nodes(ix, "src", "dst", capped).filter("window_id = 0").first()["nodes"]
     assert nodes == [f"s{k}" for k in range(64)]
-    assert w.window_edges(ix, "src", "dst").count() == 0
+    assert w.window_edges(ix, "src", "dst", g=capped).count() == 0
+    nodes = w.window_nodes(ix, "src", "dst").filter("window_id = 0").first()["nodes"]
+    assert nodes == [f"{side}{k}" for side in "sd" for k in range(64)]
+    assert w.window_edges(ix, "src", "dst").filter("window_id = 0").count() == 64
 
 
 def test_all_endpoints_missing_gives_no_edges(spark):
