@@ -1,4 +1,4 @@
-"""Reproducible sampling, class balancing, splits and perturbed samples.
+"""Reproducible sampling, class balancing and splits.
 
 Random order means order by ``md5(seed|key)``. Exact quotas are met without
 sorting a class as a whole: bucket counts locate the bucket in which a class
@@ -12,21 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowloom.fixed_values import (
-    ATTACK,
-    BENIGN,
-    DESTINATION_IP,
-    DRIFT_FACTORS,
-    DRIFT_PORTS,
-    DRIFT_PROTOCOL,
-    DRIFT_START,
-    LABEL,
-    SEED,
-    SOURCE_FILE,
-    SOURCE_IP,
-    TIMESTAMP,
-    UNSEEN,
-)
+from flowloom.fixed_values import ATTACK, BENIGN, LABEL, SEED, SOURCE_FILE
 from flowloom.functions.labels import is_benign, label_key, label_key_text
 from flowloom.functions.ordering import hash_share, random_key
 from flowloom.functions.values import named
@@ -192,47 +178,3 @@ def split_by_time(
 def shift_features(df: DataFrame, features: Sequence[str], scale: float = 1.0, shift: float = 0.0) -> DataFrame:
     """Affine change of the chosen features."""
     return df.withColumns({f: named(f) * F.lit(scale) + F.lit(shift) for f in features})
-
-
-def drift_sample(
-    df: DataFrame,
-    rows: int,
-    features: Sequence[str],
-    key: Sequence[str],
-    factors: Sequence[float] = DRIFT_FACTORS,
-    label: str = LABEL,
-    unseen: str = UNSEEN,
-    min_base: int = 100,
-    seed: int = SEED,
-) -> DataFrame:
-    """A held-out class: attack rows drawn with repetition, chosen features scaled, new endpoints and times.
-
-    Falls back to all rows when there are fewer than ``min_base`` attacks.
-    """
-    attacks = df.filter(F.coalesce(F.col(label) != BENIGN, F.lit(False)))
-    base_rows = attacks.count()
-    base = attacks if base_rows >= min_base else df
-    size = base_rows if base_rows >= min_base else df.count()
-    drawn = draw_with_replacement(base, min(rows, size), key, seed)
-    scaled = {
-        f: named(f) * F.lit(factors[min(k, len(factors) - 1)]) for k, f in enumerate(features)
-    }
-
-    def pick(name: str, low: int, high: int) -> Column:
-        digits = F.conv(F.substring(random_key(seed, F.lit(name), F.col("draw")), 1, 7), 16, 10).cast("long")
-        return (F.lit(low) + F.pmod(digits, F.lit(high - low))).cast("int")
-
-    ports = F.array(*[F.lit(p) for p in DRIFT_PORTS])
-    return drawn.withColumns(
-        {
-            **scaled,
-            label: F.lit(unseen),
-            SOURCE_IP: F.concat(F.lit("10.0.0."), pick("src", 1, 254).cast("string")),
-            DESTINATION_IP: F.concat(F.lit("192.168.1."), pick("dst", 1, 254).cast("string")),
-            "Source Port": pick("sport", 1024, 65535),
-            "Destination Port": F.element_at(ports, pick("dport", 1, 1 + len(DRIFT_PORTS))),
-            "Protocol": F.lit(DRIFT_PROTOCOL),
-            TIMESTAMP: F.timestamp_add("SECOND", F.col("draw").cast("int"), F.lit(DRIFT_START).cast("timestamp_ntz")),
-            SOURCE_FILE: F.lit("synthetic_zero_day.csv"),
-        }
-    )

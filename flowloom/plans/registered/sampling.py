@@ -77,12 +77,6 @@ def shifted_features(spark: SparkSession, sf: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in ("f_qty", "f_tax")})
 
 
-@query()
-def drift_class(spark: SparkSession, sf: str) -> DataFrame:
-    df = flows(spark, sf).selectExpr("row_key", "label AS Label", "f_qty", "f_price", "f_tax")
-    return s.drift_sample(df, 3000, ["f_qty", "f_price", "f_tax"], ["row_key"])
-
-
 @query(f"WITH {FLOWS_CTE} SELECT ts, ok, ln, pk, sk, f_qty, f_price FROM flows")
 def sorted_by_time(spark: SparkSession, sf: str) -> DataFrame:
     return flows(spark, sf).select("ts", *TIE).orderBy("ts", *TIE)
