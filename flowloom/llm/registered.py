@@ -7,7 +7,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import bpe, chunks, containment, jaccard, lines, pieces, ppm, quality, sharding, suffixes
+from flowloom.llm import bpe, chunks, containment, jaccard, lines, pieces, ppm, quality, sharding, spelling, suffixes
 from flowloom.plans.registry import Query, Run
 
 QUERIES: dict[str, Query] = {}
@@ -91,3 +91,9 @@ def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents and the texts decoded from them, as digests."""
     return bpe.coding_digest(documents(spark, sf_dir), bpe.read_spec(tokenizer_file("byte_bpe_50k.json")))
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent words that they may misspell."""
+    return spelling.variant_digest(documents(spark, sf_dir))
