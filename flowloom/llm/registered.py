@@ -7,7 +7,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import bpe, chunks, containment, jaccard, lines, pieces, ppm, quality, sharding, spelling, suffixes
+from flowloom.llm import bpe, chunks, containment, huffman, jaccard, lines, pieces, ppm, quality, sharding, spelling, suffixes
 from flowloom.plans.registry import Query, Run
 
 QUERIES: dict[str, Query] = {}
@@ -97,3 +97,9 @@ def op10_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with the more frequent words that they may misspell."""
     return spelling.variant_digest(documents(spark, sf_dir))
+
+
+@query()
+def op11_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written in Huffman-coded blocks and read back."""
+    return huffman.binary_digest(documents(spark, sf_dir), bpe.read_spec(tokenizer_file("word_bpe_49k.json")))
