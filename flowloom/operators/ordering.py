@@ -79,9 +79,12 @@ def running_totals(
     totals: dict[str, str],
     restart_by: str | None = None,
     name: str = "running-totals",
+    xor: Sequence[str] = (),
 ) -> DataFrame:
     """Inclusive running sums of ``totals`` (value column -> result column) in key order.
 
+    Whole-number columns named in ``xor`` are folded by exclusive or instead of addition.
+
     With ``restart_by`` the sums start again at each of its values; it leads
     the ordering. Sums are taken inside each range partition and shifted by
     the totals of the partitions before it.
@@ -92,20 +95,24 @@ def running_totals(
     inside = Window.partitionBy(_PART, *groups).orderBy(_OFFSET).rowsBetween(Window.unboundedPreceding, 0)
     # One row per partition and group boundary: both are bounded by partitions + groups.
     before = Window.partitionBy(*groups).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    part_totals = staged.groupBy(_PART, *groups).agg(*[F.sum(v).alias(v) for v in totals])
+    fold = {v: F.bit_xor if v in xor else F.sum for v in totals}
+    part_totals = staged.groupBy(_PART, *groups).agg(*[fold[v](v).alias(v) for v in totals])
     shifts = part_totals.select(
         F.col(_PART).alias("_p"),
         *[F.col(g).alias("_g") for g in groups],
-        *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_before_{v}") for v in totals],
+        *[F.coalesce(fold[v](v).over(before), F.lit(0)).alias(f"_before_{v}") for v in totals],
     )
     on = F.col(_PART) == F.col("_p")
     if restart_by:
         on = on & F.col(restart_by).eqNullSafe(F.col("_g"))
     return (
-        staged.withColumns({out: F.sum(v).over(inside) for v, out in totals.items()})
+        staged.withColumns({out: fold[v](v).over(inside) for v, out in totals.items()})
         .join(shifts, on)
         .select(
             *[c for c in df.columns if c not in totals.values()],
-            *[(F.col(out) + F.col(f"_before_{v}")).alias(out) for v, out in totals.items()],
+            *[
+                (F.col(out).bitwiseXOR(F.col(f"_before_{v}")) if v in xor else F.col(out) + F.col(f"_before_{v}")).alias(out)
+                for v, out in totals.items()
+            ],
         )
     )
