@@ -7,7 +7,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import bpe, chunks, containment, huffman, jaccard, lines, pieces, ppm, quality, sharding, spelling, suffixes
+from flowloom.llm import bpe, chunks, containment, conversations, huffman, jaccard, lines, pieces, ppm, quality, sharding, spelling, suffixes
 from flowloom.plans.registry import Query, Run
 
 QUERIES: dict[str, Query] = {}
@@ -103,3 +103,9 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written in Huffman-coded blocks and read back."""
     return huffman.binary_digest(documents(spark, sf_dir), bpe.read_spec(tokenizer_file("word_bpe_49k.json")))
+
+
+@query()
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations."""
+    return conversations.trie_digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
