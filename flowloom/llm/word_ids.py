@@ -1,24 +1,35 @@
 """Ids of word-level BPE tokenizers that drop white space (shared by the binary output of operator 11).
 
-Such a tokenizer makes white space one blank and never lets a token cross it, so the text may be cut there: the pieces between
-ASCII white space are coded on their own, equal pieces once per task, and their packed ids are joined.
+Such a tokenizer makes white space one blank and never lets a token cross it, so the text may be cut there: the words between
+ASCII white space are coded on their own and their packed ids are joined. A word of plain characters is cut further, since the tokenizer
+cuts it there too: into runs of lower-cased letters, digits, and runs of other signs. Equal words and runs are coded once by a
+worker, as long as it remembers them; they are compared as bytes, never by a hash.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a task remembers before it starts anew, and the longest one (in bytes) worth remembering.
-REMEMBERED, LONGEST = 1 << 18, 64
+#: Words and runs that a worker remembers before it starts anew, and the longest word (in bytes) worth remembering.
+WORDS, RUNS, LONGEST = 1 << 19, 1 << 19, 64
 #: Bytes of a text that are split at once; the cut is moved to the next white space.
 PIECE = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
+#: Words that normal forms leave alone, lower case changes letter by letter, and no contraction, special token or other script cuts.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SIGN = r"!-&(-/:-;=-@\[-`{-~"
+_PLAIN = re.compile(f"[{_LETTER}0-9{_SIGN}]+")
+_RUN = re.compile(f"[{_LETTER}]+|[0-9]|[{_SIGN}]+")
+#: The cuts that the runs follow; another tokenizer's words are coded whole.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_kept: dict[str, WordCoder] = {}
 
 
 def id_type(spec: str, end_id: int) -> str:
@@ -31,7 +42,7 @@ def id_type(spec: str, end_id: int) -> str:
 
 
 class WordCoder:
-    """Packed ids of whole texts; made once per task."""
+    """Packed ids of whole texts."""
 
     def __init__(self, spec: str, kind: str):
         import os
@@ -39,14 +50,39 @@ class WordCoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's cores belong to Spark
         from tokenizers import Tokenizer
 
-        self.library, self.width, self.known = Tokenizer.from_str(spec), int(kind[-1]), {}
-        self.library.no_truncation()
-        self.library.no_padding()
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        codes = self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        for piece, code in zip(pieces, codes):
-            self.known[piece] = b"".join(i.to_bytes(self.width, "little") for i in code.ids)
+        parsed = json.loads(spec)
+        self.type = {2: "H", 4: "I"}[int(kind[-1])]
+        split = parsed["pre_tokenizer"].get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        steps = [x["type"] for k, many in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for x in parsed[k].get(many, [])]
+        self.cuts_runs = split == CUTS and steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+        # Runs are in normal form and cut already, so their coder does neither again.
+        bare = json.dumps(parsed | {"normalizer": None, "pre_tokenizer": parsed["pre_tokenizer"]["pretokenizers"][-1]}) if self.cuts_runs else spec
+        self.whole, self.bare = Tokenizer.from_str(spec), Tokenizer.from_str(bare)
+        for library in (self.whole, self.bare):
+            library.no_truncation()
+            library.no_padding()
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _packed(self, library, texts: list[str]) -> list[bytes]:
+        return [array(self.type, e.ids).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        odd, cut = [], []
+        for word in words:
+            text = word.decode()
+            if self.cuts_runs and _PLAIN.fullmatch(text):
+                cut.append((word, _RUN.findall(text.lower())))
+            else:
+                odd.append((word, text))
+        if len(self.runs) > RUNS:
+            self.runs.clear()
+        new = list({run for _, runs in cut for run in runs}.difference(self.runs))
+        if new:
+            self.runs.update(zip(new, self._packed(self.bare, new)))
+        for word, runs in cut:
+            self.words[word] = b"".join([self.runs[run] for run in runs])
+        self.words.update(zip([word for word, _ in odd], self._packed(self.whole, [text for _, text in odd])))
 
     def encode(self, raw: bytes) -> bytes:
         out, at = [], 0
@@ -54,29 +90,37 @@ class WordCoder:
             cut = _SPACE.search(raw, at + PIECE) if len(raw) - at > PIECE else None
             end = cut.start() if cut else len(raw)
             words = raw[at:end].split()
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = list(set(words).difference(self.known))
+            if len(self.words) > WORDS:
+                self.words.clear()
+            new = [word for word in set(words) if word not in self.words]
             if new:
                 self._learn(new)
-            out.append(b"".join(map(self.known.__getitem__, words)))
+            out.append(b"".join(map(self.words.__getitem__, words)))
             for word in new:
                 if len(word) > LONGEST:
-                    del self.known[word]
+                    del self.words[word]
             at = end
         return b"".join(out)
 
 
+def coder(spec: str, kind: str) -> WordCoder:
+    """The worker's coder; tasks that follow one another in a worker share it."""
+    if spec not in _kept:
+        _kept.clear()
+        _kept[spec] = WordCoder(spec, kind)
+    return _kept[spec]
+
+
 def encoded(docs: DataFrame, spec: str, end_id: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, ids): packed ids of every text with the end id behind them; null texts give the end id alone."""
     kind = id_type(spec, end_id)
     end = end_id.to_bytes(int(kind[-1]), "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(spec, kind)
+        code = coder(spec, kind).encode
         for batch in batches:
             texts = batch.column(1)
-            ids = [coder.encode(x.as_py() or b"") + end for x in texts]
+            ids = [code(x.as_py() or b"") + end for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids binary")
