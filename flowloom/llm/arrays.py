@@ -14,8 +14,9 @@ import pyarrow.compute as pc
 
 GROUP_BYTES = 1 << 20
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
+#: Substring hashes are polynomials modulo this prime at two points, so no text collides whatever the points are.
+_PRIME = (1 << 31) - 1
+_POINTS = (1_318_699_213, 725_304_877)
 #: Random 64-bit value of every byte; the second table sees A-Z as a-z.
 TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
 LOWER_TABLE = TABLE.copy()
@@ -57,31 +58,50 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    key = int(base)
-    if key not in _powers or len(_powers[key]) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        _powers[key] = np.multiply.accumulate(steps)
-    return _powers[key][:n]
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A value below 2^32 that is equal to ``x`` (below 2^62) modulo the prime."""
+    return (x & _U(_PRIME)) + (x >> _U(31))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` below 2^63 modulo the prime."""
+    x = _folded(_folded(x))
+    return np.minimum(x, x - _U(_PRIME))
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    known = _powers.setdefault(base, np.ones(1, np.uint32))
+    while len(known) < n:
+        more = _reduced(known.astype(np.uint64) * _U(pow(base, len(known), _PRIME))).astype(np.uint32)
+        known = _powers[base] = np.concatenate([known, more])
+    return known[:n]
 
 
 class Substrings:
-    """64-bit hashes of arbitrary substrings of a byte (or 64-bit symbol) sequence in constant time each."""
+    """62-bit hashes of arbitrary substrings of a byte (or 64-bit symbol) sequence in constant time each.
+
+    Symbols are given as random 64-bit values. Two different strings of n symbols collide with a chance of about (n / 2^31)^2 at most.
+    """
 
     def __init__(self, values: np.ndarray):
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * _power(_BASE, len(values)), out=self.sums[1:])
+        self.sums = np.zeros((2, len(values) + 1), np.uint64)
+        for row, base, part in zip(self.sums, _POINTS, (values >> _U(33), values & _U(_PRIME))):
+            np.cumsum(_folded(part * _power(base, len(values))), out=row[1:])
+
+    def _joined(self, low: np.ndarray | slice, high: np.ndarray | slice, at: np.ndarray | slice, sizes: np.ndarray | np.uint64) -> np.ndarray:
+        n = self.sums.shape[1]
+        one, two = (
+            _reduced(_folded(row[high] - row[low]) * _power(pow(base, -1, _PRIME), n)[at]) for row, base in zip(self.sums, _POINTS)
+        )
+        return mix((one << _U(31) | two) + sizes)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * _power(_INVERSE, len(self.sums))[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        return self._joined(starts, ends, starts, (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
     def windows(self, size: int) -> np.ndarray:
         """Hashes of all windows of one size, by start."""
-        n = max(0, len(self.sums) - size)
-        raw = (self.sums[size:] - self.sums[:n]) * _power(_INVERSE, len(self.sums))[:n]
-        return mix(raw + _U(size * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+        n = max(0, self.sums.shape[1] - size)
+        return self._joined(slice(0, n), slice(size, size + n), slice(0, n), _U(size * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

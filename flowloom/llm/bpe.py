@@ -2,7 +2,8 @@
 
 Two neighbouring bytes that stand inside no token of the vocabulary can never end up in one token:
 the text may be cut between them. Every fragment is encoded on its own, and the ids are concatenated.
-Because nearly all fragments are words with their space, equal fragments of a group of rows are encoded once.
+Because nearly all fragments are words with their space, a task encodes equal fragments once, as long as it remembers them;
+they are compared as bytes.
 
 A cut is made between bytes x and y only if
 
@@ -19,6 +20,7 @@ Null texts are empty texts and give no ids. Row order, repeated rows and further
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.arrays import TABLE, Substrings, binary_rows, gather, text_groups
+from flowloom.llm.arrays import binary_rows, gather, text_groups
 from flowloom.llm.rows import free_name
 
-#: Fragments that a task remembers before it starts anew.
-REMEMBERED = 1 << 18
+#: Fragments that a task remembers before it starts anew, and the longest one (in bytes) worth remembering.
+REMEMBERED, LONGEST = 1 << 18, 64
 #: Last two bytes of the white-space characters beyond ASCII.
 WIDE_SPACES = [(0xC2, 0x85), (0xC2, 0xA0), (0x9A, 0x80), *((0x80, x) for x in range(0x80, 0x8B)),
                (0x80, 0xA8), (0x80, 0xA9), (0x80, 0xAF), (0x81, 0x9F)]
@@ -96,22 +98,9 @@ class Codec:
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.forget()
-
-    def forget(self) -> None:
-        """Known fragments: sorted hashes, and where their ids lie."""
-        self.known, self.at, self.length, self.ids = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.uint32))
-
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        ids = self.fragment_ids(texts)
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        order = np.argsort(known := np.concatenate([self.known, hashes]))
-        self.known = known[order]
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(length) - length])[order]
-        self.length = np.concatenate([self.length, length])[order]
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))])
-
-    def fragment_ids(self, texts: list[str]) -> list[list[int]]:
+        self.known: dict[bytes, bytes] = {}  # fragments and their packed ids
+
+    def learn(self, fragments: list[bytes]) -> None:
         if not hasattr(self, "library"):
             import os
 
@@ -121,24 +110,28 @@ class Codec:
             self.library = Tokenizer.from_str(self.spec)
             self.library.no_truncation()
             self.library.no_padding()
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        codes = self.library.encode_batch_fast([f.decode() for f in fragments], add_special_tokens=False)
+        self.known.update((f, array("I", c.ids).tobytes()) for f, c in zip(fragments, codes))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the concatenated documents and each document's bounds in them."""
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        bounds = cuts(data, offsets, self.table, self.wide)
-        begins, ends = bounds[:-1], bounds[1:]
-        distinct, first, which = np.unique(Substrings(TABLE[data])(begins, ends), return_index=True, return_inverse=True)
+        bounds, raw = cuts(data, offsets, self.table, self.wide), data.tobytes()
+        edges = bounds.tolist()
+        fragments = [raw[a:b] for a, b in zip(edges[:-1], edges[1:])]
         if len(self.known) > REMEMBERED:
-            self.forget()
-        new = ~np.isin(distinct, self.known, assume_unique=True)
-        raw = data.tobytes()
-        self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(begins[first[new]].tolist(), ends[first[new]].tolist())])
-        found = np.searchsorted(self.known, distinct)[which]
+            self.known.clear()
+        new = [f for f in set(fragments) if f not in self.known]
+        if new:
+            self.learn(new)
+        packed = list(map(self.known.__getitem__, fragments))
+        for f in new:
+            if len(f) > LONGEST:
+                del self.known[f]
         done = np.zeros(len(bounds), np.int64)
-        np.cumsum(self.length[found], out=done[1:])
-        return gather(self.ids, self.at[found], self.length[found]), done[np.searchsorted(bounds, offsets)]
+        np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4, out=done[1:])
+        return np.frombuffer(b"".join(packed), np.uint32), done[np.searchsorted(bounds, offsets)]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the concatenated id rows and each row's bounds in them."""

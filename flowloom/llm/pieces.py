@@ -94,7 +94,7 @@ class Automaton:
         return pieces
 
 
-def _group_counts(automaton: Automaton, known: dict[int, int], data: np.ndarray, offsets: np.ndarray):
+def _group_counts(automaton: Automaton, known: dict[bytes, int], data: np.ndarray, offsets: np.ndarray):
     starts, ends, bounds = words(data, offsets)
     if len(starts) == 0:
         none = np.zeros(len(offsets) - 1, np.int64)
@@ -103,10 +103,11 @@ def _group_counts(automaton: Automaton, known: dict[int, int], data: np.ndarray,
     raw, counts = data.tobytes(), np.zeros(len(distinct), np.int64)
     if len(known) > REMEMBERED:
         known.clear()
-    for k, (h, a, b) in enumerate(zip(distinct.tolist(), starts[first].tolist(), ends[first].tolist())):
-        found = known.get(h)
+    for k, (a, b) in enumerate(zip(starts[first].tolist(), ends[first].tolist())):
+        word = raw[a:b]
+        found = known.get(word)
         if found is None:
-            found = known[h] = automaton.count(raw[a:b].decode("utf-8", "replace"))
+            found = known[word] = automaton.count(word.decode("utf-8", "replace"))
         counts[k] = found
     per_word = counts[which]
     sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[bounds])

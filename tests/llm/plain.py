@@ -114,3 +114,55 @@ def score_all(docs, order=4):
         base = sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in tokens)
         out.append((i, h, len(tokens), sum(counts[t] > 0 for t in tokens), n, base, sum(log_p(b[p - order : p], b[p]) for p in range(order, len(b)))))
     return out
+
+
+def trie(rows):
+    """Every distinct prefix of the rebuilt conversations, by definition."""
+    turns = {}
+    for c, t, r, x in rows:
+        if c is not None:
+            turns.setdefault(c, []).append(((t is not None, t or 0), r or "", x or ""))
+    turns = {c: [(r, x) for _, r, x in sorted(v, key=lambda q: q[0])] for c, v in turns.items()}
+    built, members = {}, {}
+    for c, v in turns.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        built[c] = tuple(turns.get(c - c % 5, [])[:h] + v[h:])
+        for d in range(len(built[c]) + 1):
+            members.setdefault(built[c][:d], []).append(c)
+    kids = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            saved[p[:d]] += (len(m) - 1) * len(p[-1][1].encode()) if p else 0
+            leaves[p[:d]] += not kids[p]
+    out = []
+    for p, m in members.items():
+        ends = ",".join(str(c) for c in sorted(m) if len(built[c]) == len(p))
+        out.append((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), kids[p], leaves[p], saved[p], sha(ends.encode())))
+    return sorted(out, key=lambda r: r[:2])
+
+
+def spelling(docs, least_length=5, least_count=3):
+    """(word, form, root, n, n_near, form_n) by definition."""
+    counts = Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            counts[run if h % 97 else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= least_length and c >= least_count}
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        k = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+        return a != b and len(b) - len(a) < 2 and (a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :])
+
+    others = {w: [x for x in n if near(w, x)] for w in n}
+    best = {w: min(o, key=lambda x: (-n[x], x)) for w, o in others.items() if o}
+    form = {w: b for w, b in best.items() if n[b] >= 2 * n[w]}
+
+    def root(w):
+        return root(form[w]) if w in form else w
+
+    return sorted((w, form.get(w, ""), root(w), n[w], len(others[w]), n.get(form.get(w), -1)) for w in n)
