@@ -3,10 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.operators.artifacts import Artifacts
+from flowloom.operators.ordering import dense_index
+from flowloom.operators.windows import Geometry
 from flowloom.plans.registry import query
-from flowloom.plans.views import FLOWS_CTE, FLOWS, _select, table
+from flowloom.plans.views import EVENTS_CTE, FLOWS_CTE, FLOWS, _select, event_flows, table
 from flowloom.scratch import scratch_path
-from flowloom.streaming import incremental as inc
+from flowloom.streaming import incremental as inc, windows as live
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -59,3 +61,51 @@ def streamed_deduplication(spark: SparkSession, sf: str) -> DataFrame:
     )
     inc.run(inc.deduplicate, stream, ["user_id", "event_type"], "ts", "400 days", out, checkpoint)
     return spark.read.parquet(out).select("user_id", "event_type")
+
+
+# Three captures of the events; each arrives in parts, and the job is stopped and started again between them.
+_CAPTURE = "concat('capture_', cast(event_id % 3 as string))"
+_LIVE = Geometry(seq_len=16, graph_size=32, stride=8)
+_LIVE_CTE = (
+    f"{EVENTS_CTE}, cap AS (SELECT *, {_CAPTURE} AS capture FROM ev), "
+    "ix AS (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY capture) AS n FROM cap), "
+    "win AS (SELECT capture, i // 8 AS window_id, i AS start FROM ix WHERE i % 8 = 0 AND i < n - 48)"
+)
+
+
+def _arriving(spark: SparkSession, sf: str, parts: int, start) -> DataFrame:
+    """The result of a streaming job over the events, in ``parts`` time spans with a restart between them."""
+    ix = dense_index(event_flows(spark, sf).selectExpr("*", f"{_CAPTURE} AS capture"), ["ts", "event_id"], name="events")
+    folder, out, checkpoint = (scratch_path(spark, name) for name in ("arriving", "live", "live-checkpoint"))
+    for k in range(parts):
+        span = ix.df.where((F.col("i") * parts >= k * ix.n) & (F.col("i") * parts < (k + 1) * ix.n))
+        span.drop("i").write.mode("append").parquet(folder)
+        stream = inc.read_parquet_stream(spark, folder, ix.df.drop("i").schema)
+        inc.run(inc.append_table, start(stream), out, checkpoint)
+    return spark.read.parquet(out)
+
+
+@query(
+    f"WITH {_LIVE_CTE}, m AS (SELECT capture, i AS start, sum(value) OVER (PARTITION BY capture ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) / 16 AS v, "
+    "lead(label, 8) OVER (PARTITION BY capture ORDER BY i) AS label FROM ix) "
+    "SELECT capture, window_id, label, round(v, 6) AS value FROM win JOIN m USING (capture, start)"
+)
+def streamed_window_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Window means of captures that arrive in three parts."""
+    means = _arriving(spark, sf, 3, lambda s: live.stream_window_means(s, "capture", ["ts", "event_id"], "label", ["value"], _LIVE))
+    return means.withColumn("value", F.round("value", 6))
+
+
+@query(
+    f"WITH {_LIVE_CTE}, fr AS (SELECT win.capture, window_id, p, i, src, dst FROM win, (SELECT unnest(range(32)) AS p) "
+    "JOIN ix ON ix.i = start + p AND ix.capture = win.capture), "
+    "seen AS (SELECT capture, window_id, src AS host, p AS o FROM fr UNION ALL SELECT capture, window_id, dst, 32 + p FROM fr), "
+    "hosts AS (SELECT capture, window_id, host, min(o) AS o FROM seen WHERE host IS NOT NULL GROUP BY ALL), "
+    "nodes AS (SELECT capture, window_id, host, row_number() OVER (PARTITION BY capture, window_id ORDER BY o) - 1 AS node FROM hosts) "
+    "SELECT capture, window_id, cast(row_number() OVER (PARTITION BY capture, window_id ORDER BY i) - 1 AS integer) AS edge_pos, "
+    "cast(s.node AS integer) AS src_node, cast(d.node AS integer) AS dst_node, i AS flow_idx FROM fr "
+    "JOIN nodes s USING (capture, window_id) JOIN nodes d USING (capture, window_id) WHERE s.host = src AND d.host = dst"
+)
+def streamed_window_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Window edges of captures that arrive in two parts."""
+    return _arriving(spark, sf, 2, lambda s: live.stream_window_edges(s, "capture", ["ts", "event_id"], "src", "dst", _LIVE))
