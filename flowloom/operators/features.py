@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import batched, combinations
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -24,47 +23,24 @@ from flowloom.functions.values import named
 from flowloom.operators.artifacts import Artifacts, numeric_columns, require_features
 from flowloom.operators.cleaning import fit_medians, impute
 from flowloom.operators.columns import ensure_features, keep_columns
-
-# Aggregate expressions per job: generated code beyond this stops being compiled.
-PAIRS_PER_JOB = 300
-
+from flowloom.operators.gram import pair_correlation, pair_sums
 
 def near_zero_variance(stds: dict[str, float | None], threshold: float = STD_THRESHOLD) -> dict[str, str]:
     """Columns to drop for lack of variation, with the reason."""
     return {c: VARIANCE_REASON for c, s in stds.items() if s is None or s <= threshold}
 
 
-def correlation(a: Column, b: Column) -> Column:
-    """Pearson correlation over rows where both are present; null when one of them is constant."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
-
-
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(a, b, corr)`` for each pair of columns, nulls left out pair by pair.
+    """``(a, b, corr)`` for each pair of columns, nulls left out pair by pair; one scan for all pairs.
 
-    Columns without nulls need no masking, so their deviations are computed once for all pairs.
+    Null where a column is constant over the rows in which both are present, or there are no such rows.
     """
-    nulls = df.agg(*[F.count_if(named(c).isNull()).alias(f"n{k}") for k, c in enumerate(columns)]).first()
-    complete = {c for k, c in enumerate(columns) if nulls[f"n{k}"] == 0}
-
-    def cell(a: str, b: str) -> Column:
-        x, y = named(a), named(b)
-        if {a, b} <= complete:
-            value = F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
-        else:
-            value = correlation(x, y)
-        return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value.alias("corr"))
-
-    jobs = [
-        df.agg(F.array(*[cell(a, b) for a, b in pairs]).alias("cells")).select(F.inline("cells"))
-        for pairs in batched(combinations(columns, 2), PAIRS_PER_JOB)
-    ]
-    out = jobs[0]
-    for more in jobs[1:]:
-        out = out.unionByName(more)
-    return out
+    columns = list(columns)
+    names = F.array(*[F.lit(c) for c in columns])
+    pairs = [(k, m) for k in range(len(columns)) for m in range(k + 1, len(columns))]
+    every = df.sparkSession.createDataFrame(pairs, "i int, j int").select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"))
+    found = pair_sums(df, columns).select("a", "b", pair_correlation().alias("corr"))
+    return every.join(found, ["a", "b"], "left")  # an empty table has no sums
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float]:

@@ -149,6 +149,18 @@ def score_windows(
     )
 
 
+def fit_and_validate(
+    windows: DataFrame, label2idx: Mapping[str, int], split: str = "split", features: str = "features", label: str = "label", **options
+) -> tuple[PipelineModel, DataFrame]:
+    """A classifier fitted on the ``train`` windows alone, and the scored ``val`` windows.
+
+    The scaler belongs to the model, so its statistics come from training windows too.
+    """
+    marked = stage(windows, "split-windows")
+    model = fit_window_classifier(marked.filter(F.col(split) == "train"), label2idx, features, label, **options)
+    return model, score_windows(marked.filter(F.col(split) == "val"), model, label2idx, features)
+
+
 def loss_history(spark, model: PipelineModel) -> DataFrame:
     """``(iteration, loss)`` of a logistic or perceptron model."""
     history = list(model.stages[-1].summary.objectiveHistory)

@@ -18,6 +18,7 @@ from flowloom.functions.ordering import hash_share, random_key
 from flowloom.functions.values import named
 from flowloom.operators.lookup import join_counted, lookup_literal
 from flowloom.operators.ordering import dense_index
+from flowloom.operators.windows import Geometry
 
 # Leading hex digits of the random key that form a bucket: 65,536 buckets.
 BUCKET_DIGITS = 4
@@ -175,6 +176,36 @@ def split_by_time(
     )
 
 
+def split_by_blocks(
+    windows: DataFrame,
+    g: Geometry,
+    block: int,
+    every: int = 5,
+    embargo: int | None = None,
+    window: str = "window_id",
+    out: str = "split",
+) -> DataFrame:
+    """Marks windows ``train`` or ``val`` by time block; the last of ``every`` blocks of ``block`` windows validates.
+
+    Windows of stride one share nearly all their flows with their neighbours, so a random split tests on what was trained.
+    Training windows that start within ``embargo`` flows (``seq_len + graph_size`` unless given) of a validation block are left
+    out on both sides; no flow is then seen by both. A projection: no shuffle, and every validating block has training blocks around it.
+    """
+    reach = g.seq_len + g.graph_size if embargo is None else embargo
+    length = block * g.stride
+    if length <= 2 * reach or every < 2:
+        raise ValueError(f"blocks of {length} flows leave no training windows beside an embargo of {reach}")
+    start = F.col(window) * g.stride
+    number, inside = F.floor(start / length), F.pmod(start, F.lit(length))
+
+    def validates(at: Column) -> Column:
+        return (at >= 0) & (F.pmod(at, F.lit(every)) == every - 1)
+
+    purged = (validates(number + 1) & (inside + reach > length)) | (validates(number - 1) & (inside < reach))
+    side = F.when(validates(number), "val").when(~purged, "train")
+    return windows.withColumn(out, side).filter(F.col(out).isNotNull())
+
+
 def shift_features(df: DataFrame, features: Sequence[str], scale: float = 1.0, shift: float = 0.0) -> DataFrame:
     """Affine change of the chosen features."""
     return df.withColumns({f: named(f) * F.lit(scale) + F.lit(shift) for f in features})

@@ -2,14 +2,15 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.operators import models as m
+from flowloom.operators import evaluation, models as m, sampling as s
 from flowloom.operators.artifacts import Artifacts
 from flowloom.operators.features import fit_features
-from flowloom.operators.lookup import label_map
+from flowloom.operators.lookup import label_index, label_map
 from flowloom.operators.ordering import dense_index
+from flowloom.operators.windows import Geometry
 from flowloom.plans import flows as jobs
 from flowloom.plans.registry import query
-from flowloom.plans.views import TIE, event_flows, flows, table
+from flowloom.plans.views import EVENT_INDEX_CTE, TIE, event_flows, flows, table
 from flowloom.scratch import stage
 
 _CLASSES = list(range(10))
@@ -82,15 +83,40 @@ def _event_vectors(spark: SparkSession, sf: str) -> DataFrame:
 _EVENT_LABELS = label_map(["BENIGN", "click", "error", "purchase", "signup"])
 
 
+def _split_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Window vectors of the events in time blocks: about twenty, of at least 200 windows."""
+    vectors = _event_vectors(spark, sf)
+    return s.split_by_blocks(vectors, Geometry(), max(200, vectors.count() // 20))
+
+
+@query(
+    f"WITH {EVENT_INDEX_CTE}, w AS (SELECT i AS window_id FROM ix WHERE i < (SELECT greatest(1, count(*) - 96) FROM ix)), "
+    "t AS (SELECT greatest(200, count(*) // 20) AS size FROM w), "
+    "b AS (SELECT window_id, size, window_id // size AS block, window_id % size AS inside FROM w, t) "
+    "SELECT window_id, CASE WHEN block % 5 = 4 THEN 'val' ELSE 'train' END AS split FROM b WHERE block % 5 = 4 "
+    "OR NOT ((block % 5 = 3 AND inside + 96 > size) OR (block > 0 AND block % 5 = 0 AND inside < 96))"
+)
+def embargoed_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Training and validation windows that share no flow."""
+    return _split_events(spark, sf).select("window_id", "split")
+
+
 @query()
 def window_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    """Logistic regression on fused window vectors: predicted against true labels."""
-    vectors = _event_vectors(spark, sf)
-    model = m.fit_window_classifier(vectors, _EVENT_LABELS, maxIter=10)
-    scored = m.score_windows(vectors, model, _EVENT_LABELS)
+    """Logistic regression on the training blocks: predicted against true labels of the validation blocks."""
+    scored = m.fit_and_validate(_split_events(spark, sf), _EVENT_LABELS, maxIter=10)[1]
     return scored.groupBy("label", "pred_label").agg(F.count("*").alias("windows"))
 
 
+@query()
+def validation_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Classification report of the same classifier over the validation blocks."""
+    scored = m.fit_and_validate(_split_events(spark, sf), _EVENT_LABELS, maxIter=10)[1]
+    pairs = scored.withColumn("true_idx", label_index(F.col("label"), _EVENT_LABELS))
+    matrix = evaluation.confusion(pairs, "true_idx", "pred_idx", sorted(_EVENT_LABELS.values()))
+    return evaluation.classification_report(matrix)
+
+
 @query()
 def training_loss(spark: SparkSession, sf: str) -> DataFrame:
     model = m.fit_window_classifier(_event_vectors(spark, sf), _EVENT_LABELS, maxIter=10)

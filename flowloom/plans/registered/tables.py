@@ -9,7 +9,7 @@ from flowloom.operators.ordering import dense_index
 from flowloom.operators.rows import dropped_class_counts, other_class_counts, row_clean_report
 from flowloom.plans.flows import build_training_table
 from flowloom.plans.registry import query
-from flowloom.plans.views import FLOWS_CTE, flows, raw_flows, table
+from flowloom.plans.views import FLOWS_CTE, INDEX_CTE, flows, raw_flows, table
 from flowloom.scratch import scratch_path
 from flowloom.sources import readers, window_store, writers
 
@@ -83,6 +83,25 @@ def window_store_check(spark: SparkSession, sf: str) -> DataFrame:
     return window_store.store_integrity(windows, edges, meta["num_items"])
 
 
+@query(
+    f"WITH {INDEX_CTE}, tot AS (SELECT count(*) AS n FROM ix), w AS (SELECT i AS window_id FROM ix, tot WHERE i < greatest(1, n - 96)), "
+    "q AS (SELECT i AS window_id, sum(f_qty) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING) AS qty, "
+    "count(*) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING) AS n_edges FROM ix) "
+    "SELECT window_id, cast(CASE l.label WHEN 'DDoS' THEN 1 WHEN 'DoS Hulk' THEN 2 WHEN 'PortScan' THEN 3 ELSE 0 END AS integer) AS y, "
+    "n_edges, qty FROM w JOIN q USING (window_id) JOIN ix l ON l.i = window_id + 16"
+)
+def stored_window_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored windows joined with their stored edges, bucket by bucket."""
+    path = scratch_path(spark, "window-store")
+    df = flows(spark, sf).select("ts", "ok", "ln", "pk", "sk", "f_qty", "f_price", "src", "dst", "label")
+    ix = dense_index(df, ["ts", "ok", "ln", "pk", "sk", "f_qty", "f_price"], name="flows")
+    label2idx = label_map(["BENIGN", "DDoS", "DoS Hulk", "PortScan"])
+    window_store.write_window_store(ix, ["f_qty"], "label", label2idx, "src", "dst", path, sequences=False)
+    windows, edges, _ = window_store.read_window_store(spark, path)
+    joined = windows.join(edges, ["block", "window_id"]).groupBy("block", "window_id", "y")
+    return joined.agg(F.count("*").alias("n_edges"), F.sum("f_qty").alias("qty")).drop("block")
+
+
 @query(
     f"WITH {FLOWS_CTE}, d AS (SELECT DISTINCT source_file, label, src, dst, f_qty FROM flows) "
     "SELECT 'row cleaning' AS section, 'rows_before' AS item, count(*) AS value FROM flows "

@@ -1,15 +1,50 @@
-"""Windows and their edges on disk: two parquet tables and a one-row description."""
+"""Windows and their edges on disk: two bucketed parquet tables and a one-row description.
+
+Both tables are bucketed by the block a window starts in, so a join of windows with their edges (on ``block`` and ``window_id``) reads
+matching buckets side by side, without a shuffle. The layout is in the file names; a session that did not write the store declares the
+tables over the folder again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.operators.lookup import label_index
 from flowloom.operators.ordering import Indexed
-from flowloom.operators.windows import Geometry, window_edges, window_labels, window_sequences
+from flowloom.operators.windows import Geometry, block_size, window_edges, window_labels, window_sequences
+
+
+#: Blocks that share a bucket, and the most buckets Spark allows by default.
+BLOCKS_PER_BUCKET, MOST_BUCKETS = 8, 100_000
+
+
+def _table_name(path: str, part: str) -> str:
+    return f"flowloom_{md5(path.encode()).hexdigest()[:16]}_{part}"
+
+
+def _write_bucketed(df: DataFrame, path: str, part: str, buckets: int) -> None:
+    """One file per bucket, its windows in order."""
+    dealt = df.repartition(buckets, "block").sortWithinPartitions("block", "window_id")
+    writer = dealt.write.mode("overwrite").bucketBy(buckets, "block").sortBy("block", "window_id")
+    writer.option("path", f"{path}/{part}").saveAsTable(_table_name(path, part), format="parquet")
+
+
+def _read_bucketed(spark: SparkSession, path: str, part: str, buckets: int | None) -> DataFrame:
+    files = spark.read.parquet(f"{path}/{part}")
+    if not buckets:
+        return files
+    name = _table_name(path, part)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (block) SORTED BY (block, window_id) "
+        f"INTO {buckets} BUCKETS LOCATION '{path}/{part}'"
+    )
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
 
 
 def store_exists(spark: SparkSession, path: str) -> bool:
@@ -40,11 +75,15 @@ def write_window_store(
         return False
     features = list(features)
     windows = window_sequences(ix, features, g, cap, label) if sequences else window_labels(ix, label, g, cap)
-    windows = windows.withColumn("y", label_index(F.col("label"), label2idx))
-    windows.write.mode("overwrite").parquet(f"{path}/windows")
-    window_edges(ix, src, dst, features, g, cap).write.mode("overwrite").parquet(f"{path}/window_edges")
+    size = block_size(ix, g)
+    buckets = min(MOST_BUCKETS, -(-max(1, ix.n) // (size * BLOCKS_PER_BUCKET)))
+    block = F.floor(F.col("window_id") * g.stride / size)
+    windows = windows.withColumns({"block": block, "y": label_index(F.col("label"), label2idx)})
+    _write_bucketed(windows, path, "windows", buckets)
+    _write_bucketed(window_edges(ix, src, dst, features, g, cap, size), path, "window_edges", buckets)
     meta = {
         **asdict(g),
+        "buckets": buckets,
         "n_flows": ix.n,
         "num_items": g.count(ix.n, cap),
         "num_features": len(features),
@@ -57,19 +96,20 @@ def write_window_store(
 
 _META = (
     "seq_len int, graph_size int, stride int, max_nodes int, n_flows long, num_items long, "
-    "num_features int, feat_cols array<string>, label2idx map<string,int>"
+    "num_features int, feat_cols array<string>, label2idx map<string,int>, buckets int"
 )
 
 
 def store_integrity(windows: DataFrame, edges: DataFrame, num_items: int) -> DataFrame:
     """``windows``, ``repeated``, ``out_of_range``, ``stray_edges``, ``edge_gaps``; all but the first must be 0.
 
-    Edges of a window must belong to a stored window and be numbered without gaps.
+    Edges of a window must belong to a stored window and be numbered without gaps. Tables with blocks are joined by block.
     """
-    w = windows.groupBy("window_id").agg(F.count(F.lit(1)).alias("rows"))
-    e = edges.groupBy("window_id").agg(F.count(F.lit(1)).alias("edges"), F.max("edge_pos").alias("last"))
+    keys = ["block", "window_id"] if "block" in windows.columns and "block" in edges.columns else ["window_id"]
+    w = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    e = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("edges"), F.max("edge_pos").alias("last"))
     return (
-        w.join(e, "window_id", "full")
+        w.join(e, keys, "full")
         .agg(
             F.count("rows").alias("windows"),
             F.count_if(F.col("rows") > 1).alias("repeated"),
@@ -83,8 +123,8 @@ def store_integrity(windows: DataFrame, edges: DataFrame, num_items: int) -> Dat
 def read_window_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
     """``(windows, edges, meta)``; fails when the tables do not fit together."""
     meta = spark.read.schema(_META).json(f"{path}/meta").first().asDict()
-    windows = spark.read.parquet(f"{path}/windows")
-    edges = spark.read.parquet(f"{path}/window_edges")
+    windows = _read_bucketed(spark, path, "windows", meta["buckets"])
+    edges = _read_bucketed(spark, path, "window_edges", meta["buckets"])
     found = store_integrity(windows, edges, meta["num_items"]).first().asDict()
     if found.pop("windows") != meta["num_items"] or any(found.values()):
         raise ValueError(f"window store {path} does not match its description: {found}")
