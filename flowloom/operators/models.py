@@ -12,8 +12,10 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowloom.fixed_values import K_SHOT, N_QUERY, N_WAY, SEED
@@ -161,6 +163,44 @@ def fit_and_validate(
     return model, score_windows(marked.filter(F.col(split) == "val"), model, label2idx, features)
 
 
+def cross_validate(
+    windows: DataFrame,
+    label2idx: Mapping[str, int],
+    grid: Mapping[str, Sequence],
+    fold: str = "fold",
+    features: str = "features",
+    label: str = "label",
+    metric: str = "accuracy",
+    parallelism: int = 2,
+) -> tuple[PipelineModel, DataFrame]:
+    """The best logistic model over a grid of its parameters, refitted on all windows, and how it was found.
+
+    Every fold (0, 1, ... in ``fold``) is predicted by models of the other folds. The second result has one row per combination:
+    ``(combination, params, metric, chosen)``, the metric being the mean over folds; the first of the best is chosen.
+    """
+    target = label_index(F.col(label), label2idx).cast("double").alias("_y")
+    data = stage(_vectors(windows.select(features, target, F.col(fold).cast("int").alias("_fold")), features), "folds")
+    folds = data.agg(F.max("_fold")).first()[0] + 1
+    learner = LogisticRegression(featuresCol="_scaled", labelCol="_y", maxIter=30, regParam=1e-4)
+    pipeline = Pipeline(stages=[StandardScaler(inputCol="_x", outputCol="_scaled", withMean=True, withStd=True), learner])
+    combinations = ParamGridBuilder()
+    for name, values in grid.items():
+        combinations = combinations.addGrid(learner.getParam(name), list(values))
+    combinations = combinations.build()
+    judge = MulticlassClassificationEvaluator(labelCol="_y", metricName=metric)
+    search = CrossValidator(
+        estimator=pipeline, estimatorParamMaps=combinations, evaluator=judge, numFolds=folds, foldCol="_fold", parallelism=parallelism
+    )
+    found = search.fit(data)
+    best = max(range(len(combinations)), key=lambda k: (found.avgMetrics[k], -k))
+    rows = [
+        (k, json.dumps({p.name: v for p, v in params.items()}, sort_keys=True), float(found.avgMetrics[k]), k == best)
+        for k, params in enumerate(combinations)
+    ]
+    history = windows.sparkSession.createDataFrame(rows, "combination int, params string, metric double, chosen boolean")
+    return found.bestModel, history
+
+
 def loss_history(spark, model: PipelineModel) -> DataFrame:
     """``(iteration, loss)`` of a logistic or perceptron model."""
     history = list(model.stages[-1].summary.objectiveHistory)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from flowloom.fixed_values import BENIGN, DESTINATION_IP, LABEL, LOW_SUPPORT_LABELS, SOURCE_IP, TIMESTAMP
 from flowloom.functions.labels import label_key, label_key_text, label_keys
@@ -122,6 +122,21 @@ def scan_report(df: DataFrame, benign: str = BENIGN, label: str = LABEL, file: s
     )
 
 
+def observe_attacks(df: DataFrame, name: str = "scan", benign: str = BENIGN, label: str = LABEL) -> tuple[DataFrame, Observation]:
+    """``attacks_only`` and the counts ``scanned``, ``kept``, ``dropped`` of the very job that writes the rows.
+
+    The counts are ready when that job has ended, without a second scan.
+    """
+    seen = Observation(name)
+    return attacks_only(df.observe(seen, *attack_counts(benign, label)), benign, label), seen
+
+
+def attack_counts(benign: str = BENIGN, label: str = LABEL) -> list[Column]:
+    """Aggregates of ``observe_attacks``, also for streams (``df.observe(name, *attack_counts())``)."""
+    attack = F.coalesce(label_key(label) != label_key_text(benign), F.lit(False))
+    return [F.count(F.lit(1)).alias("scanned"), F.count_if(attack).alias("kept"), F.count_if(~attack).alias("dropped")]
+
+
 def complete_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """Rows without any null, in all columns or in ``subset``."""
     return df.dropna("any", subset=list(subset) if subset else None)

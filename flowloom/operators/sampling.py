@@ -206,6 +206,23 @@ def split_by_blocks(
     return windows.withColumn(out, side).filter(F.col(out).isNotNull())
 
 
+def fold_by_blocks(
+    windows: DataFrame, g: Geometry, block: int, folds: int, embargo: int | None = None, window: str = "window_id", out: str = "fold"
+) -> DataFrame:
+    """Adds the fold 0, 1, ... of each window: time blocks of ``block`` windows in turn.
+
+    Windows that start within ``embargo`` flows (``seq_len + graph_size`` unless given) before the end of a block are left out, so no flow
+    is in two folds.
+    """
+    reach = g.seq_len + g.graph_size if embargo is None else embargo
+    length = block * g.stride
+    if length <= reach or folds < 2:
+        raise ValueError(f"blocks of {length} flows leave no windows beside an embargo of {reach}")
+    start = F.col(window) * g.stride
+    inside = F.pmod(start, F.lit(length)) + reach <= length
+    return windows.filter(inside).withColumn(out, F.pmod(F.floor(start / length), F.lit(folds)).cast("int"))
+
+
 def shift_features(df: DataFrame, features: Sequence[str], scale: float = 1.0, shift: float = 0.0) -> DataFrame:
     """Affine change of the chosen features."""
     return df.withColumns({f: named(f) * F.lit(scale) + F.lit(shift) for f in features})

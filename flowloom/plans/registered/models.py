@@ -11,7 +11,8 @@ from flowloom.operators.windows import Geometry
 from flowloom.plans import flows as jobs
 from flowloom.plans.registry import query
 from flowloom.plans.views import EVENT_INDEX_CTE, TIE, event_flows, flows, table
-from flowloom.scratch import stage
+from flowloom.scratch import scratch_path, stage
+from flowloom.sources import runs
 
 _CLASSES = list(range(10))
 MEANS_CTE = (
@@ -117,6 +118,27 @@ def validation_report(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.classification_report(matrix)
 
 
+@query()
+def cross_validated_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    """Regularisation chosen by cross-validation over time blocks of the event windows."""
+    vectors = _event_vectors(spark, sf)
+    folds = s.fold_by_blocks(vectors, Geometry(), max(150, vectors.count() // 12), 3)
+    return m.cross_validate(folds, _EVENT_LABELS, {"regParam": [1e-4, 1e-2], "maxIter": [5]})[1]
+
+
+@query()
+def registered_run_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs are stored, the latest is loaded, and the validation blocks are scored with it."""
+    split, root = _split_events(spark, sf), scratch_path(spark, "runs")
+    art = Artifacts(["value"], {}, {"value": 0.0}, {"value": 1.0})
+    for run_id, rounds in (("20240101-000000", 1), ("20240102-000000", 10)):
+        model = m.fit_and_validate(split, _EVENT_LABELS, maxIter=rounds)[0]
+        runs.save_run(spark, root, run_id, model, art, _EVENT_LABELS, ["value"])
+    run = runs.load_latest(spark, root, "multi", ["value"], list(_EVENT_LABELS))
+    scored = m.score_windows(split.filter("split = 'val'"), run.model, run.label2idx)
+    return scored.groupBy(F.lit(run.run_id).alias("run_id"), "label", "pred_label").agg(F.count("*").alias("windows"))
+
+
 @query()
 def training_loss(spark: SparkSession, sf: str) -> DataFrame:
     model = m.fit_window_classifier(_event_vectors(spark, sf), _EVENT_LABELS, maxIter=10)

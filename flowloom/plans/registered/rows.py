@@ -8,6 +8,7 @@ from flowloom.operators.cleaning import parse_timestamps
 from flowloom.operators.lookup import distinct_values
 from flowloom.plans.registry import query
 from flowloom.plans.views import FLOWS_CTE, RAW_CTE, flows, label_sql, raw_flows, table, time_sql
+from flowloom.scratch import stage
 
 _ROLES = {"label": "label_raw", "source": "src_raw", "destination": "dst_raw", "timestamp": "ts"}
 _CLEAN_CTE = (
@@ -99,6 +100,17 @@ def scan_report(spark: SparkSession, sf: str) -> DataFrame:
     return r.scan_report(flows(spark, sf), label="label", file="source_file")
 
 
+@query(
+    f"WITH {FLOWS_CTE} SELECT count(*) AS scanned, count(*) FILTER (label <> 'BENIGN') AS kept, "
+    "count(*) FILTER (label = 'BENIGN') AS dropped FROM flows"
+)
+def observed_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts taken by the job that writes the attack rows."""
+    attacks, seen = r.observe_attacks(flows(spark, sf).select("row_key", "label", "f_qty"), label="label")
+    stage(attacks, "attacks")
+    return spark.createDataFrame([seen.get], "scanned long, kept long, dropped long")
+
+
 @query(f"WITH {FLOWS_CTE} SELECT row_key, f_disc FROM flows WHERE f_disc IS NOT NULL")
 def complete_rows(spark: SparkSession, sf: str) -> DataFrame:
     return r.complete_rows(flows(spark, sf).select("row_key", "f_disc"))

@@ -4,11 +4,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.operators.artifacts import Artifacts
 from flowloom.operators.ordering import dense_index
+from flowloom.operators.rows import attacks_only
 from flowloom.operators.windows import Geometry
 from flowloom.plans.registry import query
 from flowloom.plans.views import EVENTS_CTE, FLOWS_CTE, FLOWS, _select, event_flows, table
 from flowloom.scratch import scratch_path
-from flowloom.streaming import incremental as inc, windows as live
+from flowloom.streaming import incremental as inc, replace, windows as live
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -63,6 +64,17 @@ def streamed_deduplication(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out).select("user_id", "event_type")
 
 
+@query(f"WITH {FLOWS_CTE} SELECT row_key, label, f_qty FROM flows WHERE label <> 'BENIGN'")
+def refreshed_attacks(spark: SparkSession, sf: str) -> DataFrame:
+    """Attack rows of a folder that grows between two refreshes; the second reads the new files alone."""
+    folder, out = scratch_path(spark, "captures"), scratch_path(spark, "refreshed")
+    rows = table(spark, sf, "lineitem").selectExpr(*_select(FLOWS), "l_orderkey % 2 AS half").select("row_key", "label", "f_qty", "half")
+    for half in (0, 1):
+        rows.where(F.col("half") == half).drop("half").write.mode("append").parquet(folder)
+        replace.refresh(spark, folder, out, lambda s, paths: s.read.parquet(*paths), lambda df: attacks_only(df, label="label"), "*.parquet")
+    return replace.read_rows(spark, out).drop(replace.FILE)
+
+
 # Three captures of the events; each arrives in parts, and the job is stopped and started again between them.
 _CAPTURE = "concat('capture_', cast(event_id % 3 as string))"
 _LIVE = Geometry(seq_len=16, graph_size=32, stride=8)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -52,6 +52,15 @@ def materialize_attacks(stream: DataFrame, path: str, checkpoint: str, label: st
     return append_table(attacks_only(stream.withColumn(label, canonical_label(label)), label=label), path, checkpoint)
 
 
+def observed_counts(query: StreamingQuery, name: str) -> dict[str, int]:
+    """Totals of the observation ``name`` over the micro-batches of an ended query (as many as it keeps progress of)."""
+    total: dict[str, int] = {}
+    for progress in query.recentProgress:
+        for key, value in (progress["observedMetrics"].get(name) or Row()).asDict().items() if progress["observedMetrics"] else ():
+            total[key] = total.get(key, 0) + value
+    return total
+
+
 def clean_and_append(
     stream: DataFrame, art: Artifacts, path: str, checkpoint: str, meta: Sequence[str] = META_COLUMNS
 ) -> StreamingQuery:
