@@ -7,12 +7,17 @@ difference. Linked sets of a band differ in ``d`` n-grams at most; with ``m = d
 sketches in common (pigeonhole), and sets that share a sketch are verified exactly on their n-gram hashes. Blocks of one
 n-gram or none say little; a set with at most ``e`` of those leaves them out without losing a link.
 
+Before texts are compared, one more parity sketch of each whole set decides: every n-gram flips one bit of it, so the Hamming
+distance of two sketches is at most the sets' symmetric difference, and a pair beyond the linked difference is dropped
+without its texts.
+
 Groups of any size stay distributed. Equal sets are one node from the start. A shared sketch is a run of a
 range-sorted table, which may go over many partitions; its nodes are first compared with the run's first node only. Nodes
-that end up in one component need no further comparison; pairs of different components that share a sketch
-are all verified afterwards, so no link is lost.
+that end up in one component need no further comparison. What is left of a shared sketch - nodes of several components - is
+dealt into tiles; tiles are compared in pairs by their bit sketches, and only pairs that pass become rows. Sketches
+shared by the very same nodes are compared once. No link is lost.
 
-Hashes have 64 bits and equal hashes count as equal n-grams and equal sets. A document without words links with nothing;
+Hashes have 62 bits or more and equal hashes count as equal n-grams and equal sets. A document without words links with nothing;
 one with fewer words than n has its whole sequence as its one n-gram. Null texts have no words. Repeated rows,
 null ids and columns of any name are kept; a new column whose name is taken gets underscores in front.
 """
@@ -28,6 +33,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.arrays import mix, sets_of, shingles, text_groups, word_hashes, words
 from flowloom.llm.components import components
+from flowloom.llm.hot import spread_join
 from flowloom.llm.rows import free_name, identified
 from flowloom.scratch import stage
 
@@ -35,6 +41,8 @@ _U = np.uint64
 BAND_GROWTH = 1.5
 #: Members that are compared with one node in one group of rows.
 CHUNK = 256
+#: Nodes of a tile, and the most bits of a set's own sketch.
+TILE, MOST_BITS = 1024, 1 << 17
 
 
 class Bands:
@@ -85,13 +93,27 @@ def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     return sets_of(*shingles(word_hashes(data, starts, ends), bounds, size))
 
 
+def _bits(members: np.ndarray) -> bytes:
+    """The parity sketch of a whole set, two to four bits per member; half of it folded on the other is the sketch of half the size."""
+    size = min(MOST_BITS, max(64, 1 << (2 * len(members) - 1).bit_length()))
+    odd = np.bincount((members & _U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while len(bits) > words:
+        half = len(bits) // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
+
+
 def _node(members: np.ndarray) -> int:
     total = np.add.reduce(mix(members ^ _U(0x5851F42D4C957F2D)), dtype=np.uint64)
     return int(mix(np.array([total + _U(len(members))]))[0].astype(np.int64))
 
 
 def described(df: DataFrame, uid: str, text: str, size: int, bands: Bands) -> DataFrame:
-    """(uid, n, node, keys) of every row: set size, set identity (null without words) and sketch keys."""
+    """(uid, n, node, bits, keys) of every row: set size, set identity (null without words), the set's own sketch, and sketch keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,12 +124,12 @@ def described(df: DataFrame, uid: str, text: str, size: int, bands: Bands) -> Da
                 flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
+                     pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array([_bits(s) if len(s) else None for s in sets], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))],
-                    names=["uid", "n", "node", "keys"],
+                    names=["uid", "n", "node", "bits", "keys"],
                 )
 
-    return df.select(F.col(uid).alias("uid"), F.col(text).alias("text")).mapInArrow(run, "uid long, n long, node long, keys array<long>")
+    return df.select(F.col(uid).alias("uid"), F.col(text).alias("text")).mapInArrow(run, "uid long, n long, node long, bits binary, keys array<long>")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,17 +165,93 @@ def shared_sketches(rows: DataFrame) -> DataFrame:
     return found.where("b is not null").union(across)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked. ``texts`` has node and text.
+def _dealt(pairs: DataFrame, payload: DataFrame) -> DataFrame:
+    """(a, chunk, role, node, ...): the payload of b beside that of a, sorted; a's row comes first in every chunk.
 
-    A node's text goes once to every chunk of nodes that it is compared with, so a popular node is spread.
+    A node's payload goes once to every chunk of nodes that it is compared with, so a popular node is spread.
     """
-    counted = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = pairs.join(counted, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), "chunks"))
+    counted = pairs.groupBy("a").agg(F.count("*").alias("c"), F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    dealt = spread_join(pairs, counted, ["a"], "c", ["b"]).withColumn("chunk", F.pmod(F.xxhash64("b"), "chunks"))
     roles = dealt.select(F.col("b").alias("node"), "a", "chunk", F.lit(1).alias("role")).union(
         dealt.select(F.col("a").alias("node"), "a", "chunk", F.lit(0).alias("role")).distinct()
     )
-    rows = texts.join(roles, "node").select("a", "chunk", "role", "node", "text")
+    values = [c for c in payload.columns if c != "node"]
+    rows = payload.join(roles, "node").select("a", "chunk", "role", "node", *values)
+    return rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role", "node")
+
+
+def near_enough(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose bit sketches differ no more than linked sets may. ``sketches`` has node, n and bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, size = None, 0
+        for batch in batches:
+            at, roles, nodes, sizes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4))
+            found: list[tuple[int, int]] = []
+            for k, raw in enumerate(batch.column(5)):
+                bits = np.frombuffer(raw.as_buffer(), np.uint64)
+                if roles[k] == 0:
+                    mine, size = bits, sizes[k]
+                    continue
+                words = min(len(mine), len(bits))
+                apart = int(np.bitwise_count(_folded(mine, words) ^ _folded(bits, words)).sum())
+                if apart <= (size + sizes[k]) * (den - num) // (den + num):
+                    found.append((at[k], nodes[k]))
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _dealt(pairs, sketches.select("node", "n", "bits")).mapInArrow(run, "a long, b long")
+
+
+def near_in_tiles(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different roots under one key whose bit sketches are near enough.
+
+    ``members`` has key, c (members of the key), node, root, n and bits.
+    """
+    tiles = F.ceil(F.col("c") / TILE)
+    own = F.pmod(F.xxhash64("node"), tiles)
+    rows = members.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1))})
+    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "n", "bits")
+
+    def compared(group: pa.Table) -> pa.RecordBatch:
+        low, high, own, nodes, roots, n = (group.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
+        bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(7).combine_chunks()]
+        words = min(map(len, bits))
+        table = np.stack([_folded(x, words) for x in bits])
+        a, b = [], []
+        for k in range(len(nodes) - 1):
+            rest = slice(k + 1, None)
+            apart = np.bitwise_count(table[rest] ^ table[k]).sum(axis=1, dtype=np.int64)
+            near = (apart <= (n[rest] + n[k]) * (den - num) // (den + num)) & (roots[rest] != roots[k])
+            if low[k] != high[k]:
+                near &= own[rest] != own[k]
+            for m in (np.flatnonzero(near) + k + 1).tolist():
+                a.append(min(nodes[k], nodes[m]))
+                b.append(max(nodes[k], nodes[m]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([waiting, rows]) if waiting is not None else rows
+            name = [rows.column(k).to_numpy() for k in (0, 1, 2)]
+            change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in name], axis=0)) + 1
+            edges = [0, *change.tolist()]
+            for start, end in zip(edges[:-1], edges[1:]):
+                yield compared(rows.slice(start, end - start))
+            waiting = rows.slice(edges[-1])  # the last group may go on
+        if waiting is not None:
+            yield compared(waiting)
+
+    group = ["key", "low", "high"]
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked. ``texts`` has node and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = None
@@ -171,7 +269,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
             a, b = zip(*links) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role", "node").mapInArrow(run, "a long, b long")
+    return _dealt(pairs, texts.select("node", "text")).mapInArrow(run, "a long, b long")
 
 
 def linked_groups(df: DataFrame, text: str, size: int, num: int, den: int, uid: str) -> DataFrame:
@@ -184,27 +282,37 @@ def linked_groups(df: DataFrame, text: str, size: int, num: int, den: int, uid:
     pairs = shared.select("a", "b").distinct()
     first = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     nodes = shared.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    holders = rows.where("node is not null").groupBy("node").agg(F.min("uid").alias("uid")).join(nodes, "node")
-    texts = df.select(F.col(uid).alias("uid"), F.col(text).alias("text")).join(holders, "uid").select("node", "text")
-    texts = stage(texts, "texts")
-    links = stage(verified(first, texts, size, num, den), "links")
+    one = F.min(F.struct("uid", "n", "bits")).alias("one")
+    holders = stage(rows.where("node is not null").groupBy("node").agg(one).join(nodes, "node").select("node", "one.*"), "holders")
+    texts = df.select(F.col(uid).alias("uid"), F.col(text).alias("text"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = stage(near_enough(pairs, holders, num, den), "near")
+        return stage(verified(near, _texts_of(near, holders, texts), size, num, den), "links")
+
+    links = linked(first)
     roots = components(links)
     # Whatever shares a sketch and is not in one component by now.
-    apart = _apart(pairs, roots).join(first, ["a", "b"], "left_anti")
-    links = links.union(stage(verified(apart, texts, size, num, den), "links"))
+    links = links.union(linked(_apart(pairs, roots).join(first, ["a", "b"], "left_anti")))
     roots = components(links)
     members = shared.select("key", "a").union(shared.select("key", "b")).distinct().withColumnRenamed("a", "node")
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y and c > 2")
-    rest = stage(placed.join(mixed.select("key"), "key"), "mixed")
-    one, two = rest.alias("one"), rest.alias("two")
-    across = one.join(two, F.expr("one.key = two.key and one.node < two.node and one.root <> two.root"))
-    across = across.select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
-    across = across.join(pairs, ["a", "b"], "left_anti")  # those are verified already; a is the smaller there too
-    links = links.union(stage(verified(stage(across, "across"), texts, size, num, den), "links"))
+    placed = stage(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"s{k}") for k in (1, 2)]
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), *same).where("x <> y and c > 2")
+    mixed = mixed.groupBy("c", "s1", "s2").agg(F.min("key").alias("key")).select("key", "c")
+    rest = spread_join(placed, mixed, ["key"], "c", ["node"]).join(holders.drop("uid"), "node")
+    across = near_in_tiles(rest, num, den).distinct().join(pairs, ["a", "b"], "left_anti")  # those are compared already; a is the smaller there too
+    across = stage(across, "across")
+    links = links.union(stage(verified(across, _texts_of(across, holders, texts), size, num, den), "links"))
     return rows.select("uid", "n", "node").join(components(links), "node", "left")
 
 
+def _texts_of(pairs: DataFrame, holders: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in ``pairs``."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return texts.join(holders.join(nodes, "node").select("node", "uid"), "uid")
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
