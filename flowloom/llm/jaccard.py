@@ -308,9 +308,9 @@ def linked_groups(df: DataFrame, text: str, size: int, num: int, den: int, uid:
 
 
 def _texts_of(pairs: DataFrame, holders: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, text) of the nodes in ``pairs``."""
+    """(node, text) of the nodes in ``pairs``; which rows are needed is staged, so texts move only if those are too many to broadcast."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return texts.join(holders.join(nodes, "node").select("node", "uid"), "uid")
+    return texts.join(stage(holders.select("node", "uid").join(nodes, "node"), "needed"), "uid")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm.bpe import byte_alphabet
+
 #: Words and runs that a worker remembers before it starts anew, and the longest word (in bytes) worth remembering.
 WORDS, RUNS, LONGEST = 1 << 19, 1 << 19, 64
 #: Bytes of a text that are split at once; the cut is moved to the next white space.
@@ -26,7 +28,9 @@ _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _SIGN = r"!-&(-/:-;=-@\[-`{-~"
 _PLAIN = re.compile(f"[{_LETTER}0-9{_SIGN}]+")
-_RUN = re.compile(f"[{_LETTER}]+|[0-9]|[{_SIGN}]+")
+_PLAIN_TEXT = re.compile(f"[{_LETTER}0-9{_SIGN}\\x20\\x09-\\x0d]*")
+#: Runs in the UTF-8 bytes of plain text in lower case, where all bytes beyond ASCII belong to letters.
+_RUN = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^\x20\x09-\x0da-z0-9\x80-\xff]+")
 #: The cuts that the runs follow; another tokenizer's words are coded whole.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _kept: dict[str, WordCoder] = {}
@@ -55,50 +59,63 @@ class WordCoder:
         split = parsed["pre_tokenizer"].get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
         steps = [x["type"] for k, many in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for x in parsed[k].get(many, [])]
         self.cuts_runs = split == CUTS and steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
-        # Runs are in normal form and cut already, so their coder does neither again.
-        bare = json.dumps(parsed | {"normalizer": None, "pre_tokenizer": parsed["pre_tokenizer"]["pretokenizers"][-1]}) if self.cuts_runs else spec
-        self.whole, self.bare = Tokenizer.from_str(spec), Tokenizer.from_str(bare)
-        for library in (self.whole, self.bare):
-            library.no_truncation()
-            library.no_padding()
+        self.whole = Tokenizer.from_str(spec)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.model = self.whole.model  # runs are in normal form and cut already, so the bare model codes them
+        self.alphabet = {byte: char for char, byte in byte_alphabet().items()}
         self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
 
-    def _packed(self, library, texts: list[str]) -> list[bytes]:
-        return [array(self.type, e.ids).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _coded_run(self, run: bytes) -> bytes:
+        letters = run.decode() if run.isascii() else run.decode("latin-1").translate(self.alphabet)
+        return array(self.type, [token.id for token in self.model.tokenize(letters)]).tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        odd, cut = [], []
-        for word in words:
+    def _coded_runs(self, text: str) -> bytes:
+        """Ids of plain text."""
+        runs = _RUN.findall(text.lower().encode())
+        if len(self.runs) > RUNS:
+            self.runs.clear()
+        packed = list(map(self.runs.get, runs))
+        if None not in packed:
+            return b"".join(packed)
+        new = {run for run, ids in zip(runs, packed) if ids is None}
+        for run in new:
+            self.runs[run] = self._coded_run(run)
+        out = b"".join(map(self.runs.__getitem__, runs))
+        for run in new:
+            if len(run) > LONGEST:
+                del self.runs[run]
+        return out
+
+    def _coded_words(self, words: list[bytes]) -> bytes:
+        """Ids of words of any kind."""
+        if len(self.words) > WORDS:
+            self.words.clear()
+        odd = []
+        new = [word for word in set(words) if word not in self.words]
+        for word in new:
             text = word.decode()
             if self.cuts_runs and _PLAIN.fullmatch(text):
-                cut.append((word, _RUN.findall(text.lower())))
+                self.words[word] = self._coded_runs(text)
             else:
                 odd.append((word, text))
-        if len(self.runs) > RUNS:
-            self.runs.clear()
-        new = list({run for _, runs in cut for run in runs}.difference(self.runs))
-        if new:
-            self.runs.update(zip(new, self._packed(self.bare, new)))
-        for word, runs in cut:
-            self.words[word] = b"".join([self.runs[run] for run in runs])
-        self.words.update(zip([word for word, _ in odd], self._packed(self.whole, [text for _, text in odd])))
+        codes = self.whole.encode_batch_fast([text for _, text in odd], add_special_tokens=False)
+        self.words.update((word, array(self.type, code.ids).tobytes()) for (word, _), code in zip(odd, codes))
+        out = b"".join(map(self.words.__getitem__, words))
+        for word in new:
+            if len(word) > LONGEST:
+                del self.words[word]
+        return out
 
     def encode(self, raw: bytes) -> bytes:
         out, at = [], 0
         while at < len(raw):
             cut = _SPACE.search(raw, at + PIECE) if len(raw) - at > PIECE else None
             end = cut.start() if cut else len(raw)
-            words = raw[at:end].split()
-            if len(self.words) > WORDS:
-                self.words.clear()
-            new = [word for word in set(words) if word not in self.words]
-            if new:
-                self._learn(new)
-            out.append(b"".join(map(self.words.__getitem__, words)))
-            for word in new:
-                if len(word) > LONGEST:
-                    del self.words[word]
+            text = raw[at:end].decode()
+            plain = self.cuts_runs and _PLAIN_TEXT.fullmatch(text)
+            out.append(self._coded_runs(text) if plain else self._coded_words(raw[at:end].split()))
             at = end
         return b"".join(out)
 
