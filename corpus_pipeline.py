@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm import bpe, containment, jaccard, lines, quality
 from flowloom.llm.registered import documents, tokenizer_file
-from flowloom.scratch import stage
+from flowloom.scratch import release, stage, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = documents(spark, sf_dir)
+    """All stages over ``documents``. What a stage staged, and its input, goes when its result is written."""
+    docs, first = documents(spark, sf_dir), written()
     for name, function in STAGES:
         docs = stage(function(spark, docs, sf_dir), name)
+        release(spark, first, written() - 1)
     return docs

@@ -41,16 +41,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame over the written files."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables this process staged; call it when no result still reads them."""
+def written() -> int:
+    """The number of tables that this process has staged and not released."""
+    return len(_written)
+
+
+def release(spark: SparkSession, first: int = 0, last: int | None = None) -> int:
+    """Delete the tables this process staged, or those from number ``first`` to before ``last``; call it when no result still reads them."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     dropped = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    paths = _written[first:last]
+    del _written[first:last]
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         dropped += bool(path.getFileSystem(conf).delete(path, True))
     return dropped
