@@ -12,11 +12,11 @@ SPREAD = 4096
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, by: list[str]) -> DataFrame:
-    """Inner join; ``keyed`` has every key once, with the number of ``rows`` it meets in ``count``.
+    """Inner join; ``keyed`` has the number of ``rows`` that a key meets in ``count``, and every key once or a few times.
 
     Where a key meets more than ``SPREAD`` rows, rows are dealt into parts by their columns ``by`` (which should differ
-    within a key). Each key's row is copied to the parts in which the key occurs, so no copy is idle and the table stays below
-    ``rows``. Nothing is broadcast; a part holds about ``SPREAD`` rows of the largest key, and fewer of every other.
+    within a key). Each key's rows are copied to the parts in which the key occurs, so no copy is idle and, with one row a key, the table
+    stays below ``rows``. Nothing is broadcast; a part holds about ``SPREAD`` rows of the largest key, and fewer of every other.
     """
     most = keyed.agg(F.max(count)).first()[0] or 0
     parts = -(-most // SPREAD)

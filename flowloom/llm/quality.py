@@ -98,10 +98,22 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
+def _hidden(df: DataFrame, text: str) -> tuple[DataFrame, str, dict[str, str]]:
+    """``df`` without names that are needed here, the name of its text, and the new names of what was renamed."""
+    own = {*MEASURES, "_words", "_lines", "base_failed", "quality", "kept"}
+    new: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower() in own:
+            name = f"_{c}"
+            while name.lower() in own | {x.lower() for x in (*df.columns, *new.values())}:
+                name = f"_{name}"
+            new[c] = name
+    return df.withColumnsRenamed(new), new.get(text, text), new
+
+
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the measures of ``text``."""
-    if clash := {*MEASURES, "_words", "_lines"} & set(df.columns):
-        raise ValueError(f"there are columns {sorted(clash)} already")
+    """Add the measures of ``text``; a column of ``df`` that is called like one of them comes back with underscores in front."""
+    df, text, _ = _hidden(df, text)
     out = df.withColumns(measures(F.col(text)))
     return out.select(*df.columns, *(F.col(f"_words.{c}") if c in ("n_words", "n_repeat_words", "n_bare_words") else F.col(f"_lines.{c}") if c in ("n_lines", "n_dup_lines") else F.col(c) for c in MEASURES))
 
@@ -167,28 +179,33 @@ def fit(measured_df: DataFrame) -> Model:
     return estimate({tuple(r[:-1]): r[-1] for r in counts}, len(names))
 
 
+def _verdicts(rows: DataFrame, threshold: float) -> DataFrame:
+    """Staged measured rows with ``base_failed``, ``quality`` (posterior) and ``kept``."""
+    out = rows.withColumns({"base_failed": base_failed(), "quality": fit(rows).column()})
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+
+
 def judged(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Add the measures, ``base_failed``, ``quality`` (posterior) and ``kept`` to every row; the text goes.
 
-    The text is measured once; the rows without it are written to the shared folder.
+    The text is measured once; the rows without it are written to the shared folder. A new column whose name is taken gets
+    underscores in front.
     """
-    rows = stage(measured(df, text).drop(text), "measures")
-    out = rows.withColumns({"base_failed": base_failed(), "quality": fit(rows).column()})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    hidden, own_text, new = _hidden(df, text)
+    out = _verdicts(stage(measured(hidden, own_text).drop(own_text), "measures"), threshold)
+    names = [m for m in out.columns if m not in hidden.columns]
+    old = [c for c in df.columns if c != text]
+    return out.select(*(F.col(new.get(c, c)).alias(c) for c in old), *(F.col(m).alias(free_name(df, m)) for m in names))
 
 
 def keep_good(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``df`` that pass the base rule and are probably good, with their columns.
 
-    Verdicts are a function of the measures and the model, so the second pass needs no join.
+    Texts are measured once; the rows are written with their measures, and the verdict filters what was written.
     """
-    own = free_name(df, "probably_good")
-    narrow = stage(measured(df.select(F.col(text).alias("text"))).drop("text"), "measures")
-    verdict = ~base_failed() & (fit(narrow).column() >= threshold)
-    clash = [c for c in df.columns if c in {*MEASURES, "_words", "_lines"}]
-    hidden = df.withColumnsRenamed({c: f"{own}_{c}" for c in clash})
-    kept = measured(hidden, f"{own}_{text}" if text in clash else text).where(verdict)
-    return kept.drop(*MEASURES).withColumnsRenamed({f"{own}_{c}": c for c in clash}).select(*df.columns)
+    hidden, own_text, new = _hidden(df, text)
+    kept = _verdicts(stage(measured(hidden, own_text), "measures"), threshold).where("kept")
+    return kept.select(*(F.col(new.get(c, c)).alias(c) for c in df.columns))
 
 
 def quality_digest(documents: DataFrame) -> DataFrame:

@@ -66,10 +66,9 @@ def shard_rows(df: DataFrame, n_shards: int, seed: int = 1, shard: str = "shard"
     """Add ``shard`` (from 0) and ``slot`` (the row's place in its shard, gapless from 0): a uniform shuffle of all rows.
 
     Shard sizes differ by one at most. The rows are written once to the shared folder, so that every later step sees the
-    same partitions whatever executor is lost.
+    same partitions whatever executor is lost. A new column whose name is taken gets underscores in front.
     """
-    if clash := {shard, slot} & set(df.columns):
-        raise ValueError(f"there are columns {sorted(clash)} already")
+    shard, slot = free_name(df, shard), free_name(df, slot)
     spark = df.sparkSession
     part, key, place, cuts, bucket, before = (free_name(df, n) for n in ("part", "key", "place", "cuts", "bucket", "before"))
     local = (
