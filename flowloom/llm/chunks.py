@@ -1,6 +1,8 @@
 """Substring deduplication by content-defined cuts (operator 7).
 
-A hash rolls over ``GRAM`` bytes; of every ``passage`` bytes the smallest hash is the cut (see ``repeats``). So every passage of
+A gear hash rolls over ``GRAM`` bytes: one bit to the left and the next byte's random value added, so a byte is forgotten after as
+many steps. Of the hashes inside every ``passage`` bytes the smallest is the cut (see ``repeats``). A mask of zero bits would
+cut too, but may leave a passage without any cut. So every passage of
 that size has a cut that depends on its own bytes only, and finds it again wherever it stands, shifted or not. The passages
 that share a cut are a chunk. Chunks with equal digests repeat as a whole; of different chunks at equal cuts the passages are
 compared one by one, so a repeat is followed to its true ends, whatever stands around it. The first one stays (order: id with
@@ -37,9 +39,28 @@ def _bytes(data: np.ndarray, offsets: np.ndarray, passage: int) -> tuple[np.ndar
     return TABLE[data], offsets, offsets[:-1][short], sizes[short]
 
 
+def gear(values: np.ndarray, gram: int) -> np.ndarray:
+    """The rolling hash of every ``gram`` bytes, by start: the sum of the byte values, each moved left by its distance from the end.
+
+    Sums of 1, 2, 4, ... bytes are joined as the bits of ``gram`` say. Beyond 64 bytes the first ones have no weight.
+    """
+    n = len(values) - gram + 1
+    if n <= 0:
+        return values[:0]
+    out, at, part, size = np.zeros(n, np.uint64), 0, values, 1
+    while at < gram:
+        if gram & size:
+            out = (out << np.uint64(size) if size < 64 else 0) + part[at : at + n]
+            at += size
+        step = np.uint64(size)
+        part = (part[:-size] << step if size < 64 else 0) + part[size:]
+        size *= 2
+    return out
+
+
 def _chunk_counts(data: np.ndarray, offsets: np.ndarray, passage: int, gram: int) -> np.ndarray:
     sizes = np.diff(offsets)
-    doc = spans(TABLE[data], offsets, passage, gram)[0]
+    doc = spans(TABLE[data], offsets, passage, gram, gear)[0]
     return np.bincount(doc, minlength=len(sizes)) + ((sizes > 0) & (sizes < passage))
 
 
@@ -56,7 +77,7 @@ def dedup_chunks(df: DataFrame, id: str = "doc_id", text: str = "text", passage:
     new = [free_name(df, name) for name in ("n_bytes", "n_chunks", "n_removed", "n_spans")]
     uid, found, gram = free_name(df, "uid"), free_name(df, "found"), min(GRAM, max(1, passage // 2))
     rows = identified(df, uid)
-    hits = repeated_windows(rows, uid, F.col(id), text, partial(_bytes, passage=passage), passage, gram, earlier=True)
+    hits = repeated_windows(rows, uid, F.col(id), text, partial(_bytes, passage=passage), passage, gram, earlier=True, hashes=gear)
     joined = rows.join(hits.select(F.col("uid").alias(uid), F.col("found").alias(found)), uid, "left").select(*df.columns, found)
     columns, width, where = df.columns, len(df.columns), df.columns.index(text)
 

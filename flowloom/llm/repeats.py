@@ -4,8 +4,11 @@ Of every window the smallest k-gram hash is chosen (the leftmost of ties), so eq
 offset. Windows of one anchor form a span. Round one ranks spans: equal spans repeat as a whole. Only anchors found with
 several different spans go on, one representative each, to window level, where the rank pair of both halves decides. An
 anchor's spans travel as rows of ranks to one task if they are ``LARGE_GROUP`` at most; those of larger groups are dealt out
-by window rank, with the same result. Hot anchors and spans never meet in one task: counts are pre-aggregated, and keys with over a thousandth of all rows
-(a thousand keys at most) are joined by broadcast.
+by window rank, with the same result.
+
+Anchors are shuffled once: sorted by anchor and span, a row is next to its equals, and rows without any go. Anchors that a
+frequency sketch finds crowded are left out of that and counted by pre-aggregation instead; keys with over a thousandth of all rows
+(a thousand keys at most) are then joined by broadcast. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.arrays import Substrings, mix, text_groups, window_minima
@@ -24,10 +27,14 @@ from flowloom.scratch import stage
 _U = np.uint64
 #: A key with more than this share of all rows is hot; so there are HOT_KEYS of them at most.
 HOT_KEYS = 1000
+#: Rows of an anchor from which on it is crowded, and keys that the sketch of frequencies follows (it errs by some of all rows' 1 / TRACKED).
+CROWD, TRACKED = 1 << 15, 1 << 15
 #: Different spans of one anchor (of some hundred ranks each at most) that one task takes at once.
 LARGE_GROUP = 4096
 #: Symbol values and the sequences' bounds in them; also, if wanted, start and length of the pieces that count by themselves.
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
+#: Hashes of all k-grams of the values, by start.
+Hashes = Callable[[np.ndarray, int], np.ndarray]
 
 
 def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
@@ -38,7 +45,11 @@ def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, tot
     return rows.join(hot, keys).unionByName(cold.join(keyed.where(F.col(count) <= limit), keys))
 
 
-def spans(values: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
+def _gram_hashes(values: np.ndarray, gram: int) -> np.ndarray:
+    return Substrings(values).windows(gram)
+
+
+def spans(values: np.ndarray, bounds: np.ndarray, size: int, gram: int, hashes: Hashes = _gram_hashes) -> tuple[np.ndarray, ...]:
     """(sequence, first window, windows, anchor hash, span hash) of all spans in the concatenated sequences."""
     none = np.zeros(0, np.int64)
     ends = np.repeat(bounds[1:], np.diff(bounds))
@@ -46,7 +57,7 @@ def spans(values: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tuple
     if len(starts) == 0:
         return none, none, none, none, none
     sub = Substrings(values)
-    grams = sub.windows(gram)
+    grams = hashes(values, gram)
     anchor = window_minima(grams, size - gram + 1)[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
@@ -106,7 +117,41 @@ def _found_in_groups(batches: Iterator[pa.RecordBatch], earlier: bool) -> Iterat
         yield searched(waiting)
 
 
-def repeated_windows(df: DataFrame, uid: str, order: Column, text: str, symbols: Symbols, size: int, gram: int, earlier: bool) -> DataFrame:
+def _crowded(every: DataFrame) -> list[int]:
+    """The anchors with about ``CROWD`` rows or more, ``HOT_KEYS`` at most; the largest are surely among them."""
+    top = every.agg(F.expr(f"approx_top_k(h, {HOT_KEYS}, {max(HOT_KEYS, TRACKED)})").alias("top")).first()["top"]
+    return [r["item"] for r in top or [] if r["count"] >= CROWD]
+
+
+def _open_and_whole(every: DataFrame, earlier: bool) -> tuple[DataFrame, DataFrame]:
+    """From all spans (uid, o, low, n, h, s): one of each different span (uid, low, n, copies, h, shapes) of the anchors that have several, and
+    those (uid, low, n) that repeat as a whole."""
+    place = F.struct("o", "uid", "low")
+    crowded = _crowded(every)
+    is_crowded = F.col("h").isin(crowded) if crowded else F.lit(False)
+    by_span, by_anchor = Window.partitionBy("h", "s"), Window.partitionBy("h")
+    marked = every.where(~is_crowded).repartition("h").withColumns({"copies": F.count("*").over(by_span), "first": F.min(place).over(by_span)})
+    marked = marked.withColumn("is_first", place == F.col("first")).drop("first").withColumn("shapes", F.count_if("is_first").over(by_anchor))
+    kept = stage(marked.where("copies > 1 or shapes > 1"), "kept")
+    shown = ["uid", "low", "n", "copies", "h", "shapes"]
+    firsts = kept.where("is_first and shapes > 1").select(*shown)
+    whole = kept.where("copies > 1 and not is_first" if earlier else "copies > 1").select("uid", "low", "n")
+    if not crowded:
+        return firsts, whole
+    rows = every.where(is_crowded)
+    total = rows.count()
+    names = stage(rows.groupBy("h", "s").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.min("n").alias("n")), "spans")
+    shapes = F.broadcast(names.groupBy("h").agg(F.count("*").alias("shapes")).where("shapes > 1"))  # HOT_KEYS rows at most
+    more = names.join(shapes, "h").select("first.uid", "first.low", "n", "copies", "h", "shapes")
+    copies = join_hot(rows.drop("n"), names.where("copies > 1"), ["h", "s"], "copies", max(total, 1))
+    if earlier:
+        copies = copies.where("struct(o, uid, low) > first")
+    return firsts.unionByName(more), whole.unionByName(copies.select("uid", "low", "n"))
+
+
+def repeated_windows(
+    df: DataFrame, uid: str, order: Column, text: str, symbols: Symbols, size: int, gram: int, earlier: bool, hashes: Hashes = _gram_hashes
+) -> DataFrame:
     """(uid, found): runs of window starts whose window also stands elsewhere, or with ``earlier`` at an earlier place.
 
     Places are ordered by ``order`` (nulls first), then ``uid``, then position. ``uid`` must be repeatable. Sequences
@@ -119,7 +164,7 @@ def repeated_windows(df: DataFrame, uid: str, order: Column, text: str, symbols:
             ids, orders = (batch.column(k).to_numpy() for k in (0, 1))
             for first, end, data, offsets in text_groups(batch.column(2)):
                 values, bounds, *lone = symbols(data, offsets)
-                doc, low, n, h, s = spans(values, bounds, size, gram)
+                doc, low, n, h, s = spans(values, bounds, size, gram, hashes)
                 if lone:
                     doc, low, n, h, s = map(np.concatenate, zip((doc, low, n, h, s), lone_spans(values, bounds, size, *lone)))
                 doc = doc + first
@@ -147,15 +192,11 @@ def repeated_windows(df: DataFrame, uid: str, order: Column, text: str, symbols:
 
     texts = df.select(F.col(uid).alias("uid"), F.coalesce(order.cast("long"), F.lit(-(1 << 63))).alias("o"), F.col(text).alias("text"))
     every = stage(texts.mapInArrow(anchors, "uid long, o long, low int, n int, h long, s long"), "anchors")
-    total = every.count()
-    place = F.struct("o", "uid", "low")
-    names = stage(every.groupBy("h", "s").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.min("n").alias("n")), "spans")
-    mixed = stage(names.groupBy("h").agg(F.count("*").alias("shapes")).where("shapes > 1"), "mixed")
-    open_spans = join_hot(names, mixed, ["h"], "shapes", max(total, 1))
-    span = F.struct(F.col("first.low").alias("low"), "n", "copies", "h", (F.col("shapes") > LARGE_GROUP).alias("large"))
-    wanted = open_spans.groupBy(F.col("first.uid").alias("uid")).agg(F.collect_list(span).alias("spans"))
+    open_spans, whole = _open_and_whole(every, earlier)
+    span = F.struct("low", "n", "copies", "h", (F.col("shapes") > LARGE_GROUP).alias("large"))
+    has_large = not open_spans.where(F.col("shapes") > LARGE_GROUP).isEmpty()
+    wanted = open_spans.groupBy("uid").agg(F.collect_list(span).alias("spans"))
     ranked = texts.join(wanted, "uid").select("uid", "o", "text", "spans").mapInArrow(ranks, "uid long, o long, low int, copies long, h long, large boolean, ranks array<long>")
-    has_large = not mixed.where(F.col("shapes") > LARGE_GROUP).isEmpty()
     if has_large:
         ranked = stage(ranked, "ranked")
     in_groups = ranked.where("not large").drop("large").repartition("h").sortWithinPartitions("h")
@@ -163,14 +204,11 @@ def repeated_windows(df: DataFrame, uid: str, order: Column, text: str, symbols:
     if has_large:
         windows = ranked.where("large").select("uid", "o", "low", "copies", F.posexplode("ranks").alias("k", "r")).select("uid", "o", (F.col("low") + F.col("k")).alias("p"), "copies", "r")
         shared = stage(windows.groupBy("r").agg(F.count("*").alias("m"), F.min(F.struct("o", "uid", "p")).alias("least")).where("m > 1"), "shared")
-        hits = join_hot(windows if earlier else windows.where("copies = 1"), shared, ["r"], "m", max(total, 1))
+        hits = join_hot(windows if earlier else windows.where("copies = 1"), shared, ["r"], "m", max(windows.count(), 1))
         if earlier:
             hits = hits.where("struct(o, uid, p) > least")
         found = found.union(hits.select("uid", "p", F.lit(1)))
-    whole = join_hot(every.drop("n"), names.where("copies > 1"), ["h", "s"], "copies", max(total, 1))
-    if earlier:
-        whole = whole.where("struct(o, uid, low) > first")
-    found = found.union(whole.select("uid", "low", "n"))
+    found = found.union(whole)
     return found.groupBy("uid").agg(F.collect_list(F.struct("low", "n")).alias("found"))
 
 
