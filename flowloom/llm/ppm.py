@@ -2,8 +2,9 @@
 
 The model is a trie of byte contexts of up to ``ORDER`` bytes with the counts of what followed in the training texts,
 pretrained on all of them. A byte's probability comes from the longest context that it was seen in: every longer one
-gives its escape probability, estimated by the number of distinct symbols (method C), and its symbols are excluded below.
-The shortest context is the uniform one. Every text has an end symbol and starts after ``ORDER`` newlines.
+gives its escape probability, and its symbols are excluded below. Method C estimates the escape by the number of distinct symbols, method
+X by the number of those seen once, and one more. With ``kinds`` (update exclusion), the contexts below the longest count in how
+many different longer contexts a symbol followed, not how often. The shortest context is the uniform one. Every text has an end symbol and starts after ``ORDER`` newlines.
 
 A byte's probability is a function of the ``ORDER + 1`` bytes that end with it. Documents are dealt into blocks of bounded
 size; a block asks once for each of its distinct strings and words. Spark sums the counts, joins a context with its
@@ -124,13 +125,17 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from full(block)
 
 
-def _followers(counts: DataFrame, order: int) -> DataFrame:
-    """(c<order>, f<order>): what followed a context of ``order`` bytes in training; 256 entries at most."""
-    cut = counts.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("k")).agg(F.sum("n").alias("n"))
+def _followers(counts: DataFrame, order: int, kinds: bool) -> DataFrame:
+    """(c<order>, f<order>): what followed a context of ``order`` bytes in training, or with ``kinds``, in how many contexts of
+    one byte more; 256 entries at most."""
+    seen = counts.where("n > 0")
+    if kinds:
+        seen = seen.select(F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 2)) - 1)).alias("key")).distinct().withColumn("n", F.lit(1).cast("long"))
+    cut = seen.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("k")).agg(F.sum("n").alias("n"))
     return cut.groupBy(F.shiftright("k", 8).alias(f"c{order}")).agg(F.collect_list(F.struct(F.col("k").bitwiseAND(F.lit(255)).cast("int").alias("s"), "n")).alias(f"f{order}"))
 
 
-def log_probabilities(wanted: np.ndarray, chain: list[np.ndarray]) -> np.ndarray:
+def log_probabilities(wanted: np.ndarray, chain: list[np.ndarray], method: str = "C") -> np.ndarray:
     """log10 probabilities, one row per context and one column per symbol, of the ``wanted`` ones (0 elsewhere).
 
     ``chain`` has the counts of every symbol after each row's contexts, from the longest context down.
@@ -141,29 +146,30 @@ def log_probabilities(wanted: np.ndarray, chain: list[np.ndarray]) -> np.ndarray
         seen = free & (counts > 0)
         n = seen.sum(1)
         total = np.where(seen, counts, 0).sum(1)
-        total = np.where(n > 0, total + np.where(free.sum(1) > n, n, 0), 1)  # full rows have nothing left to escape to
+        weight = n if method == "C" else (seen & (counts == 1)).sum(1) + 1
+        total = np.where(n > 0, total + np.where(free.sum(1) > n, weight, 0), 1)  # full rows have nothing left to escape to
         row, symbol = np.nonzero(todo & seen)
         out[row, symbol] = escape[row] + np.log10(counts[row, symbol] / total[row])
         todo &= ~seen
         free &= ~seen
-        escape += np.log10(np.where(n > 0, n, 1) / np.where(n > 0, total, 1))
+        escape += np.log10(np.where(n > 0, weight, 1) / np.where(n > 0, total, 1))
     row, symbol = np.nonzero(todo)
     out[row, symbol] = escape[row] - np.log10(free.sum(1)[row])
     return out
 
 
-def _gram_scores(counts: DataFrame) -> DataFrame:
+def _gram_scores(counts: DataFrame, method: str, kinds: bool) -> DataFrame:
     """(key, value): the log10 probability of the last byte of every string after the others."""
     wanted = counts.groupBy(F.shiftright("key", 8).alias("context")).agg(
         F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("s"), "n")).alias("f4")
     )
     low1, low0 = np.zeros((256, SYMBOLS)), np.zeros(SYMBOLS)
-    for context, followers in _followers(counts, 1).collect():
+    for context, followers in _followers(counts, 1, kinds).collect():
         for symbol, n in followers:
             low1[context, symbol] = n
-            low0[symbol] += n
+            low0[symbol] += 1 if kinds else n
     for k in (3, 2):
-        wanted = wanted.withColumn(f"c{k}", F.col("context").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(_followers(counts, k), f"c{k}", "left")
+        wanted = wanted.withColumn(f"c{k}", F.col("context").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(_followers(counts, k, kinds), f"c{k}", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,15 +190,17 @@ def _gram_scores(counts: DataFrame) -> DataFrame:
                 asked = np.zeros(shape, bool)
                 asked[row, symbols] = True
         chain += [low1[contexts & 255], np.broadcast_to(low0, shape)]
-        found = log_probabilities(asked, chain)
+        found = log_probabilities(asked, chain, method)
         row, symbols = np.nonzero(asked)
         return pa.RecordBatch.from_arrays([pa.array(symbols | contexts[row] << 8), pa.array(found[row, symbols])], names=["key", "value"])
 
     return wanted.select("context", "f4", "f3", "f2").mapInArrow(run, "key long, value double")
 
 
-def scored(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(documents: DataFrame, id: str = "doc_id", text: str = "text", method: str = "C", kinds: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    if method not in ("C", "X"):
+        raise ValueError(f"unknown escape method {method}")
     rows = documents.select(F.col(id).cast("long").alias("doc_id"), held_out(F.col(id)).alias("held"), F.col(text).cast("string").alias("text"))
     rows = identified(rows, "uid").select("uid", "doc_id", "held", "text")
     docs = rows.mapInArrow(_dealt, "block long, doc_id long, held boolean, text string")
@@ -201,7 +209,7 @@ def scored(documents: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     train_docs = rows.where("not held").count()
     seen = counts.where(f"kind = {WORD} and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, distinct = seen[0] + train_docs, seen[1] + (train_docs > 0)
-    values = _gram_scores(counts.where(f"kind = {GRAM}").select("key", "n")).select(F.lit(GRAM).alias("kind"), "key", "value")
+    values = _gram_scores(counts.where(f"kind = {GRAM}").select("key", "n"), method, kinds).select(F.lit(GRAM).alias("kind"), "key", "value")
     values = values.union(counts.where(f"kind = {WORD}").select("kind", "key", F.col("n").cast("double")))
     answers = asked.select("block", "kind", "key").join(stage(values, "values"), ["kind", "key"]).select(F.col("block").alias("for_block"), "kind", "key", "value")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

@@ -59,7 +59,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents by a byte-context model and by word counts."""
-    return ppm.scored(documents(spark, sf_dir))
+    return ppm.scored(documents(spark, sf_dir), method="X", kinds=True)
 
 
 @query()
