@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
 _written: list[str] = []
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -42,7 +44,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame over the written files."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete the table that ``stage`` returned as ``staged``; only what was written from it may still be read."""
+    path = _path_of.pop(staged)
+    if path in _written:
+        _written.remove(path)
+        _delete(staged.sparkSession, path)
 
 
 def written() -> int:
@@ -52,12 +69,6 @@ def written() -> int:
 
 def release(spark: SparkSession, first: int = 0, last: int | None = None) -> int:
     """Delete the tables this process staged, or those from number ``first`` to before ``last``; call it when no result still reads them."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    dropped = 0
     paths = _written[first:last]
     del _written[first:last]
-    for name in paths:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        dropped += bool(path.getFileSystem(conf).delete(path, True))
-    return dropped
+    return sum(_delete(spark, path) for path in paths)
