@@ -35,7 +35,7 @@ from flowloom.llm.arrays import mix, sets_of, shingles, text_groups, word_hashes
 from flowloom.llm.components import components
 from flowloom.llm.hot import spread_join
 from flowloom.llm.rows import free_name, identified
-from flowloom.scratch import stage
+from flowloom.scratch import discard, stage
 
 _U = np.uint64
 BAND_GROWTH = 1.5
@@ -277,8 +277,10 @@ def linked_groups(df: DataFrame, text: str, size: int, num: int, den: int, uid:
 
     Rows are in one group when links lead from one to the other; root is null for nodes without links to others.
     """
-    rows = stage(described(df, uid, text, size, Bands(num, den)), "sets")
-    shared = stage(shared_sketches(rows), "shared")
+    sets = stage(described(df, uid, text, size, Bands(num, den)), "sets")
+    rows = stage(sets.drop("keys"), "rows")
+    shared = stage(shared_sketches(sets), "shared")
+    discard(sets)  # the sketches of blocks are the larger part, and nothing reads them any more
     pairs = shared.select("a", "b").distinct()
     first = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     nodes = shared.select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.rows import free_name
+from flowloom.llm.rows import free_name, identified
 from flowloom.scratch import stage
 
 BLANKS = " \t\n\x0b\f\r"
@@ -201,11 +201,13 @@ def judged(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFra
 def keep_good(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``df`` that pass the base rule and are probably good, with their columns.
 
-    Texts are measured once; the rows are written with their measures, and the verdict filters what was written.
+    Texts are measured once; the verdicts, one number a row, pick the rows of the second reading.
     """
-    hidden, own_text, new = _hidden(df, text)
-    kept = _verdicts(stage(measured(hidden, own_text), "measures"), threshold).where("kept")
-    return kept.select(*(F.col(new.get(c, c)).alias(c) for c in df.columns))
+    uid = free_name(df, "uid")
+    rows = identified(df, uid)
+    narrow = rows.select(F.col(uid).alias("uid"), F.col(text).alias("text"))
+    good = _verdicts(stage(measured(narrow).drop("text"), "measures"), threshold).where("kept")
+    return rows.join(good.select(F.col("uid").alias(uid)), uid, "left_semi").select(*df.columns)
 
 
 def quality_digest(documents: DataFrame) -> DataFrame:

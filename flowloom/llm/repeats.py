@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.arrays import Substrings, mix, text_groups, window_minima
-from flowloom.scratch import stage
+from flowloom.scratch import discard, stage
 
 _U = np.uint64
 #: A key with more than this share of all rows is hot; so there are HOT_KEYS of them at most.
@@ -125,7 +125,7 @@ def _crowded(every: DataFrame) -> list[int]:
 
 def _open_and_whole(every: DataFrame, earlier: bool) -> tuple[DataFrame, DataFrame]:
     """From all spans (uid, o, low, n, h, s): one of each different span (uid, low, n, copies, h, shapes) of the anchors that have several, and
-    those (uid, low, n) that repeat as a whole."""
+    those (uid, low, n) that repeat as a whole. ``every`` is staged, and goes when all that has company is written."""
     place = F.struct("o", "uid", "low")
     crowded = _crowded(every)
     is_crowded = F.col("h").isin(crowded) if crowded else F.lit(False)
@@ -137,8 +137,10 @@ def _open_and_whole(every: DataFrame, earlier: bool) -> tuple[DataFrame, DataFra
     firsts = kept.where("is_first and shapes > 1").select(*shown)
     whole = kept.where("copies > 1 and not is_first" if earlier else "copies > 1").select("uid", "low", "n")
     if not crowded:
+        discard(every)
         return firsts, whole
-    rows = every.where(is_crowded)
+    rows = stage(every.where(is_crowded), "crowded")
+    discard(every)
     total = rows.count()
     names = stage(rows.groupBy("h", "s").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.min("n").alias("n")), "spans")
     shapes = F.broadcast(names.groupBy("h").agg(F.count("*").alias("shapes")).where("shapes > 1"))  # HOT_KEYS rows at most
