@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.operators import evaluation, models as m, sampling as s
+from flowloom.operators import episodes as ep, evaluation, models as m, sampling as s
 from flowloom.operators.artifacts import Artifacts
 from flowloom.operators.features import fit_features
 from flowloom.operators.lookup import label_index, label_map
@@ -62,6 +62,63 @@ def few_shot_episode(spark: SparkSession, sf: str) -> DataFrame:
     return m.few_shot_episode(table(spark, sf, "embeddings").select("vec_id", "label"), "label", ["vec_id"])
 
 
+_EPISODES = 20
+EPISODES_CTE = (
+    f"ep AS (SELECT cast(unnest(range({_EPISODES})) AS integer) AS episode), "
+    "ways AS (SELECT episode, label FROM (SELECT episode, label, row_number() OVER (PARTITION BY episode ORDER BY "
+    "md5((42 + episode) || '|class|' || label), label) AS rn FROM ep, (SELECT DISTINCT label FROM embeddings)) WHERE rn <= 5), "
+    "drawn AS (SELECT episode, vec_id, label, embedding, row_number() OVER (PARTITION BY episode, label ORDER BY "
+    "md5((42 + episode) || '|' || vec_id), vec_id) AS rn FROM embeddings JOIN ways USING (label))"
+)
+EPISODE_SCORES_CTE = (
+    f"{EPISODES_CTE}, xs AS (SELECT episode, vec_id, label, rn, unnest(range(64)) AS pos, cast(unnest(embedding) AS double) AS v FROM drawn WHERE rn <= 20), "
+    "ctr AS (SELECT episode, label, pos, avg(v) AS m FROM xs WHERE rn <= 5 GROUP BY ALL), "
+    "far AS (SELECT xs.episode, vec_id, xs.label, ctr.label AS cls, -sqrt(sum((v - m) * (v - m))) AS score FROM xs "
+    "JOIN ctr ON ctr.episode = xs.episode AND ctr.pos = xs.pos WHERE rn > 5 GROUP BY ALL), "
+    "best AS (SELECT episode, vec_id, label, arg_max(cls, score) AS pred, max(score) AS score FROM far GROUP BY ALL)"
+)
+
+
+def _drawn(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return ep.draw_episodes(table(spark, sf, "embeddings").select("vec_id", "label", *columns), "label", ["vec_id"], _EPISODES)
+
+
+def _scored_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    return ep.score_episodes(_drawn(spark, sf, "embedding"), "embedding", "label", ["vec_id"])
+
+
+@query(
+    f"WITH {EPISODES_CTE} SELECT episode, vec_id, label, CASE WHEN rn <= 5 THEN 'support' ELSE 'query' END AS role FROM drawn WHERE rn <= 20"
+)
+def few_shot_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Support and query rows of twenty episodes."""
+    return _drawn(spark, sf)
+
+
+@query(f"WITH {EPISODE_SCORES_CTE} SELECT episode, vec_id, label, pred, round(score, 6) AS score FROM best")
+def few_shot_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every query row under the centroids of its own episode."""
+    return _scored_episodes(spark, sf).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"WITH {EPISODE_SCORES_CTE} SELECT episode, count(*) AS queries, round(avg((pred = label)::int), 6) AS accuracy FROM best GROUP BY episode"
+)
+def few_shot_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    scores = ep.episode_accuracy(_scored_episodes(spark, sf), "label")
+    return scores.withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(
+    f"WITH {EPISODE_SCORES_CTE}, a AS (SELECT episode, avg((pred = label)::int) AS accuracy FROM best GROUP BY episode) "
+    "SELECT count(*) AS episodes, round(avg(accuracy), 6) AS mean, round(1.96 * stddev_samp(accuracy) / sqrt(count(*)), 6) AS half_width FROM a"
+)
+def few_shot_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean accuracy over the episodes and the half-width of its interval."""
+    found = ep.accuracy_over_episodes(ep.episode_accuracy(_scored_episodes(spark, sf), "label"))
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "half_width")})
+
+
 @query(
     "WITH h AS (SELECT o_orderstatus AS run, cast(o_orderkey % 50 AS integer) AS epoch, round(avg(o_totalprice), 4) AS val_acc "
     "FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY val_acc DESC, epoch) AS rn FROM h) "

@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.operators.artifacts import Artifacts
 from flowloom.operators.ordering import dense_index
+from flowloom.operators.profile import value_counts
+from flowloom.operators import sketches as sk
 from flowloom.operators.rows import attacks_only
 from flowloom.operators.windows import Geometry
 from flowloom.plans.registry import query
@@ -75,6 +77,74 @@ def refreshed_attacks(spark: SparkSession, sf: str) -> DataFrame:
     return replace.read_rows(spark, out).drop(replace.FILE)
 
 
+_SKETCHED = ["f_qty", "f_price", "f_disc"]
+_SKETCHED_SQL = (
+    "SELECT '{c}' AS \"column\", count(*) AS rows, count({c}) AS count, count(*) - count({c}) AS missing, "
+    "{mean} AS mean, {std} AS std, {low} AS min, {high} AS max FROM flows"
+)
+
+
+def _sketched_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Profile of a folder that grows between two refreshes; the second sketches the new files alone."""
+    folder, out = scratch_path(spark, "captures"), scratch_path(spark, "sketches")
+    rows = table(spark, sf, "lineitem").selectExpr(*_select(FLOWS), "l_orderkey % 2 AS half").select("label", *_SKETCHED, "half")
+    for half in (0, 1):
+        rows.where(F.col("half") == half).drop("half").write.mode("append").parquet(folder)
+        replace.refresh(
+            spark, folder, out, lambda s, paths: s.read.parquet(*paths),
+            lambda df: sk.file_sketches(df, replace.FILE, _SKETCHED, ["label"]), "*.parquet",
+        )
+    return sk.merged_profile(replace.read_rows(spark, out))
+
+
+@query(
+    f"WITH {FLOWS_CTE} " + " UNION ALL ".join(
+        [_SKETCHED_SQL.format(c=c, mean=f"round(avg({c}), 4)", std=f"round(stddev_samp({c}), 4)", low=f"min({c})", high=f"max({c})")
+         for c in _SKETCHED]
+        + [_SKETCHED_SQL.format(c="label", mean="NULL", std="NULL", low="NULL", high="NULL")]
+    )
+)
+def sketched_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """What merges exactly: counts, missing values, moments and extremes."""
+    merged = _sketched_profile(spark, sf).select("column", "rows", "count", "missing", "mean", "std", "min", "max")
+    return merged.withColumns({c: F.round(c, 4) for c in ("mean", "std")})
+
+
+@query(
+    f"WITH {FLOWS_CTE} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS exact, true AS within FROM flows" for c in [*_SKETCHED, "label"]
+    )
+)
+def sketched_distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact distinct counts, and whether the merged sketches are within their stated error."""
+    df = table(spark, sf, "lineitem").selectExpr(*_select(FLOWS))
+    exact = value_counts(df, [*_SKETCHED, "label"]).groupBy("column").agg(F.count(F.lit(1)).alias("exact"))
+    off = F.abs(F.col("distinct") - F.col("exact"))
+    found = _sketched_profile(spark, sf).select("column", "distinct").join(exact, "column")
+    return found.select("column", "exact", (off <= F.lit(sk.DISTINCT_ERROR) * F.col("exact")).alias("within"))
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", cast({p} AS double) AS p, true AS within" for c in _SKETCHED for p in (0.25, 0.5, 0.75))
+)
+def sketched_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the true rank of every merged quantile is within the stated error of the one asked for."""
+    at = (0.25, 0.5, 0.75)
+    probabilities = F.array(*[F.lit(p) for p in at])
+    asked = (
+        _sketched_profile(spark, sf).where("quantiles IS NOT NULL")
+        .select("column", F.posexplode("quantiles").alias("_k", "value")).withColumn("p", F.get(probabilities, F.col("_k")))
+    )  # one row per column and probability
+    df = table(spark, sf, "lineitem").selectExpr(*_select(FLOWS)).select(*_SKETCHED)
+    values = df.unpivot([], _SKETCHED, "column", "v").where("v IS NOT NULL")
+    ranks = values.join(F.broadcast(asked), "column").groupBy("column", "p").agg(
+        F.avg((F.col("v") < F.col("value")).cast("double")).alias("below"),
+        F.avg((F.col("v") <= F.col("value")).cast("double")).alias("up_to"),
+    )
+    error = F.lit(sk.RANK_ERROR)
+    return ranks.select("column", "p", ((F.col("p") >= F.col("below") - error) & (F.col("p") <= F.col("up_to") + error)).alias("within"))
+
+
 # Three captures of the events; each arrives in parts, and the job is stopped and started again between them.
 _CAPTURE = "concat('capture_', cast(event_id % 3 as string))"
 _LIVE = Geometry(seq_len=16, graph_size=32, stride=8)

@@ -66,7 +66,7 @@ def refresh(
 ) -> Refreshed:
     """Bring the table at ``path`` up to date with ``folder``.
 
-    ``read`` reads the given paths; ``change`` must keep rows apart from each other and any column. With ``digest``, files whose
+    ``read`` reads the given paths; ``change`` must keep the column ``SourceFile`` and not mix rows of different files. With ``digest``, files whose
     listing changed but whose content did not are not read again (their bytes are, for the digest). The names of changed
     files reach the driver, as those of any scan do.
     """
