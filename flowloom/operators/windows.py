@@ -9,10 +9,12 @@ holds every window that starts in it, and blocks run in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowloom.fixed_values import BENIGN, GRAPH_SIZE, SEQ_LEN, WINDOW_STRIDE
@@ -189,6 +191,77 @@ def _first_seen_ids(ends: np.ndarray) -> np.ndarray:
     return np.where(ends >= 0, np.take_along_axis(rank, first, 1), -1)
 
 
+def _previous(codes: np.ndarray) -> np.ndarray:
+    """Per position, the last earlier one with the same code; -1 without any."""
+    order = np.argsort(codes, kind="stable")
+    out = np.full(len(codes), -1)
+    out[order[1:]] = np.where(codes[order[1:]] == codes[order[:-1]], order[:-1], -1)
+    return out
+
+
+def _next_source(source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Per position, the first later one whose source is this target; beyond all positions without any."""
+    n = len(source)
+    keys = np.sort(source * n + np.arange(n))
+    at = np.searchsorted(keys, target * n + np.arange(n), "right")
+    found = keys[np.minimum(at, n - 1)]
+    return np.where((at < n) & (found // n == target), found % n, 2 * n)
+
+
+def _ids_in_place(codes: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Ranks by first appearance in the windows from ``starts``, one row of ``ids`` per position; returns the hosts counted."""
+    before, lane, flat = _previous(codes), np.arange(len(starts)), ids.reshape(-1)
+    hosts = np.zeros(len(starts), ids.dtype)
+    for k in range(len(ids)):
+        at = starts + k
+        back, given = before[at] - starts, codes[at] >= 0
+        new = (back < 0) & given
+        same = flat.take(np.maximum(back, 0) * len(starts) + lane)
+        ids[k] = np.where(new, hosts, np.where(given, same, -1))
+        hosts += new
+    return hosts
+
+
+def ids_in_windows(
+    source: np.ndarray, target: np.ndarray, starts: np.ndarray, length: int, interleaved: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """Node ids of the sources and of the targets of ``length`` flows from every start, one row per window; -1 stays -1.
+
+    A host's place is looked up through its last one before and, for targets, its next one as a source, so no window is sorted.
+    """
+    source, target = (np.concatenate([np.asarray(c, np.int64), np.full(length, -1)]) for c in (source, target))
+    n, lane = len(starts), np.arange(len(starts))
+    ids = np.zeros((2 * length, n), np.int32)
+    if interleaved:
+        _ids_in_place(np.stack([source, target], 1).ravel(), 2 * starts, ids)
+        return np.ascontiguousarray(ids[::2].T), np.ascontiguousarray(ids[1::2].T)
+    hosts = _ids_in_place(source, starts, ids[:length])
+    before, ahead, flat, place = _previous(target), _next_source(source, target), ids.reshape(-1), np.arange(len(source))
+    for k in range(length):
+        ahead[k:] = np.where(source[: len(source) - k] == target[k:], place[: len(source) - k], ahead[k:])
+        at = starts + k
+        first, back, given = ahead[at] - starts, before[at] - starts, target[at] >= 0
+        row = np.where(first < length, first, np.where(back >= 0, length + back, -1))
+        new = (row < 0) & given
+        same = flat.take(np.maximum(row, 0) * n + lane)
+        ids[length + k] = np.where(new, hosts, np.where(given, same, -1))
+        hosts += new
+    return np.ascontiguousarray(ids[:length].T), np.ascontiguousarray(ids[length:].T)
+
+
+def _starts_in(block: int, size: int, windows: int, g: Geometry) -> np.ndarray:
+    """Where windows start in a block, counted from its first flow."""
+    low = block * size
+    last = min(low + size - 1, (windows - 1) * g.stride)
+    return np.arange(-(-low // g.stride) * g.stride, last + 1, g.stride) - low
+
+
+def _kept(source: np.ndarray, target: np.ndarray, g: Geometry) -> np.ndarray:
+    """Flows that are edges: both ends given, and among the first ``max_nodes`` where these are limited."""
+    kept = (source >= 0) & (target >= 0)
+    return kept if g.max_nodes is None else kept & (source < g.max_nodes) & (target < g.max_nodes)
+
+
 def _block_edges(
     size: int, windows: int, g: Geometry, index: str, src: str, dst: str, carry: list[str], interleaved: bool
 ):
@@ -198,21 +271,10 @@ def _block_edges(
         flows = flows.sort_values(index)
         block = int(flows["block"].iloc[0])
         low = block * size
-        last = min(low + size - 1, (windows - 1) * g.stride)
-        starts = np.arange(-(-low // g.stride) * g.stride, last + 1, g.stride) - low
+        starts = _starts_in(block, size, windows, g)
         codes = pd.factorize(pd.concat([flows[src], flows[dst]]))[0].reshape(2, -1)
-        codes = np.pad(codes, ((0, 0), (0, g.graph_size)), constant_values=-1)
-        frames = np.lib.stride_tricks.sliding_window_view(codes, g.graph_size, axis=1)[:, starts]
-        n = len(starts)
-        if interleaved:
-            ids = _first_seen_ids(frames.transpose(1, 2, 0).reshape(n, -1)).reshape(n, -1, 2)
-            source, target = ids[..., 0], ids[..., 1]
-        else:
-            ids = _first_seen_ids(frames.transpose(1, 0, 2).reshape(n, -1)).reshape(n, 2, -1)
-            source, target = ids[:, 0], ids[:, 1]
-        kept = (source >= 0) & (target >= 0)
-        if g.max_nodes is not None:
-            kept &= (source < g.max_nodes) & (target < g.max_nodes)
+        source, target = ids_in_windows(*codes, starts, g.graph_size, interleaved)
+        kept = _kept(source, target, g)
         w, p = np.nonzero(kept)
         flow = starts[w] + p
         return pd.DataFrame(
@@ -230,6 +292,79 @@ def _block_edges(
     return edges
 
 
+@dataclass(frozen=True)
+class BlockGraphs:
+    """The windows that start in one block: flows in order, window starts among them, node ids of their flows, which of these are edges."""
+
+    flows: pa.Table
+    low: int
+    starts: np.ndarray
+    source: np.ndarray
+    target: np.ndarray
+    kept: np.ndarray
+
+    def window_ids(self, g: Geometry) -> np.ndarray:
+        return (self.low + self.starts) // g.stride
+
+
+def map_block_graphs(
+    ix: Indexed,
+    src: str,
+    dst: str,
+    columns: Mapping[str, Column],
+    result: Callable[[BlockGraphs], dict[str, pa.Array | np.ndarray]],
+    schema: str,
+    g: Geometry = Geometry(),
+    cap: int | None = None,
+    size: int | None = None,
+    buckets: int | None = None,
+) -> DataFrame:
+    """``block`` and the columns ``result`` makes of the window graphs of each block; ``columns`` of its flows come with them.
+
+    Only flows are shuffled, each once and border flows twice; edges, ``graph_size`` times as many, live in one block's task alone.
+    With ``buckets`` the result lies in that many partitions by block.
+    """
+    rows, size = in_blocks(ix, g, size)
+    windows = g.count(ix.n, cap)
+    dealt = rows.filter(F.col("block") * size <= F.lit((windows - 1) * g.stride)).select(
+        "block", F.col(ix.index).alias("_at"), named(src).alias("_s"), named(dst).alias("_d"),
+        *[c.alias(name) for name, c in columns.items()],
+    )
+    if buckets:
+        dealt = dealt.repartition(buckets, "block")
+
+    def run(flows: pa.Table) -> pa.Table:
+        flows = flows.sort_by("_at").combine_chunks()
+        block = flows["block"][0].as_py()
+        starts = _starts_in(block, size, windows, g)
+        hosts = pa.chunked_array([*flows["_s"].chunks, *flows["_d"].chunks]).combine_chunks().dictionary_encode()
+        codes = hosts.indices.fill_null(-1).to_numpy().reshape(2, -1)
+        ids = ids_in_windows(*codes, starts, g.graph_size)
+        found = result(BlockGraphs(flows, block * size, starts, *ids, _kept(*ids, g)))
+        rows = len(next(iter(found.values())))
+        return pa.table({"block": np.full(rows, block), **found})
+
+    return dealt.groupBy("block").applyInArrow(run, f"block long, {schema}")
+
+
+def edge_fingerprints(
+    ix: Indexed, src: str, dst: str, g: Geometry = Geometry(), cap: int | None = None, size: int | None = None
+) -> DataFrame:
+    """``(block, window_id, n_edges, src_sum, dst_sum)`` of windows with edges: node ids plus one, weighted by the flow's place in the window."""
+
+    def sums(b: BlockGraphs) -> dict[str, np.ndarray]:
+        some = b.kept.any(axis=1)
+        place = b.kept[some] * np.arange(1, g.graph_size + 1)
+        return {
+            "window_id": b.window_ids(g)[some],
+            "n_edges": b.kept[some].sum(axis=1),
+            "src_sum": np.einsum("wp,wp->w", place, b.source[some] + 1),
+            "dst_sum": np.einsum("wp,wp->w", place, b.target[some] + 1),
+        }
+
+    return map_block_graphs(ix, src, dst, {}, sums, "window_id long, n_edges long, src_sum long, dst_sum long", g, cap, size)
+
+
 def window_edges(
     ix: Indexed,
     src: str,
@@ -246,8 +381,9 @@ def window_edges(
     beyond a given ``max_nodes``, give no edge. ``node_order="interleaved"`` numbers the
     hosts flow by flow instead. Numbering 2 x 64 endpoints per window by array
     expressions costs a linear search per endpoint (38 s for 599,904 windows);
-    sorting the block's windows as one Arrow matrix took 4 to 7 s. A block is
-    bounded, so is the memory of the step.
+    a block's windows are numbered at once instead. A block is bounded, so is
+    the memory of the step. What is wanted per window is better made inside the
+    block (``map_block_graphs``) than from these rows.
     """
     if node_order not in ("sources_first", "interleaved"):
         raise ValueError(node_order)

@@ -91,15 +91,15 @@ def window_store_check(spark: SparkSession, sf: str) -> DataFrame:
     "n_edges, qty FROM w JOIN q USING (window_id) JOIN ix l ON l.i = window_id + 16"
 )
 def stored_window_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored windows joined with their stored edges, bucket by bucket."""
+    """Stored windows joined with what their stored edges add up to, bucket by bucket."""
     path = scratch_path(spark, "window-store")
     df = flows(spark, sf).select("ts", "ok", "ln", "pk", "sk", "f_qty", "f_price", "src", "dst", "label")
     ix = dense_index(df, ["ts", "ok", "ln", "pk", "sk", "f_qty", "f_price"], name="flows")
     label2idx = label_map(["BENIGN", "DDoS", "DoS Hulk", "PortScan"])
     window_store.write_window_store(ix, ["f_qty"], "label", label2idx, "src", "dst", path, sequences=False)
     windows, edges, _ = window_store.read_window_store(spark, path)
-    joined = windows.join(edges, ["block", "window_id"]).groupBy("block", "window_id", "y")
-    return joined.agg(F.count("*").alias("n_edges"), F.sum("f_qty").alias("qty")).drop("block")
+    totals = edges.groupBy("block", "window_id").agg(F.count("*").alias("n_edges"), F.sum("f_qty").alias("qty"))
+    return windows.join(totals, ["block", "window_id"]).select("window_id", "y", "n_edges", "qty")
 
 
 @query(
