@@ -13,6 +13,9 @@ from flowloom.plans.views import FLOWS_CTE, INDEX_CTE, flows, raw_flows, table
 from flowloom.scratch import scratch_path
 from flowloom.sources import readers, window_store, writers
 
+#: Rows of one CSV file; larger tables are written as more files.
+ROWS_PER_FILE = 250_000
+
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
 def pruned_parquet(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +36,8 @@ def csv_files(spark: SparkSession, sf: str) -> DataFrame:
     written = flows(spark, sf).select(
         "row_key", F.col("label").alias(" Label "), F.col("f_price").alias("Flow  Bytes/s"), "f_disc"
     )
-    written.repartition(4, "row_key").write.option("header", True).csv(path)
+    files = max(4, -(-written.count() // ROWS_PER_FILE))
+    written.repartition(files, "row_key").write.option("header", True).csv(path)
     df, _ = readers.read_flow_csv(spark, path)
     return df.select(
         "row_key", F.col("Label").alias("label"), F.col("Flow Bytes/s").cast("double").alias("f_price"),
