@@ -96,10 +96,7 @@ def build_window_vectors(
     cap: int | None = None,
 ) -> DataFrame:
     """``(window_id, label, features)``: sequence means and two-hop graph read-out of each window."""
-    names = list(feature_names)
-    sequence = windows.window_means(ix, names, g, cap, label)
-    edges = graphs.by_block(windows.window_edges(ix, src, dst, names, g, cap))
-    return graphs.fuse(sequence, graphs.readout(graphs.propagate(edges, names), names), names)
+    return graphs.block_vectors(ix, src, dst, label, list(feature_names), g, cap)
 
 
 def index_flows(df: DataFrame, tie_break: Sequence[str], timestamp: str = TIMESTAMP) -> Indexed:
