@@ -104,6 +104,7 @@ class Code:
 def read_blocks(reader: tuple[int, np.ndarray, np.ndarray], bits: list[bytes], checkpoints: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
     """Ids of several blocks; all their checkpoints are followed at once, one id per step."""
     look, symbol, length = reader
+    entry = symbol.astype(np.uint32 if int(symbol.max(initial=0)) < 1 << 27 else np.uint64) << 5 | length  # LIMIT fits in five bits
     starts = np.cumsum([0, *(len(b) for b in bits)])
     data = np.frombuffer(b"".join(bits) + b"\0" * 8, np.uint8)
     wide = np.zeros(len(data) - 4, np.uint64)
@@ -114,18 +115,18 @@ def read_blocks(reader: tuple[int, np.ndarray, np.ndarray], bits: list[bytes], c
     left = np.full(len(at), STEP)
     last = np.cumsum(lanes) - 1
     left[last] = sizes - STEP * (lanes - 1)
-    out = np.zeros((len(at), STEP), np.uint32)
+    out = np.zeros((STEP, len(at)), np.uint32)
     mask, drop = np.uint64((1 << look) - 1), np.uint64(40 - look)
     for k in range(int(left.max())):
         if k == left.min():
             live = np.flatnonzero(left > k)
-            rows, at, left = (live, at[live], left[live]) if k == 0 or len(out) == len(at) else (rows[live], at[live], left[live])
+            rows, at, left = (live, at[live], left[live]) if k == 0 or out.shape[1] == len(at) else (rows[live], at[live], left[live])
         elif k == 0:
             rows = np.arange(len(at))
-        value = wide[at >> 3] >> (drop - (at & 7).astype(np.uint64)) & mask
-        out[rows, k] = symbol[value]
-        at = at + length[value]
-    ends = np.cumsum(lanes)
+        value = entry[wide[at >> 3] >> (drop - (at & 7).astype(np.uint64)) & mask]
+        out[k, rows] = value >> 5
+        at = at + (value & 31).astype(np.int64)
+    out, ends = np.ascontiguousarray(out.T), np.cumsum(lanes)
     return [out[e - n : e].reshape(-1)[:s] for e, n, s in zip(ends, lanes, sizes)]
 
 
