@@ -5,7 +5,9 @@ A document is the set of its word n-grams. Sets are cut into bands by size. With
 in ``d`` n-grams differ in at most ``d`` blocks, so the number of differing sketches is a lower bound of the symmetric
 difference. Linked sets of a band differ in ``d`` n-grams at most; with ``m = d + 1 + e`` blocks they have ``e + 1``
 sketches in common (pigeonhole), and sets that share a sketch are verified exactly on their n-gram hashes. Blocks of one
-n-gram or none say little; a set with at most ``e`` of those leaves them out without losing a link.
+n-gram or none say little, so every set leaves out its ``e`` blocks of fewest n-grams, in one order for all sets. No link is lost:
+the last of ``e + 1`` common sketches in that order has ``e`` others before it in both sets. ``e`` is chosen by the size of the blocks,
+so that those of one n-gram or none are left out.
 
 Before texts are compared, one more parity sketch of each whole set decides: every n-gram flips one bit of it, so the Hamming
 distance of two sketches is at most the sets' symmetric difference, and a pair beyond the linked difference is dropped
@@ -25,6 +27,7 @@ null ids and columns of any name are kept; a new column whose name is taken gets
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,9 @@ from flowloom.llm.rows import free_name, identified
 from flowloom.scratch import discard, stage
 
 _U = np.uint64
-BAND_GROWTH = 1.5
+BAND_GROWTH = 1.25
+#: The largest share of a band's blocks that may be left out.
+MOST_SPARE = 0.3
 #: Members that are compared with one node in one group of rows.
 CHUNK = 256
 #: Nodes of a tile, and the most bits of a set's own sketch.
@@ -55,9 +60,24 @@ class Bands:
         self.lows = [1]
         while self.lows[-1] < 1 << 40:
             self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * BAND_GROWTH)))
+        self._spare: dict[int, int] = {}
+
+    def spare(self, band: int, differing: int) -> int:
+        """Blocks to leave out: those of one member or none that the smallest sets of the band will have, and some more by chance."""
+        if band not in self._spare:
+            spare = 1 + differing // 20
+            while spare < MOST_SPARE * (differing + 1 + spare):
+                blocks = differing + 1 + spare
+                filling = self.lows[band] / blocks
+                weak = blocks * (1 + filling) * exp(-filling)
+                if weak + 2 * sqrt(weak) <= spare:
+                    break
+                spare += 1 + spare // 16
+            self._spare[band] = spare
+        return self._spare[band]
 
     def of(self, n: int) -> Iterator[tuple[int, int, int]]:
-        """(band, blocks, blocks that may be left out) for every band in which a set of size n can have a partner.
+        """(band, blocks, blocks that are left out) for every band in which a set of size n can have a partner.
 
         Band j has the pairs whose smaller set has lows[j] to lows[j + 1] - 1 members.
         """
@@ -68,7 +88,7 @@ class Bands:
             if n > large:
                 return
             differing = (small + large) * (self.den - self.num) // (self.den + self.num)
-            spare = 1 + differing // 20
+            spare = self.spare(j, differing)
             yield j, differing + 1 + spare, spare
             j -= 1
 
@@ -83,8 +103,7 @@ class Bands:
             edges = np.searchsorted(which, np.arange(blocks + 1, dtype=np.uint64))
             sketch = sums[edges[1:]] ^ sums[edges[:-1]]
             keys = mix(sketch + mix(np.arange(blocks, dtype=np.uint64) + _U(band << 40)))
-            strong = np.diff(edges) > 1
-            found.append(keys[strong] if blocks - int(strong.sum()) <= spare else keys)
+            found.append(keys[np.lexsort((keys, np.diff(edges)))[spare:]])  # equal sketches are of equal blocks, so the order is the same for all
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
