@@ -16,8 +16,8 @@ without its texts.
 Groups of any size stay distributed. Equal sets are one node from the start. A shared sketch is a run of a
 range-sorted table, which may go over many partitions; its nodes are first compared with the run's first node only. Nodes
 that end up in one component need no further comparison. What is left of a shared sketch - nodes of several components - is
-dealt into tiles; tiles are compared in pairs by their bit sketches, and only pairs that pass become rows. Sketches
-shared by the very same nodes are compared once. No link is lost.
+dealt into tiles; tiles are compared in pairs by their bit sketches, and only pairs that pass become rows, each under the
+smallest of the sketches that it shares. Sketches shared by the very same nodes are compared once. No link is lost.
 
 Hashes have 62 bits or more and equal hashes count as equal n-grams and equal sets. A document without words links with nothing;
 one with fewer words than n has its whole sequence as its one n-gram. Null texts have no words. Repeated rows,
@@ -223,20 +223,24 @@ def near_enough(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Da
 
 
 def near_in_tiles(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different roots under one key whose bit sketches are near enough.
+    """Pairs (a, b) of different roots under one key whose bit sketches are near enough, each pair once.
 
-    ``members`` has key, c (members of the key), node, root, n and bits.
+    ``members`` has key, c (members of the key), node, root, n and bits. A pair is found under the smallest key that both have:
+    every row carries the smaller keys of its node, which are no more than the sketches of one set.
     """
+    keys = members.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    members = members.join(keys, "node").withColumn("before", F.filter("keys", lambda k: k < F.col("key")))
     tiles = F.ceil(F.col("c") / TILE)
     own = F.pmod(F.xxhash64("node"), tiles)
     rows = members.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1))})
-    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "n", "bits")
+    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "n", "bits", "before")
 
     def compared(group: pa.Table) -> pa.RecordBatch:
         low, high, own, nodes, roots, n = (group.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
         bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(7).combine_chunks()]
         words = min(map(len, bits))
         table = np.stack([_folded(x, words) for x in bits])
+        before = [frozenset(x) for x in group.column(8).to_pylist()]
         a, b = [], []
         for k in range(len(nodes) - 1):
             rest = slice(k + 1, None)
@@ -245,8 +249,9 @@ def near_in_tiles(members: DataFrame, num: int, den: int) -> DataFrame:
             if low[k] != high[k]:
                 near &= own[rest] != own[k]
             for m in (np.flatnonzero(near) + k + 1).tolist():
-                a.append(min(nodes[k], nodes[m]))
-                b.append(max(nodes[k], nodes[m]))
+                if before[k].isdisjoint(before[m]):
+                    a.append(min(nodes[k], nodes[m]))
+                    b.append(max(nodes[k], nodes[m]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +327,7 @@ def linked_groups(df: DataFrame, text: str, size: int, num: int, den: int, uid:
     mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), *same).where("x <> y and c > 2")
     mixed = mixed.groupBy("c", "s1", "s2").agg(F.min("key").alias("key")).select("key", "c")
     rest = spread_join(placed, mixed, ["key"], "c", ["node"]).join(holders.drop("uid"), "node")
-    across = near_in_tiles(rest, num, den).distinct().join(pairs, ["a", "b"], "left_anti")  # those are compared already; a is the smaller there too
+    across = near_in_tiles(rest, num, den).join(pairs, ["a", "b"], "left_anti")  # those are compared already; a is the smaller there too
     across = stage(across, "across")
     links = links.union(stage(verified(across, _texts_of(across, holders, texts), size, num, den), "links"))
     return rows.select("uid", "n", "node").join(components(links), "node", "left")

@@ -26,3 +26,12 @@ def test_linked_sets_share_a_sketch(num, den):
             members = rng.integers(0, 1 << 64, n + small, dtype=np.uint64)
             one, two = np.unique(members[:n]), np.unique(members[n - both : n + small - both])
             assert len(np.intersect1d(bands.keys(one), bands.keys(two)))
+
+
+def test_pairs_of_many_shared_sketches_are_found_once(spark):
+    nodes = [(key, 10, node, node, 100, bytes(32)) for key in range(7) for node in range(10)]
+    nodes += [(9, 5, node, node, 100, bytes(32)) for node in (1, 3, 5, 12, 13)]
+    members = spark.createDataFrame(nodes, "key long, c long, node long, root long, n long, bits binary")
+    found = sorted(map(tuple, jaccard.near_in_tiles(members, 9, 10).collect()))
+    own = {(a, b) for a in range(10) for b in range(a + 1, 10)} | {(1, 12), (1, 13), (3, 12), (3, 13), (5, 12), (5, 13), (12, 13)}
+    assert found == sorted(own)
