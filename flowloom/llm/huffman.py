@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.llm.arrays import text_groups
 from flowloom.llm.word_ids import encoded, id_type
 from flowloom.scratch import scratch_path, stage
 
@@ -157,14 +158,14 @@ def id_counts(ids: DataFrame, kind: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for batch in batches:
-            for row in batch.column(0):
+            for _, _, packed, _ in text_groups(batch.column(0)):
                 if kind == "<u2":
-                    n = np.bincount(np.frombuffer(row.as_buffer(), kind))
+                    n = np.bincount(packed.view(kind))
                     if len(n) > len(seen):
                         seen, n = n, seen
                     seen[: len(n)] += n
                 else:
-                    value, n = np.unique(np.frombuffer(row.as_buffer(), kind), return_counts=True)
+                    value, n = np.unique(packed.view(kind), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"id": pa.array(value.astype(np.int64)), "n": pa.array(n)})
         value = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"id": pa.array(value), "n": pa.array(seen[value])})

@@ -45,6 +45,37 @@ def test_pieces_of_long_texts(monkeypatch):
     assert word_ids.WordCoder(SPEC, "<u2").encode(text.encode()) == struct.pack(f"<{len(ids)}H", *ids)
 
 
+def test_groups_of_texts(monkeypatch):
+    monkeypatch.setattr(word_ids, "GROUP", 300)
+    monkeypatch.setattr(word_ids, "PIECE", 100)
+    random.seed(9)
+    words = ["Don't", "É1,2", "x", "漢字", "<|endoftext|>", "ÀÉß", "!!", "12", "\x85", "\n", "σς", "long" * 40]
+    texts = [" ".join(random.choices(words if k % 3 else ["a1b", "É!", "z"], k=random.choice([0, 1, 5, 60]))) for k in range(80)]
+    model = library()
+    want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    got = word_ids.WordCoder(SPEC, "<u2").encode_texts(t.encode() for t in texts)
+    assert got == [struct.pack(f"<{len(ids)}H", *ids) for ids in want]
+
+
+def test_runs_are_looked_up_once_a_group(monkeypatch):
+    asked = []
+    codes = word_ids.Memory.codes
+    monkeypatch.setattr(word_ids.Memory, "codes", lambda self, names, *rest: asked.extend(names) or codes(self, names, *rest))
+    word_ids.WordCoder(SPEC, "<u2").encode_texts([b"One two, two one.\n" * 50] * 200)
+    assert sorted(asked) == [b",", b".", b"one", b"two"]
+
+
+def test_frequent_runs_stay_known(monkeypatch):
+    monkeypatch.setattr(word_ids, "RUNS", 40)
+    learned = []
+    code = word_ids.WordCoder._coded_run
+    monkeypatch.setattr(word_ids.WordCoder, "_coded_run", lambda self, run: learned.append(run) or code(self, run))
+    coder = word_ids.WordCoder(SPEC, "<u2")
+    for k in range(60):
+        coder.encode(f"the {chr(97 + k % 26)}q{chr(97 + k // 26)} {'zw' * (1 + k % 30)}".encode())
+    assert learned.count(b"the") == 1 and len(coder.runs.young) + len(coder.runs.old) <= 46
+
+
 @pytest.mark.parametrize("counts", [[5], [1, 1], [1, 2, 4, 8, 16, 32, 64, 1 << 40], list(range(1, 900)), [7] * 33])
 def test_code_lengths_are_best_and_limited(counts):
     counts = np.array(counts)
