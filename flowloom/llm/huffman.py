@@ -78,8 +78,8 @@ class Code:
     def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
         self.symbols, self.lengths, codes = canonical_codes(symbols, lengths)
         top = int(self.symbols.max()) + 1 if len(self.symbols) else 0
-        self.code, self.length = np.zeros(top, np.uint64), np.zeros(top, np.int64)
-        self.code[self.symbols], self.length[self.symbols] = codes, self.lengths
+        self.left, self.length = np.zeros(top, np.uint64), np.zeros(top, np.int64)  # codes begin at the highest bit
+        self.left[self.symbols], self.length[self.symbols] = codes.astype(np.uint64) << (64 - self.lengths).astype(np.uint64), self.lengths
 
     def reader(self) -> tuple[int, np.ndarray, np.ndarray]:
         """Bits looked at, and for every value of them the symbol and length of the code they begin with."""
@@ -93,12 +93,13 @@ class Code:
         length = self.length[ids]
         end = np.cumsum(length)
         at = end - length
-        word, off = at >> 5, (at & 31).astype(np.uint64)
-        window = self.code[ids] << (np.uint64(64) - off - length.astype(np.uint64))  # at most 31 + 20 bits
+        word = at >> 5
+        window = self.left[ids] >> (at & 31).view(np.uint64)  # at most 31 + 20 bits
         words = np.zeros(int(end[-1] + 31 >> 5) + 1, np.uint64)
-        begin = np.flatnonzero(np.diff(word, prepend=-1))
-        words[word[begin]] = np.bitwise_or.reduceat(window >> np.uint64(32), begin)
-        words[word[begin] + 1] |= np.bitwise_or.reduceat(window & np.uint64(0xFFFFFFFF), begin)
+        begin = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1)
+        place, found = word[begin], np.bitwise_or.reduceat(window, begin)
+        words[place] = found >> np.uint64(32)
+        words[place + 1] |= found & np.uint64(0xFFFFFFFF)
         return words.astype(">u4").tobytes()[: int(end[-1] + 7 >> 3)], at[::STEP]
 
 
@@ -107,24 +108,22 @@ def read_blocks(reader: tuple[int, np.ndarray, np.ndarray], bits: list[bytes], c
     look, symbol, length = reader
     entry = symbol.astype(np.uint32 if int(symbol.max(initial=0)) < 1 << 27 else np.uint64) << 5 | length  # LIMIT fits in five bits
     starts = np.cumsum([0, *(len(b) for b in bits)])
-    data = np.frombuffer(b"".join(bits) + b"\0" * 8, np.uint8)
-    wide = np.zeros(len(data) - 4, np.uint64)
-    for k in range(5):
-        wide = wide << np.uint64(8) | data[k : len(data) - 4 + k]
-    at = np.concatenate([c + 8 * s for c, s in zip(checkpoints, starts[:-1])])
+    data = np.frombuffer(b"".join(bits) + bytes(8 + -int(starts[-1]) % 4), ">u4").astype(np.uint64)
+    wide = data[:-1] << np.uint64(32) | data[1:]  # 64 bits from every fourth byte on: at most 31 + 20 are looked at
+    at = np.concatenate([c + 8 * s for c, s in zip(checkpoints, starts[:-1])]).astype(np.int64)
     lanes = np.array([len(c) for c in checkpoints])
     left = np.full(len(at), STEP)
     last = np.cumsum(lanes) - 1
     left[last] = sizes - STEP * (lanes - 1)
     out = np.zeros((STEP, len(at)), np.uint32)
-    mask, drop = np.uint64((1 << look) - 1), np.uint64(40 - look)
+    mask, drop = np.uint64((1 << look) - 1), 64 - look
     for k in range(int(left.max())):
         if k == left.min():
             live = np.flatnonzero(left > k)
             rows, at, left = (live, at[live], left[live]) if k == 0 or out.shape[1] == len(at) else (rows[live], at[live], left[live])
         elif k == 0:
             rows = np.arange(len(at))
-        value = entry[wide[at >> 3] >> (drop - (at & 7).astype(np.uint64)) & mask]
+        value = entry[(wide[at >> 5] >> (drop - (at & 31)).view(np.uint64) & mask).view(np.int64)]
         out[k, rows] = value >> 5
         at = at + (value & 31).astype(np.int64)
     out, ends = np.ascontiguousarray(out.T), np.cumsum(lanes)
